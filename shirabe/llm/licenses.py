@@ -74,8 +74,10 @@ class Index:
         return np.flatnonzero(self.keys[at] == grams) if len(self.keys) and len(grams) else np.zeros(0, np.int64)
 
 
-def align(template: list[str], text: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Most words matched in order, template[i] against text[i + shift + d], |d| <= band; first and past-last text place."""
+def align(template: list[str], text: list[str], shift: int, since: int = 0, band: int = BAND) -> tuple[int, int, int]:
+    """Most words matched in order, template[i] against text[i + shift + d], |d| <= band; first and past-last text place, none before since.
+
+    Of equal matches the shortest wins, then the earliest."""
     best: dict[int, tuple[int, int, int]] = {}  # text place reached -> (matched, first, past last)
     for i, word in enumerate(template):
         low, high = i + shift - band, i + shift + band
@@ -83,30 +85,32 @@ def align(template: list[str], text: list[str], shift: int, band: int = BAND) ->
         run = max((v for k, v in best.items() if k < low), default=(0, -1, -1))
         for j in range(low, high + 1):
             here = run
-            if 0 <= j < len(text) and text[j] == word:
+            if since <= j < len(text) and text[j] == word:
                 here = (run[0] + 1, run[1] if run[0] else j, j + 1)
             old = best.get(j, (0, -1, -1))
             run = max(run, old, key=lambda v: (v[0], v[1]))
             new[j] = max(here, run, key=lambda v: (v[0], v[1]))
         best = new
-    return max(best.values(), key=lambda v: (v[0], v[1]), default=(0, -1, -1))
+    return max(best.values(), key=lambda v: (v[0], v[1] - v[2], -v[1]), default=(0, -1, -1))
 
 
 def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float]]:
     """(first word, past last word, template, coverage) of each match; hits: (place, template, place in template)."""
-    diagonals = defaultdict(list)
+    places = defaultdict(list)
     for place, t, p in hits:
-        diagonals[t].append(place - p)
+        places[t].append((place, place - p))
     found = []
-    for t, shifts in diagonals.items():
-        last = None
-        for shift in sorted(shifts):
-            if last is not None and shift - last <= BAND:
-                continue
-            last = shift
-            matched, first, end = align(index.words[t], words, shift)
+    for t, own in places.items():
+        end, failed = 0, None
+        for place, shift in sorted(own):
+            if place < end or failed is not None and abs(shift - failed) <= BAND // 2:
+                continue  # part of the match before, or of the place that did not match
+            matched, first, past = align(index.words[t], words, shift, end)
             if matched >= min_coverage * len(index.words[t]):
-                found.append((matched, first, end, t))
+                found.append((matched, first, past, t))
+                end, failed = past, None
+            else:
+                failed = shift
     out: list[tuple[int, int, int, float]] = []
     for matched, first, end, t in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
         if all(end <= a or first >= z for a, z, _, _ in out):
