@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach(a, b) AS (
@@ -89,7 +89,7 @@ FROM v JOIN comp USING (vec_id) LEFT JOIN links USING (vec_id)
     "op7_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, u.i AS i, u.line AS line, translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), (x, i) -> {'line': x, 'i': i})) AS u FROM documents)
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'line': x, 'i': i})) AS u FROM documents)
 ), f AS (SELECT k, min(doc_id) AS low FROM l WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) < max(doc_id))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE f.low < doc_id)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.low IS NULL OR f.low >= doc_id), '')) AS kept_sha256
