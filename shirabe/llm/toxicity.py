@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 4- and 5-grams
 within words, present or not; the `features` that tell positives from unlabelled texts best are kept. Linear numpy
 classifiers then minimise the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the
-sigmoid loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
+logistic loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
 Several classifiers of different halves of the rows are averaged.
 
 Fitting reads a bounded sample: at most `max_positive` toxic rows and about `max_unlabelled` others, both by a hash
@@ -29,7 +29,7 @@ from .langid import _letters
 from .words import MULTIPLIER
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
-FEATURES, BITS = 512, 21
+FEATURES, BITS = 128, 21
 SPANS = (4, 5)
 
 
@@ -55,7 +55,7 @@ def gram_buckets(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> np.ndarray:
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> np.ndarray:
     """Weights, the last being the bias, of one linear classifier under the non-negative PU risk."""
     rng = np.random.default_rng(seed)
     add_one = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
@@ -64,16 +64,15 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps
     w = np.zeros(p.shape[1], np.float32)
     w[-1] = -1
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)  # losses: of calling it negative s, of calling it positive 1 - s
-        slope_p, slope_u = sp * (1 - sp), su * (1 - su)
-        up = -(slope_p @ p) / len(p)
-        rest = su.mean() - prior * sp.mean()
-        part = (slope_u @ u) / len(u) - prior * (slope_p @ p) / len(p)
-        grad = (prior * up + part if rest >= 0 else -part) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        zp, zu = p @ w, u @ w
+        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()  # the risk of the negatives
+        part = su @ u / np.float32(len(u)) - np.float32(prior) * (sp @ p) / np.float32(len(p))
+        up = (sp - 1) @ p / np.float32(len(p))
+        grad = ((np.float32(prior) * up + part if rest >= 0 else -part) + np.float32(decay) * w).astype(np.float32)
+        m, v = np.float32(0.9) * m + np.float32(0.1) * grad, np.float32(0.999) * v + np.float32(0.001) * grad * grad
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
