@@ -21,20 +21,22 @@ def raw_questions(texts: DataFrame, normalise: bool = True, answer_aware: bool =
 
     Text is brought to NFC once; the repeated cleaning that the format asks for works on that.
     Documents whose best pattern gives nothing go to the line parser, those that it leaves empty to the last resort;
-    each step only reads the documents left over, by anti-joins on doc_id."""
+    each step only reads the documents left over, by anti-joins on doc_id. What several branches read is kept (memory, then
+    disk); lost blocks are computed again from the input."""
     cleaned = texts.withColumn("text", clean(F.col("text"), normalise))
-    lines = merge_short_lines(split_lines(cleaned, normalise=False))  # NFC already
+    lines = merge_short_lines(split_lines(cleaned, normalise=False)).persist()  # NFC already; three branches read the lines
     joined = joined_text(lines)
     files = cleaned.select("doc_id", section(F.col("text"), F.col("file_name")).alias("section"), file_year(F.col("file_name")).alias("year"), F.col("file_name").alias("source"))
     found = adaptive_questions(joined)
     if answer_aware:
         marked = answer_anchored(joined).withColumns({"explanation": F.lit(""), "pattern": F.lit("回答アンカー形式"), "extraction_method": F.lit(None).cast("string"), "line_index": F.lit(None).cast("int"), "choices": F.array().cast("array<struct<number:string,text:string,format:string>>")})
         found = marked.select(RAW_COLUMNS)
+    found = found.persist()
     left = lines.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    # the line parser finalises its records once itself
     by_lines = fallback_questions(left).join(files.select("doc_id", "section"), "doc_id")
+    by_lines = finalize(by_lines.withColumns({"answer_guessed": F.lit(False), "explanation_generated": F.lit(False)}), normalise=False).drop("quality", "section").persist()
     rest = left.join(by_lines.select("doc_id").distinct(), "doc_id", "left_anti")
-    # the line parser finalises its records once itself
-    by_lines = finalize(by_lines.withColumns({"answer_guessed": F.lit(False), "explanation_generated": F.lit(False)}), normalise=False).drop("quality", "section")
     fresh = lambda df: df.withColumns({"answer_guessed": F.lit(False), "explanation_generated": F.lit(False)})
     columns = [*RAW_COLUMNS, "answer_guessed", "explanation_generated"]
     raw = fresh(found).select(columns).unionByName(by_lines.select(columns)).unionByName(fresh(emergency_questions(rest)).select(columns))
