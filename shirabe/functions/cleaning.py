@@ -10,14 +10,13 @@ from ..constants import CONTROL, ENCODING_FIXES, HIER_KEEP, NORMALIZATIONS
 from . import compat as C
 
 
-@F.pandas_udf("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
 def nfc(c: Column) -> Column:
     """Unicode NFC; Spark has no such function, so this is the one Arrow UDF of the library."""
-    return _nfc(c)
+    return F.pandas_udf(_nfc, "string")(c)
 
 
 def fix_encoding(c: Column, normalise: bool = True) -> Column:
