@@ -16,7 +16,8 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents as positioned items: a column of 42 a word, 14 a line, every fifth line in a larger font."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "str"))
     return rows.select(
         "doc_id",

@@ -14,7 +14,8 @@ MIN_LINE = 20
 def split_lines(docs: DataFrame, normalise: bool = True, cleaned: bool = True) -> DataFrame:
     """C6 without merging: (doc_id, line_no, line) of trimmed, non-empty, cleaned lines."""
     parts = F.filter(F.transform(F.split("text", r"\n+"), C.trim), lambda x: x != "")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("line_no", "line"))
+    # dealt by document before the lines multiply: what follows by document needs no further shuffle
+    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(parts).alias("line_no", "line"))
     return rows.withColumn("line", clean(F.col("line"), normalise)) if cleaned else rows
 
 
