@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text's lines are cut into paragraphs after words whose hash says so (and at every line's end), so an edit changes
-only the paragraphs it touches. Each paragraph's digest, numbered if it repeats, goes into three cells of a sketch
+A text's lines are cut into paragraphs after words whose hash says so, at every line's end and where a paragraph grows
+too long, so an edit changes only the paragraphs it touches. Each paragraph's digest, numbered if it repeats, goes into three cells of a sketch
 (count, XOR of digests, XOR of checks). Two sketches subtract cell by cell; peeling cells that hold one digest
 recovers exactly the digests that only one text has. Where that fails the pair is sketched again with twice the
 cells. The likeness is the shared part of both texts' paragraphs. Sketches of a whole batch are built and peeled
@@ -32,8 +32,8 @@ from .words import MULTIPLIER, hash_values, mix, split_words, times
 
 #: Cells of a stored fingerprint and of the first try at a difference.
 CELLS, FIRST_CELLS = 24, 96
-#: A paragraph ends after one word in so many on average.
-PARAGRAPH_WORDS = 8
+#: A paragraph ends after one word in so many on average, and after so many at last.
+PARAGRAPH_WORDS, MOST_WORDS = 6, 16
 _U = np.uint64
 
 
@@ -49,8 +49,10 @@ def paragraph_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut_after = (mix(hashes) % _U(PARAGRAPH_WORDS) == 0) | line_end
     last = ends[1:][np.diff(ends) > 0] - 1
     cut_after[last] = True
-    begins = np.concatenate([[0], np.flatnonzero(cut_after)[:-1] + 1])
-    place = np.arange(len(hashes)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(hashes)]])))
+    for _ in range(2):  # the second time with the cuts that only the length asks for
+        begins = np.concatenate([[0], np.flatnonzero(cut_after)[:-1] + 1])
+        place = np.arange(len(hashes)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(hashes)]])))
+        cut_after |= place % MOST_WORDS == MOST_WORDS - 1
     digests = np.add.reduceat(mix(hashes + (place + 1).astype(np.uint64) * MULTIPLIER), begins)
     starts = np.searchsorted(begins, ends)
     text = np.repeat(np.arange(n), np.diff(starts))
