@@ -88,19 +88,29 @@ def pattern_reliability(raw: DataFrame) -> DataFrame:
 
 
 def overview(questions: DataFrame) -> DataFrame:
-    """Totals, shares, sections, the most frequent section (the one met later on ties), quality buckets."""
-    totals = questions.agg(
-        F.count("*").alias("total"),
-        _count(F.col("answer") == _YES).alias("correct"),
-        _count(F.col("answer") == _NO).alias("incorrect"),
-        F.count_distinct("section").alias("sections"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"),
+    """Totals, shares, sections, the most frequent section (the one met later on ties), quality buckets.
+
+    Sections are aggregated first, then their partial sums, so that all figures come from one pass."""
+    by = questions.groupBy("section").agg(
+        F.count("*").alias("n"),
+        _count(F.col("answer") == _YES).alias("yes"),
+        _count(F.col("answer") == _NO).alias("no"),
+        F.sum(F.coalesce("confidence", F.lit(0.0))).alias("c"),
         *_buckets(F.col("confidence")),
+        F.min(F.struct("doc_id", "id")).alias("met"),
+    )
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = by.agg(
+        whole("n").alias("total"),
+        whole("yes").alias("correct"),
+        whole("no").alias("incorrect"),
+        F.count("section").alias("sections"),
+        F.coalesce(F.sum("c") / F.sum("n"), F.lit(0.0)).alias("average_confidence"),
+        *(whole(c).alias(c) for c in ("high", "medium", "low")),
+        F.max(F.struct("n", "met", "section"))["section"].alias("main_section"),
     )
-    by = questions.groupBy("section").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "id")).alias("met"))
-    top = by.agg(F.max(F.struct("n", "met", "section"))["section"].alias("main_section"))
     share = lambda c: F.when(F.col("total") > 0, F.floor(F.col(c) / F.col("total") * 100 + 0.5)).cast("int")
-    return totals.crossJoin(top).withColumns({"correct_percent": share("correct"), "incorrect_percent": share("incorrect")})  # one row each
+    return out.withColumns({"correct_percent": share("correct"), "incorrect_percent": share("incorrect")})
 
 
 def section_report(questions: DataFrame) -> DataFrame:
@@ -126,6 +136,6 @@ def extraction_status(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"success_rate": rate, "status": F.when(F.col("questions") == 0, "error").when(F.col("failed_files") == 0, "success").otherwise("warning")})
 
 
-def debug_info(files: DataFrame) -> DataFrame:
-    """A projection of each file's result beside the totals of A1, joined on nothing but one row."""
-    return files.select("doc_id", "success", "page_count", "text_length", "quality", "method", "error").crossJoin(extraction_stats(files).select("total_files", "successful_files", "average_quality"))
+def debug_info(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A projection of each file's result, and the totals of A1."""
+    return files.select("doc_id", "success", "page_count", "text_length", "quality", "method", "error"), extraction_stats(files)
