@@ -397,12 +397,20 @@ def test_nnpu_risk_corrects_for_the_prior():
         ("<dl><dt>t<dd>d</dl>1 < 2 <notatag", "t\n    d\n\n1 < 2 <notatag"),
         ("<a href='x>y'>in</a><input type=hidden value=v><img alt=pic>", "inpic"),
         ("<div>" * 3000 + "deep", "deep"),
+        ("<p class=\"a>one<p>two", "one\n\ntwo"),
     ],
 )
 def test_html(html, text):
     assert htmltext.html_text(html) == text
 
 
+@pytest.mark.parametrize("piece", ["<a \"", "<a '", "<a ", "<!", "&", "<a \"x\" ", "<table><tr><td>", "</p>", "<ul><li>", "<a b=\"'"])
+def test_html_is_fast_on_broken_pages(piece):
+    began = __import__("time").perf_counter()
+    htmltext.html_text(piece * 20000)
+    assert __import__("time").perf_counter() - began < 20
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<title>A\n b</title>x"), (None, "u", None), (1, "u", "<p>")], "page_id long, url string, html string")
     assert sorted(((str(r["page_id"]), r["title"], r["text"]) for r in htmltext.extract(pages).collect()), key=str) == sorted([("1", "A b", "x"), ("None", None, ""), ("1", None, "")], key=str)
