@@ -70,3 +70,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column with null as the empty string, its offsets from 0."""
     return pa.concat_arrays([pc.fill_null(pc.cast(batch.column(column), pa.string()), "")])
+
+
+#: A key is hot from this part of all rows on, so that this many keys are hot at most.
+HOT_PART = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows to one row a key, where `count` of right is the key's number of rows in left.
+
+    Keys of at least a HOT_PART-th of the rows number HOT_PART at most and go by broadcast, so that no key left for the
+    shuffle has more than that share. right should be cheap to read several times."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.sparkSession.createDataFrame(right.where(F.col(count) * HOT_PART >= total).collect(), right.schema)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(count) * HOT_PART < total), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices, texts_of
+from .common import cut, join_counted, text_slices, texts_of
 from .graph import UnionFind, connected_components
 from .words import MULTIPLIER, mix, shingle_sets, times
 
@@ -162,10 +162,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     signed = cut(signatures(own, words, bands, rows))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # one class for equal sets, and for rows of one doc_id
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     entries = cut(classes.select("node", F.explode("bands").alias("key")))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    joined = cut(entries.join(buckets.select("key", "low", "n"), "key"))
+    buckets = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n"))
+    joined = cut(join_counted(entries, buckets, ["key"], "n"))
     stars = cut(joined.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct())
     members = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
     # texts of candidates only; a document of several texts gives each of them
@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     grouped = joined.where("n > 2").join(first, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
     sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = sizes.join(mixed, "key").groupBy("key", "n").agg(F.max(F.struct("m", "component")).alias("top")).select("key", "n", F.col("top.component").alias("main"))
-    rest = cut(grouped.join(main, "key"))
+    main = cut(sizes.join(mixed, "key").groupBy("key", "n").agg(F.max(F.struct("m", "component")).alias("top")).select("key", "n", F.col("top.component").alias("main")))
+    rest = cut(join_counted(grouped, main, ["key"], "n"))
     # outsiders of the bucket's largest group meet every member, blocks of few x many; equal sets of members meet once
     shape = rest.groupBy("key").agg(F.count(F.when(F.col("component") != F.col("main"), 1)).alias("out"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.hash("node").cast("long")).alias("x2"), F.first("n").alias("n"))
     once = shape.groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", F.ceil(F.col("k.out") / FEW).cast("int").alias("rows"), F.ceil(F.col("n") / MANY).cast("int").alias("cols"))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     second = cut(more.select("u", "v").distinct())
     chain = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
     # rows of one doc_id with several sets: those sets' classes are one document
-    same = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")).join(full.select("doc_id", "s1", "s2"), ["s1", "s2"]).where("doc_id <> node")
+    same = join_counted(full.select("doc_id", "s1", "s2"), classes.select("s1", "s2", "node", "n"), ["s1", "s2"], "n").where("doc_id <> node")
     member = same.select("doc_id", "node").distinct()
     final = connected_components(chain.unionByName(member.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
     return (
