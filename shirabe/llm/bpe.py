@@ -30,7 +30,7 @@ from .common import text_slices, texts_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_BYTES = 512
 #: Bytes of text whose different pieces are encoded together.
-BPE_SLICE_BYTES = 16 << 20
+BPE_SLICE_BYTES = 8 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -15,12 +15,29 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise; by rows alone a batch of long
+#: texts takes hundreds of MB on both sides.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the checkpoint folder, else one in the warehouse."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")

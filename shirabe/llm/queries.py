@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, covertree, fingerprint, htmltext, langid, licenses, linededup, minhash, packing, toxicity
-from .common import documents
+from .common import documents, read_table
 
 
 def tokenizer_path() -> str:
@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+    return covertree.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
