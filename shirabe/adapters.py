@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.cleaning import nfc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,8 +17,8 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents as positioned items: a column of 42 a word, 14 a line, every fifth line in a larger font."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    """Words of documents, in NFC, as positioned items: a column of 42 a word, 14 a line, every fifth line larger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", nfc(F.col("text")).alias("text")).repartition("doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "str"))
     return rows.select(

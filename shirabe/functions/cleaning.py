@@ -143,3 +143,15 @@ def file_extension(c: Column) -> Column:
 def chunk_of(index: Column, size: int) -> Column:
     """C20: the fixed-size chunk that a position falls into."""
     return F.floor(index / size).cast("int")
+
+
+def nested(c: Column, path: str, default: Column | None = None) -> Column:
+    """The field at a dotted path, the default where it or anything above it is null."""
+    for name in path.split("."):
+        c = c.getField(name)
+    return c if default is None else F.coalesce(c, default)
+
+
+def with_nested(c: Column, path: str, value: Column) -> Column:
+    """The struct with the field at a dotted path set."""
+    return c.withField(path, value)

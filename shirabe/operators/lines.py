@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compat as C
-from ..functions.cleaning import clean
+from ..functions.cleaning import clean, nfc
 
 MIN_LINE = 20
 
@@ -14,9 +14,11 @@ MIN_LINE = 20
 def split_lines(docs: DataFrame, normalise: bool = True, cleaned: bool = True) -> DataFrame:
     """C6 without merging: (doc_id, line_no, line) of trimmed, non-empty, cleaned lines."""
     parts = F.filter(F.transform(F.split("text", r"\n+"), C.trim), lambda x: x != "")
-    # dealt by document before the lines multiply: what follows by document needs no further shuffle
-    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(parts).alias("line_no", "line"))
-    return rows.withColumn("line", clean(F.col("line"), normalise)) if cleaned else rows
+    # dealt by document before the lines multiply: what follows by document needs no further shuffle. NFC comes first,
+    # on whole texts (a line end composes with nothing), because a Python node would lose the partitioning.
+    text = nfc(F.col("text")) if normalise and cleaned else F.col("text")
+    rows = docs.select("doc_id", text.alias("text")).repartition("doc_id").select("doc_id", F.posexplode(parts).alias("line_no", "line"))
+    return rows.withColumn("line", clean(F.col("line"), normalise=False)) if cleaned else rows
 
 
 def merge_short_lines(lines: DataFrame, min_length: int = MIN_LINE) -> DataFrame:

@@ -231,13 +231,13 @@ _FIXED = f"fx AS (SELECT *, {_fix('str')} AS t FROM it WHERE {_trim('str')} <> '
 
 @query(f"WITH {_ITEMS}, {_FIXED} SELECT doc_id, page_no, string_agg(t, ' ' ORDER BY line_no, word_no) AS text FROM fx WHERE {_trim('t')} <> '' GROUP BY doc_id, page_no")
 def layout_simple(spark, sf_dir):
-    return layout.text_simple(A.layout_items(spark, sf_dir))
+    return layout.text_simple(A.layout_items(spark, sf_dir), normalise=False)
 
 
 @query(f"""WITH {_ITEMS}, {_FIXED}, c AS (SELECT doc_id, page_no, floor(y / 5.0 + 0.5) * 5 AS gy, floor(x + 0.5) AS gx, string_agg(t, '' ORDER BY line_no, word_no) AS t FROM fx GROUP BY ALL),
 r AS (SELECT doc_id, page_no, gy, string_agg(t, ' ' ORDER BY gx) AS t FROM c GROUP BY ALL) SELECT doc_id, page_no, string_agg(t, chr(10) ORDER BY gy DESC) AS text FROM r WHERE {_trim('t')} <> '' GROUP BY doc_id, page_no""")
 def layout_structured(spark, sf_dir):
-    return layout.text_structured(A.layout_items(spark, sf_dir))
+    return layout.text_structured(A.layout_items(spark, sf_dir), normalise=False)
 
 
 _WIDTH = r"font * (0.5 * length(t) + 0.5 * (length(t) - length(regexp_replace(t, '[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FAF}\x{FF00}-\x{FFEF}]', '', 'g'))))"
@@ -248,7 +248,7 @@ g AS (SELECT *, x - (lag(x) OVER k + 2 * lag(w) OVER k) > font * 0.5 AS gap FROM
 r AS (SELECT doc_id, page_no, line_no, string_agg(CASE WHEN coalesce(gap, false) THEN ' ' ELSE '' END || t, '' ORDER BY word_no) AS t FROM g GROUP BY ALL)
 SELECT doc_id, page_no, string_agg(t, chr(10) ORDER BY line_no) AS text FROM r GROUP BY doc_id, page_no""")
 def layout_improved(spark, sf_dir):
-    return layout.text_improved(A.layout_items(spark, sf_dir))
+    return layout.text_improved(A.layout_items(spark, sf_dir), normalise=False)
 
 
 _COMPLEX = "dx AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY doc_id ORDER BY line_no, word_no)) AS dx FROM it), cx AS (SELECT doc_id, page_no, count(*) AS n_items, count(DISTINCT y) / count(*) AS y_variation, count(DISTINCT font) AS fonts, var_pop(dx) AS dx_variance, avg((length(str) < 3)::INT) AS short_ratio FROM dx GROUP BY doc_id, page_no), sc AS (SELECT *, least(1, CASE WHEN y_variation > 0.1 THEN 0.3 ELSE 0 END + CASE WHEN fonts > 3 THEN 0.2 ELSE 0 END + CASE WHEN dx_variance > 1000 THEN 0.3 ELSE 0 END + CASE WHEN short_ratio > 0.2 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM cx)"
@@ -261,7 +261,7 @@ def layout_complexity(spark, sf_dir):
 
 @query(f"WITH {_ITEMS}, {_COMPLEX} SELECT doc_id, CASE WHEN score > 0.7 THEN 'structured' WHEN score > 0.3 THEN 'improved' ELSE 'simple' END AS mode FROM sc WHERE doc_id IN (SELECT doc_id FROM it WHERE {_trim('str')} <> '')")
 def layout_modes(spark, sf_dir):
-    return layout.text_adaptive(A.layout_items(spark, sf_dir)).select("doc_id", "mode")
+    return layout.text_adaptive(A.layout_items(spark, sf_dir), normalise=False).select("doc_id", "mode")
 
 
 @query(f"""WITH {_ITEMS} SELECT doc_id, page_no, line_no::INT AS block_no, coalesce(string_agg({_trim('str')}, ' ' ORDER BY word_no) FILTER (WHERE {_trim('str')} <> ''), '') AS text, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, (max(x + 6 * length(str)) - min(x))::DOUBLE AS width, count(*) AS item_count FROM it GROUP BY doc_id, page_no, line_no""")

@@ -110,6 +110,8 @@ def test_small_goldens(spark):
     assert column(spark, ["R5_a.pdf", "H29.pdf", "2020.pdf", "2015.pdf", "chapter3.pdf"], detect.file_year) == ["R5", "H29", "R2", "R6", "R3"]
     assert column(spark, ["R5", "平成29年", "2020年", "2015年", "5年", "12年", "40年"], detect.line_year) == ["R5", "H29", "R2", "H27", "R5", "H12", None]
     assert column(spark, ["a.b*c"], cleaning.escape_regex) == [r"a\.b\*c"]
+    one = spark.createDataFrame([((("x", None),),)], "s struct<a struct<b string, c string>>").select(cleaning.nested(F.col("s"), "a.b").alias("b"), cleaning.nested(F.col("s"), "a.c", F.lit("d")).alias("c"), cleaning.nested(cleaning.with_nested(F.col("s"), "a.c", F.lit("e")), "a.c").alias("e")).first()
+    assert tuple(one) == ("x", "d", "e")
     numbers = spark.createDataFrame([(1, v) for v in (1, 2, 4, 4, 8)], "doc_id int, value int")
     r = stats.number_distribution(numbers).first()
     assert (r["min"], r["max"], r["range"], r["count"], r["sequential"], r["n_gaps"], r["completeness"]) == (1, 8, 8, 5, False, 2, 0.625)
