@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, percent=85).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each group of near duplicates (5-word shingles alike to 0.80 or more), the one with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
 
 

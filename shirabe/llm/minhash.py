@@ -9,7 +9,7 @@ smallest of a band's bucket is compared to the others first (a star, not all pai
 only classes of a bucket that are still in different groups are compared, in blocks of bounded size, and a class
 needs no more than one link to each group. What shares a band thus ends up linked exactly if a chain of verified
 links exists there, whatever the bucket's size. A pair at the threshold shares no band with probability
-(1 - t^rows)^bands, below 1e-6 for the default.
+(1 - t^rows)^bands; there are as many bands as keep that below `MISS` for the percent asked for.
 
 Defined results: null text, empty text and text without words have no shingles and are linked with nothing; rows
 that repeat a doc_id are one document, linked by any of its texts; rows with null doc_id take no part and stay, with
@@ -18,6 +18,7 @@ component null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,19 @@ from .graph import UnionFind, connected_components
 from .words import MULTIPLIER, mix, shingle_sets, times
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 30, 6
+ROWS, MISS = 6, 1e-6
 #: Members of a bucket that one block of the second comparison takes on its two sides.
 FEW, MANY = 256, 1024
 
 _GOLD = MULTIPLIER
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The fewest bands that miss a pair exactly at the threshold with a probability below `MISS`."""
+    hit = (percent / 100) ** rows
+    return math.floor(math.log(MISS) / math.log1p(-hit)) + 1 if 0 < hit < 1 else 1
+
+
 def super_minhash(elements: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
     """Signatures (documents x slots) of sets of distinct 64-bit elements; rows of empty sets are infinite."""
     n_docs = len(starts) - 1
@@ -83,7 +90,7 @@ def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, bands: int = bands_for(PERCENT), rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit key (s1, s2) and its band keys (none without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +163,10 @@ def _compare_block(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; a link is 100 * intersection >= percent * union."""
     own = docs.select("doc_id", "text")
-    signed = cut(signatures(own, words, bands, rows))
+    signed = cut(signatures(own, words, bands or bands_for(percent, rows), rows))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # one class for equal sets, and for rows of one doc_id
     classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))

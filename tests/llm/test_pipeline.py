@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shirabe.llm import langid, queries, toxicity
+from shirabe.llm import langid, minhash, queries, toxicity
 from test_operators import components, line_dedup, shingles, words
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -79,6 +79,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_copies_from_080_go(spark, tmp_path):
+    rng = random.Random(17)
+
+    def pair(first, common, *tails):  # shingles: common - 4 shared, the tails' lengths on either side
+        base = " ".join(f"w{rng.randrange(10**9)}" for _ in range(common))
+        return [(first + k, " ".join([base, *(f"t{rng.randrange(10**9)}" for _ in range(n))])) for k, n in enumerate(tails)]
+
+    rows = [*pair(0, 86, 9, 9), *pair(10, 84, 10, 10), *pair(20, 83, 10, 11)]  # 82, 80 and 79 of 100
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 10, 20, 21]
+    for percent, bands in ((85, 30), (80, 46)):
+        assert minhash.bands_for(percent) == bands and (1 - (percent / 100) ** 6) ** bands < 1e-6 <= (1 - (percent / 100) ** 6) ** (bands - 1)
+
+
 CONTRACTS = {
     "op1_": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op2_": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
