@@ -69,19 +69,22 @@ def text_improved(items: DataFrame, normalise: bool = True) -> DataFrame:
 
 
 def complexity(items: DataFrame) -> DataFrame:
-    """L4: (doc_id, page_no, n_items, y_variation, fonts, dx_variance, short_ratio, score)."""
-    stream = Window.partitionBy(*_PAGE).orderBy("item_idx")
-    rows = items.withColumn("dx", F.abs(F.col("x") - F.lag("x").over(stream)))
+    """L4: (doc_id, page_no, n_items, y_variation, fonts, dx_variance, short_ratio, score); items without text don't count."""
+    before = Window.partitionBy(*_PAGE).orderBy("item_idx").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(C.trim(F.col("str")) != "", F.lit(False))
+    own = lambda c: F.when(full, c)
+    rows = items.withColumn("dx", own(F.abs(F.col("x") - F.last(own(F.struct("x")), ignorenulls=True).over(before)["x"])))
+    n = F.count(own(F.lit(1)))
     font = F.when(F.coalesce("font_size", F.lit(0.0)) == 0, F.lit(12.0)).otherwise(F.col("font_size"))
     out = rows.groupBy(*_PAGE).agg(
-        F.count("*").alias("n_items"),
-        (F.count_distinct("y") / F.count("*")).alias("y_variation"),
-        F.count_distinct(font).alias("fonts"),
+        n.alias("n_items"),
+        F.try_divide(F.count_distinct(own(F.col("y"))), n).alias("y_variation"),
+        F.count_distinct(own(font)).alias("fonts"),
         F.var_pop("dx").alias("dx_variance"),
-        F.avg((C.length(F.col("str")) < 3).cast("int")).alias("short_ratio"),
+        F.avg(own((C.length(F.col("str")) < 3).cast("int"))).alias("short_ratio"),
     )
     part = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), F.lit(v)).otherwise(F.lit(0.0))
-    score = part(F.col("y_variation") > 0.1, 0.3) + part(F.col("fonts") > 3, 0.2) + part(F.col("dx_variance") > 1000, 0.3) + part(F.col("short_ratio") > 0.2, 0.2)
+    score = part(F.col("y_variation") > 0.1, 0.3) + part(F.col("fonts") > 3, 0.2) + part(F.col("dx_variance") > 1000, 0.3) + part(F.col("short_ratio") > 0.3, 0.2)
     return out.withColumn("score", F.least(score, F.lit(1.0)))
 
 

@@ -96,6 +96,14 @@ def test_layout_golden(spark):
     assert {m: layout.page_text(first, m).first()["text"] for m in ("simple", "structured")} == {"simple": "宅建 業法 A 次行 x", "structured": "宅建 業法 A\n次行 x"}
 
 
+def test_complexity_of_short_and_blank_items(spark):
+    pages = {1: ["long item"] * 15 + ["ab"] * 5, 2: ["long item"] * 13 + ["ab"] * 7, 3: ["long item"] * 15 + ["ab"] * 5 + [" "] * 10, 4: [" ", ""]}
+    rows = [("d", p, i, s, 50.0, 700.0 + i * (s == ""), 12.0) for p, texts in pages.items() for i, s in enumerate(texts)]
+    items = spark.createDataFrame(rows, "doc_id string, page_no int, item_idx int, str string, x double, y double, font_size double")
+    got = {r["page_no"]: (r["n_items"], r["short_ratio"], r["score"]) for r in layout.complexity(items).collect()}
+    assert got == {1: (20, 0.25, 0.0), 2: (20, 0.35, 0.2), 3: (20, 0.25, 0.0), 4: (0, None, 0.0)}
+
+
 def test_small_goldens(spark):
     data = [(1, i, s) for i, s in enumerate(["short", "tiny", "this is a long line over twenty chars", "12345", "end×", "x"])]
     merged = lines.merge_short_lines(spark.createDataFrame(data, "doc_id int, line_no int, line string"))
