@@ -404,6 +404,22 @@ def test_html(html, text):
     assert htmltext.html_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>one</text><path d='M0'/><text>two</text></svg>after", "one\ntwo\nafter"),
+        ("<svg><defs/><text>one</text><p>out", "one\n\nout"),
+        ("<svg><foreignObject><p>in</p></foreignObject><metadata>no</metadata></svg><metadata>yes</metadata>", "in\n\nyes"),
+        ("<b>" * 250 + "<span hidden>no<i>no</i>no</span>yes<i hidden>no", "yes"),
+        ("<div hidden>" + "<b>" * 250 + "<div>no</div>no" + "</b>" * 250 + "no</div>yes", "yes"),
+        ("<ul><li>a" + "<b>" * 250 + "<ul><li hidden>no<li>yes</ul>" + "</b>" * 250 + "<li>z</ul>", "- a\n\n  yes\n- z"),
+    ],
+)
+def test_html_foreign_and_deep(html, text):
+    assert htmltext.html_text(html) == text
+
+
 @pytest.mark.parametrize("piece", ["<a \"", "<a '", "<a ", "<!", "&", "<a \"x\" ", "<table><tr><td>", "</p>", "<ul><li>", "<a b=\"'"])
 def test_html_is_fast_on_broken_pages(piece):
     began = __import__("time").perf_counter()
