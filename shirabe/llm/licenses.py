@@ -1,9 +1,12 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
+"""License scans: indexed n-grams and words pick candidates, banded alignment reports coverage and spans.
 
-Templates are cut into words without case and outer punctuation. Of every `WINDOW` successive word n-grams of a
-template the one with the smallest hash goes into an inverted index (hash -> template, place). A text's n-grams are
-looked up there; hits of a template on nearby diagonals are one candidate place, whose words are aligned to the
-template's within a band. Matched template words over all template words is the coverage.
+Templates are cut into words without case and outer punctuation. All word n-grams of a template go into an inverted
+index (hash -> template, place). A text's n-grams are looked up there; hits of a template on nearby diagonals are one
+candidate place, whose words are aligned to the template's within a band. Matched template words over all template
+words is the coverage. Templates of fewer than `SHORT` words, which can match without a common n-gram, are indexed by
+single words, as many of their longest as a match can't miss all of; there every diagonal of the band is aligned, so
+that every match is found. Longer ones are found by any three template words that follow each other in the text, which
+every fifth word changed or missing leaves; only words inserted between all of them hide a match.
 
 Defined results: null and empty texts and texts without hits give no rows; every occurrence is a row, so repeated
 licenses and repeated rows are reported each time; of matches of templates that overlap, the one with more matched
@@ -12,9 +15,12 @@ words stays; spans are code points of the text; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import text_slices, texts_of
 from .words import gram_hashes, split_words
 
-GRAM, WINDOW, BAND = 3, 3, 8
+GRAM, SHORT, BAND = 3, 15, 8
 MIN_COVERAGE = 0.8
 _EDGE = "!\"#$%&'()*,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +48,11 @@ TEMPLATES = {
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -55,23 +66,30 @@ def _hash(word: str) -> int:
 
 
 class Index:
-    """Templates' words and the inverted index of their winnowed n-grams."""
+    """Templates' words and the inverted indexes of their n-grams and, for short ones, of single words."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES) -> None:
+    def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> None:
         self.names = sorted(templates)
         self.words = [[w for x in templates[n].split() if (w := _norm(x))] for n in self.names]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.word_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
-            grams, _ = gram_hashes(np.array([_hash(w) for w in words], np.uint64), np.array([0, len(words)]), GRAM)
-            picked = {int(i + np.argmin(grams[i : i + WINDOW])) for i in range(max(1, len(grams) - WINDOW + 1))} if len(grams) else set()
-            for p in sorted(picked):
-                self.at[int(grams[p])].append((t, p))
-        self.keys = np.array(sorted(self.at), np.uint64)
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Places of grams that the index holds."""
-        at = np.minimum(np.searchsorted(self.keys, grams), max(0, len(self.keys) - 1))
-        return np.flatnonzero(self.keys[at] == grams) if len(self.keys) and len(grams) else np.zeros(0, np.int64)
+            hashes = [_hash(w) for w in words]
+            if len(words) < SHORT:
+                spare = len(words) - math.ceil(min_coverage * len(words))
+                for p in sorted(range(len(words)), key=lambda p: (words[p].isalpha(), -len(words[p]), p))[: spare + 1]:
+                    self.word_at[hashes[p]].append((t, p))
+                continue
+            grams, _ = gram_hashes(np.array(hashes, np.uint64), np.array([0, len(words)]), GRAM)
+            for p, g in enumerate(grams.tolist()):
+                self.at[g].append((t, p))
+        self.keys, self.word_keys = (np.array(sorted(x), np.uint64) for x in (self.at, self.word_at))
+
+    def hits(self, grams: np.ndarray, single: bool = False) -> np.ndarray:
+        """Places of grams, or single words, that the index holds."""
+        keys = self.word_keys if single else self.keys
+        at = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
+        return np.flatnonzero(keys[at] == grams) if len(keys) and len(grams) else np.zeros(0, np.int64)
 
 
 def align(template: list[str], text: list[str], shift: int, since: int = 0, band: int = BAND) -> tuple[int, int, int]:
@@ -94,6 +112,29 @@ def align(template: list[str], text: list[str], shift: int, since: int = 0, band
     return max(best.values(), key=lambda v: (v[0], v[1] - v[2], -v[1]), default=(0, -1, -1))
 
 
+def short_matches(template: list[str], words: list[str], hits: list[tuple[int, int]], least: float) -> Iterator[tuple[int, int, int]]:
+    """(matched, first, past last) of a short template's matches: the best first, then those in what it leaves free."""
+    n, counted, taken = len(template), Counter(template), set()
+    heap: list[tuple[int, int, int, int, int, int, int]] = []
+
+    def look(shift: int, a: int, z: int) -> None:
+        if z > a and (counted & Counter(words[a:z])).total() >= least:
+            matched, first, past = align(template, words[a:z], shift - a)
+            if matched >= least:
+                heapq.heappush(heap, (-matched, past - first, first + a, past + a, shift, a, z))
+
+    for shift in sorted({s + d for _, s in hits for d in range(-BAND, BAND + 1)}):
+        look(shift, max(0, shift - BAND), min(len(words), shift + n + BAND))
+    while heap:
+        matched, _, first, past, shift, a, z = heapq.heappop(heap)
+        if taken.isdisjoint(range(first, past)):
+            yield -matched, first, past
+            taken.update(range(first, past))
+        edges = [a - 1, *(p for p in range(a, z) if p in taken), z]
+        for e, f in pairwise(edges):
+            look(shift, e + 1, f)
+
+
 def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float]]:
     """(first word, past last word, template, coverage) of each match; hits: (place, template, place in template)."""
     places = defaultdict(list)
@@ -101,6 +142,9 @@ def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index,
         places[t].append((place, place - p))
     found = []
     for t, own in places.items():
+        if len(index.words[t]) < SHORT:
+            found += [(*m, t) for m in short_matches(index.words[t], words, own, min_coverage * len(index.words[t]))]
+            continue
         end, failed = 0, None
         for place, shift in sorted(own):
             if place < end or failed is not None and abs(shift - failed) <= BAND // 2:
@@ -112,7 +156,7 @@ def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index,
             else:
                 failed = shift
     out: list[tuple[int, int, int, float]] = []
-    for matched, first, end, t in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
+    for matched, first, end, t in sorted(found, key=lambda x: (-x[0], len(index.words[x[3]]), x[1], x[3])):
         if all(end <= a or first >= z for a, z, _, _ in out):
             out.append((first, end, t, matched / len(index.words[t])))
     return sorted(out)
@@ -120,7 +164,7 @@ def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index,
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start and end (code points) and the matched text, of every occurrence."""
-    index = Index(templates)
+    index = Index(templates, min_coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -134,11 +178,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
             own = np.searchsorted(seen, ends)  # words of punctuation alone don't count
             grams, starts = gram_hashes(table[which[seen]], own, GRAM)
             hits = index.hits(grams)
+            single = index.hits(table[which[seen]], single=True)
             rows = []
-            doc = np.searchsorted(starts, hits, side="right") - 1
-            for d in np.unique(doc).tolist():
+            doc, single_doc = np.searchsorted(starts, hits, side="right") - 1, np.searchsorted(own, single, side="right") - 1
+            for d in np.union1d(doc, single_doc).tolist():
                 a, z = own[d], own[d + 1]
                 mine = [(int(h - starts[d]), t, p) for h in hits[doc == d] for t, p in index.at[int(grams[h])]]
+                mine += [(int(h - own[d]), t, p) for h in single[single_doc == d] for t, p in index.word_at[int(table[which[seen[h]]])]]
                 matches = scan_words([normal[i] for i in which[seen[a:z]].tolist()], mine, index, min_coverage)
                 if matches:
                     text = texts[d].as_py()

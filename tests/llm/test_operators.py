@@ -448,6 +448,33 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_without_index():
+    """Damaged notices are found exactly where alignment at every place finds them."""
+    rng = random.Random(23)
+    index = licenses.Index()
+    for t in range(len(index.names)):
+        template = index.words[t]
+        n = len(template)
+        for _ in range(6 if n < licenses.SHORT else 2):
+            gone = set(rng.sample(range(n), rng.randint(0, n // 5))) if n < licenses.SHORT else set(range(rng.randrange(5), n, 5)) if n % 5 == 0 else set(range(4, n, 5))
+            words = ["x"] * 40 + [w for p, w in enumerate(template) for w in (["y"] if p in gone else [*["z"] * (n < licenses.SHORT and p % 3 == 1), w])] + ["x"] * 40
+            best = max((licenses.align(template, words, s)[0] for s in range(len(words))), default=0)
+            assert best >= 0.8 * n
+            single = [(k, u, p) for k, w in enumerate(words) for u, p in index.word_at.get(licenses._hash(w), [])]
+            grams, _ = licenses.gram_hashes(np.array([licenses._hash(w) for w in words], np.uint64), np.array([0, len(words)]), licenses.GRAM)
+            hits = [(int(k), u, p) for k in index.hits(grams) for u, p in index.at[int(grams[k])]]
+            only = [h for h in hits + single if h[1] == t]
+            assert [round(c * n) for _, _, u, c in licenses.scan_words(words, only, index) if u == t] == [best], index.names[t]
+
+
+def test_licenses_short_and_alike(spark):
+    rows = [(1, "Released under MIT License"), (2, "x Released under the terms of the MIT License. y"), *((3, licenses.TEMPLATES[k]) for k in ("GPL-3.0-notice", "CC-BY-4.0")), (4, "Released under the MIT License. Released under MIT License.")]
+    got = licenses.scan(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in got) == [(1, "MIT", 0.8), (2, "MIT", 1.0), (3, "CC-BY-4.0", 1.0), (3, "GPL-3.0-notice", 1.0), (4, "MIT", 0.8), (4, "MIT", 1.0)]
+    many = licenses.scan(frame(spark, [(1, "Released under the MIT License. " * 3000)])).collect()
+    assert len(many) == 3000 and {r["coverage"] for r in many} == {1.0}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
