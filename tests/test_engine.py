@@ -104,6 +104,13 @@ def test_complexity_of_short_and_blank_items(spark):
     assert got == {1: (20, 0.25, 0.0), 2: (20, 0.35, 0.2), 3: (20, 0.25, 0.0), 4: (0, None, 0.0)}
 
 
+def test_order_eras_covers_all_orders(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["order_eras"](spark, sf).collect()
+    assert sum(r["n"] for r in got) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert all((r["era"] is None) == (r["y"] is None or r["y"] < 2000) for r in got)
+
+
 def test_small_goldens(spark):
     data = [(1, i, s) for i, s in enumerate(["short", "tiny", "this is a long line over twenty chars", "12345", "end×", "x"])]
     merged = lines.merge_short_lines(spark.createDataFrame(data, "doc_id int, line_no int, line string"))
