@@ -251,7 +251,7 @@ def layout_improved(spark, sf_dir):
     return layout.text_improved(A.layout_items(spark, sf_dir), normalise=False)
 
 
-_COMPLEX = "dx AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY doc_id ORDER BY line_no, word_no)) AS dx FROM it), cx AS (SELECT doc_id, page_no, count(*) AS n_items, count(DISTINCT y) / count(*) AS y_variation, count(DISTINCT font) AS fonts, var_pop(dx) AS dx_variance, avg((length(str) < 3)::INT) AS short_ratio FROM dx GROUP BY doc_id, page_no), sc AS (SELECT *, least(1, CASE WHEN y_variation > 0.1 THEN 0.3 ELSE 0 END + CASE WHEN fonts > 3 THEN 0.2 ELSE 0 END + CASE WHEN dx_variance > 1000 THEN 0.3 ELSE 0 END + CASE WHEN short_ratio > 0.2 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM cx)"
+_COMPLEX = f"full_items AS (SELECT * FROM it WHERE {_trim('str')} <> ''), dx AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY doc_id ORDER BY line_no, word_no)) AS dx FROM full_items), cy AS (SELECT doc_id, page_no, count(*) AS n, count(DISTINCT y) / count(*) AS y_variation, count(DISTINCT font) AS fonts, var_pop(dx) AS dx_variance, avg((length(str) < 3)::INT) AS short_ratio FROM dx GROUP BY doc_id, page_no), cx AS (SELECT doc_id, page_no, coalesce(n, 0) AS n_items, y_variation, coalesce(fonts, 0) AS fonts, dx_variance, short_ratio FROM (SELECT DISTINCT doc_id, page_no FROM it) LEFT JOIN cy USING (doc_id, page_no)), sc AS (SELECT *, least(1, CASE WHEN y_variation > 0.1 THEN 0.3 ELSE 0 END + CASE WHEN fonts > 3 THEN 0.2 ELSE 0 END + CASE WHEN dx_variance > 1000 THEN 0.3 ELSE 0 END + CASE WHEN short_ratio > 0.3 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM cx)"
 
 
 @query(f"WITH {_ITEMS}, {_COMPLEX} SELECT doc_id, page_no, n_items, fonts, round(y_variation, 6) AS y_variation, round(short_ratio, 6) AS short_ratio, round(score, 6) AS score FROM sc")
@@ -328,7 +328,7 @@ def file_names(spark, sf_dir):
     return spark.createDataFrame(_NAMES, "id int, s string").select("id", detect.section_from_file(s).alias("section"), detect.file_year(s).alias("year"))
 
 
-@query("""SELECT year(o_orderdate)::INT AS y, CASE WHEN year(o_orderdate) % 100 >= 19 THEN 'R' || (year(o_orderdate) % 100 - 18) ELSE 'H' || (year(o_orderdate) % 100 + 12) END AS era, count(*) AS n FROM orders WHERE year(o_orderdate) >= 2000 GROUP BY ALL""")
+@query("""SELECT year(o_orderdate)::INT AS y, CASE WHEN year(o_orderdate) < 2000 THEN NULL WHEN year(o_orderdate) % 100 >= 19 THEN 'R' || (year(o_orderdate) % 100 - 18) ELSE 'H' || (year(o_orderdate) % 100 + 12) END AS era, count(*) AS n FROM orders GROUP BY ALL""")
 def order_eras(spark, sf_dir):
     rows = A.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
     return rows.groupBy("y").agg(F.count("*").alias("n")).select("y", detect.line_year(F.col("y").cast("string")).alias("era"), "n")
