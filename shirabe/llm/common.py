@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that the operators at work have cut, a list for each scratch() entered.
+_open_cuts: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -51,9 +55,33 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _open_cuts:
+        _open_cuts[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut inside are deleted at the end, but for those written by the function given, which outlive it."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(cut(df))
+        return kept[-1]
+
+    _open_cuts.append(own)
+    try:
+        yield keep
+    finally:
+        _open_cuts.pop()
+        for df in own:
+            if all(df is not k for k in kept):
+                drop_cut(df)
+        if _open_cuts:
+            _open_cuts[-1].extend(kept)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     path = getattr(df, "_cut_path", None)

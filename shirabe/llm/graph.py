@@ -38,16 +38,27 @@ class UnionFind:
         return True
 
 
+#: Ids that a task's union-find holds before it gives its stars and begins anew.
+MOST_IDS = 1 << 19
+
+
+def _stars(sets: UnionFind) -> Iterator[pa.RecordBatch]:
+    pairs = [(x, root) for x in sets.parent if (root := sets.find(x)) != x]
+    for i in range(0, len(pairs), 50_000):
+        u, v = zip(*pairs[i : i + 50_000], strict=True)
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A star for each component of this partition's edges; memory follows the partition's ids."""
+    """Stars for the components of this partition's edges, MOST_IDS ids at a time; edges that tie two of them follow later."""
     sets = UnionFind()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.union(a, b)
-    pairs = [(x, root) for x in sets.parent if (root := sets.find(x)) != x]
-    for i in range(0, len(pairs), 50_000):
-        u, v = zip(*pairs[i : i + 50_000], strict=True)
-        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if len(sets.parent) > MOST_IDS:
+            yield from _stars(sets)
+            sets = UnionFind()
+    yield from _stars(sets)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

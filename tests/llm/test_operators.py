@@ -252,12 +252,77 @@ def test_near_vectors(spark):
 
 def test_dual_traversal_prunes():
     rng = np.random.default_rng(6)
-    x = np.concatenate([c + rng.normal(size=(300, 8)) * 0.05 for c in rng.normal(size=(20, 8)) * 3])
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    clustered = unit(np.concatenate([c + rng.normal(size=(300, 8)) * 0.05 for c in rng.normal(size=(20, 8)) * 3]))
+    groups = [2, 3, 4, 5, 6, 7, 400]
+    planted = unit(np.concatenate([rng.normal(size=(800, 64)), *(rng.normal(size=(1, 64)) + 0.05 * rng.normal(size=(k, 64)) for k in groups), rng.normal(size=(1, 64)) + 0.33 * rng.normal(size=(200, 64))]))
+    for x, cosine in ((clustered, 0.995), (planted, 0.9)):
+        weight = rng.integers(1, 4, len(x))
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        tree = covertree.CoverTree(x)
+        links = covertree.Links(weight)
+        work = covertree.dual_traversal(tree, tree, cosine, links)
+        root, u = links.roots(), np.arange(len(x))
+        while (low := np.where(near | np.eye(len(x), dtype=bool), u[None, :], len(x)).min(1)).tolist() != u.tolist():
+            u = low
+        assert (links.count == near @ weight).all() and (root == u).all()
+        assert work.multiplied < len(x) ** 2 / 4 and work.pruned + work.counted > 0
+        # two trees: every link between their points, none of a tree with itself
+        links = covertree.Links(np.concatenate([weight[::2], weight[1::2]]))
+        covertree.dual_traversal(covertree.CoverTree(x[::2]), covertree.CoverTree(x[1::2]), cosine, links, len(x[::2]))
+        across = near[::2, 1::2]
+        assert (links.count == np.concatenate([across @ weight[1::2], across.T @ weight[::2]])).all()
+    assert work.counted >= sum(k * k for k in groups) / 2  # groups of copies are counted, not multiplied
+
+
+def test_cover_tree_levels():
+    """Centers of a level lie apart, members within their center's measured radius, nodes hold what their children hold."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 6)), *(rng.normal(size=(1, 6)) * 4 + 0.1 * rng.normal(size=(60, 6)) for _ in range(8))])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    tree, seen, pairs = covertree.CoverTree(x, leaf_points=64), [], []
-    covertree.dual_traversal(tree, tree, 0.995, lambda r, c, near: (seen.append(near.size), pairs.extend((min(a, b), max(a, b)) for a, b in zip(r[np.nonzero(near)[0]], c[np.nonzero(near)[1]], strict=True))))
-    want = np.argwhere(np.triu(x @ x.T >= 0.995, 1))
-    assert sorted(pairs) == sorted(map(tuple, want)) and sum(seen) < len(x) ** 2 / 4
+    tree = covertree.CoverTree(x, leaf_points=8)
+    assert sorted(tree.order) == list(range(len(x)))
+    todo, depth = [tree.root], 0
+    while todo:
+        node = todo.pop()
+        members = tree.order[node.first : node.last]
+        far = np.linalg.norm(x[members] - x[node.center], axis=1)
+        assert far.max() <= node.radius + 1e-6
+        if node.children:
+            depth += 1
+            assert sorted(p for c in node.children for p in tree.order[c.first : c.last]) == sorted(members)
+            level = [c.center for c in node.children if c.reach > tree.tight]
+            gaps = np.linalg.norm(x[level][:, None] - x[level][None], axis=2) + 4 * np.eye(len(level))
+            assert gaps.size == 0 or gaps.min() > max(c.reach for c in node.children) - 1e-9
+            assert all(c.reach <= node.reach / 2 for c in node.children)
+            todo += node.children
+    assert depth > 8
+
+
+def test_near_vectors_of_several_lengths_and_hot_groups(spark):
+    rng = np.random.default_rng(12)
+    rows, first = [], 0
+    for size, groups in ((16, [1] * 60 + [2, 3, 7, 150]), (5, [1] * 20 + [4, 90]), (3, [2, 1])):
+        for k in groups:
+            center = rng.normal(size=size)
+            for _ in range(k):
+                rows.append((first, [float(x) for x in center + 0.05 * rng.normal(size=size)]))
+                first += 1
+    rows += [(first + k, rows[100][1]) for k in range(200)]  # a third are copies of one
+    rows += [(3, rows[70][1]), (3, None), (9000, None), (9000, [0.0, 0.0])]  # repeated vec_ids
+    got = covertree.near_vectors(vectors(spark, rows), 0.9, sample=100, max_leaves=6, part=40, populous=6).collect()
+    ids = [i for i, _ in rows]
+    unit = [None if v is None or not any(v) else np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for _, v in rows]
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    comp = components(set(ids), [(ids[a], ids[b]) for a, b in near])
+    n_links = defaultdict(int)
+    for a, b in near:
+        n_links[a] += 1
+        n_links[b] += 1
+    want = sorted((i, n_links[k], comp[i], comp[i] == i) for k, (i, _) in enumerate(rows))
+    assert sorted(tuple(r) for r in got) == want
+    assert max(n_links.values()) > 200
 
 
 def next_texts(rows):
