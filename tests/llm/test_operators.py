@@ -335,17 +335,21 @@ def test_fingerprints(spark):
     got = fingerprint.with_next(frame(spark, rows), ranges=7, chars=4000).collect()
     pairs = next_texts(rows)
     assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r["fingerprint"] for r in got}
+    order = sorted((i for i, _ in rows), reverse=True)
+    after_id = dict(zip(order, order[1:] + order[:1], strict=True))
     for r in got:
         text, after = pairs[r["doc_id"]]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         assert (r["n_chars"], r["edited_text"]) == (len(text), edited)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (text == edited)
-        digests = [fingerprint.paragraph_digests(fingerprint.pa.array([t]))[0].tolist() for t in (text, edited, after)]
-        for other, value in ((digests[1], r["near_edited"]), (digests[2], r["near_next"])):
-            both = len(digests[0]) + len(other)
-            assert value == (1 - len(set(digests[0]) ^ set(other)) / both if both else 1.0)
+        # the strings alone give the likeness and the paragraphs that differ
+        digests = [set(fingerprint.paragraph_digests(fingerprint.pa.array([t]))[0].tolist()) for t in (text, edited, after)]
+        for other, string, value in ((digests[1], r["edited_fingerprint"], r["near_edited"]), (digests[2], by_id[after_id[r["doc_id"]]], r["near_next"])):
+            near, mine, theirs = fingerprint.compare(r["fingerprint"], string)
+            assert near == value == (1 - len(digests[0] ^ other) / (len(digests[0]) + len(other)) if digests[0] or other else 1.0)
+            assert mine == sorted(digests[0] - other) and theirs == sorted(other - digests[0])
     by_text = defaultdict(set)
     for r in got:
         by_text[pairs[r["doc_id"]][0]].add(r["fingerprint"])
@@ -353,7 +357,47 @@ def test_fingerprints(spark):
     assert fingerprint.with_next(frame(spark, [])).count() == 0
     alone = fingerprint.with_next(frame(spark, [(5, "a b")])).first()
     assert alone["near_next"] == 1 and alone["edited_text"] == "a a"
-    assert fingerprint.with_next(frame(spark, corpus())).count() == len(corpus())
+    many = [*corpus(), *((None, f"no id {i}") for i in range(60)), *((None, None) for _ in range(40))]
+    assert fingerprint.with_next(frame(spark, many)).count() == len(many)
+
+
+def test_fingerprints_find_the_changed_lines():
+    """Lines are paragraphs (of one or several pieces): what a changed line adds and takes away comes out, and nothing else."""
+    rng = random.Random(31)
+    for n, changed in ((1, 1), (40, 1), (40, 7), (300, 300), (3000, 2)):
+        line = lambda i: " ".join(f"{i}w{rng.randrange(10**9)}" for _ in range(10))
+        old = [line(i) for i in range(n)]
+        new = list(old)
+        for i in rng.sample(range(n), changed):
+            new[i] = line(i)
+        pieces = lambda lines: {d for x in lines for d in fingerprint.paragraph_digests(fingerprint.pa.array([x + "\n"]))[0].tolist()}
+        prints = []
+        for lines in (old, new):
+            text = "".join(x + "\n" for x in lines)
+            prints.append(fingerprint.Prints.of(*fingerprint.paragraph_digests(fingerprint.pa.array([text]))).strings([text])[0])
+        near, gone, come = fingerprint.compare(*prints)
+        before, after = pieces(old), pieces(new)
+        assert (gone, come) == (sorted(before - after), sorted(after - before))
+        total = sum(len(fingerprint.paragraph_digests(fingerprint.pa.array([x + "\n"]))[0]) for x in old + new)
+        assert near == 1 - (len(gone) + len(come)) / total
+    with pytest.raises(ValueError):
+        fingerprint.compare(prints[0], prints[1].replace("-3000-", "-2999-").replace(prints[1].split("-")[1], "1"))
+
+
+def test_sketches_fold_and_peel():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 60, 900):
+        a, b = (fingerprint._checked(rng.integers(1, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        common = fingerprint._checked(rng.integers(1, 2**63, 500, dtype=np.uint64))
+        zero = lambda x: np.zeros(len(x), np.int64)
+        one, two = (fingerprint.Sketches.of(np.concatenate([x, common]), zero(np.concatenate([x, common])), np.array([t])) for x, t in ((a, 12), (b, 10)))
+        small = one.fold(np.array([10]))
+        direct = fingerprint.Sketches.of(np.concatenate([a, common]), zero(np.concatenate([a, common])), np.array([10]))
+        assert (small.count == direct.count).all() and (small.key == direct.key).all()
+        gap = small.minus(two)
+        assert abs(gap.guess()[0] - 2 * n) <= 0.2 * n + 3
+        _, digest, sign, whole = gap.peel()
+        assert whole.all() and set(digest[sign > 0].tolist()) == set(a.tolist()) and set(digest[sign < 0].tolist()) == set(b.tolist())
 
 
 def language_rows(n=60, seed=1):
