@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Text is cut where the tokenizer's own pattern always cuts (a single space between visible characters), each
-different piece is encoded once a slice, and ids are dealt back by position. A long piece without any cut is
-halved down to leaves; the leaves are encoded in parallel, then neighbours are joined bottom-up: a window around
-the join is encoded again and grows until both of its edges agree exactly with what stands beside it.
+A long text is halved, at whatever character that falls on, down to leaves of at most `LEAF_CHARS`. The leaves of all
+texts of a slice are encoded side by side with its short texts: cut where the tokenizer's own pattern always cuts (a
+single space between visible characters), each different piece encoded once, ids dealt back by position. Then
+neighbours are joined bottom-up: a window around the join is encoded again and grows until both of its edges agree
+exactly with what stands beside it. An edge of a window of text agrees where the pattern cuts whatever stands around it
+and where both encodings begin a token. A piece that the pattern cuts nowhere is halved the same way, by bytes, down to
+`LEAF_BYTES`; there an edge agrees where the two tokens that meet stay apart.
 
 Defined results: null text is the empty text and has no ids; empty and very long texts, repeated rows, repeated
 or null doc_ids and empty tables are encoded row by row; other columns of the input are ignored.
@@ -14,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +30,11 @@ from .common import text_slices, texts_of
 
 #: Fixed value: how byte-level BPE cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_BYTES = 512
+#: Where the pattern cuts whatever stands around: before white space behind a visible character, and where letters, digits
+#: and other visible characters meet.
+SAFE_CUT = r"""(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"""
+#: The longest leaves of a text and of a piece, and the characters on both sides of a join that a window begins with.
+LEAF_CHARS, LEAF_BYTES, WINDOW = 4096, 512, 64
 #: Bytes of text whose different pieces are encoded together.
 BPE_SLICE_BYTES = 8 << 20
 
@@ -40,6 +46,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(spare)}
 
 
+def _check_file(spec: dict, path: str) -> None:
+    """Refuse what this module would encode otherwise than the library."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("byte_fallback") or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError(f"not a plain byte-level BPE: {path}")
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        raise ValueError(f"ids do not follow the order of merges: {path}")
+
+
 class Bpe:
     """A vocabulary file of the tokenizers library, read as bytes."""
 
@@ -47,6 +63,7 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
+        _check_file(spec, path)
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -59,8 +76,11 @@ class Bpe:
         self.tokens = table
         self.token_array = pa.array(table, pa.large_binary())
         self.opens = np.array([t[:1] == b" " for t in table])
+        self.sizes = np.array([len(t) for t in table], np.int64)
         self._pair_ok: dict[tuple[int, int], bool] = {}
-        self.cut = regex.compile(PATTERN)
+        self.cut, self.safe = regex.compile(PATTERN), regex.compile(SAFE_CUT)
+        #: Texts' and pieces' joins made so far, and the characters of text encoded again for them.
+        self.text_joins = self.piece_joins = self.again = 0
 
     # one piece that the pattern does not cut
 
@@ -88,19 +108,59 @@ class Bpe:
                 return left[:i] + inner + right[j:]
             width *= 2
 
-    def encode_long(self, piece: bytes, pool: ThreadPoolExecutor | None = None) -> list[int]:
+    def encode_long(self, piece: bytes) -> list[int]:
         """A piece of any length by tree concatenation; halves keep whole code points' bytes wherever they fall."""
-        if len(piece) <= LEAF_BYTES:
-            return self._whole(piece)
-        leaves, spans = [], [piece]
+        spans = [piece]
         while len(spans[0]) > LEAF_BYTES:
             spans = [half for s in spans for half in (s[: len(s) // 2], s[len(s) // 2 :]) if half]
-        leaves = list((pool.map if pool else map)(self._whole, spans))
+        leaves = [self._whole(s) for s in spans]
         while len(leaves) > 1:
-            pairs = [(leaves[i], leaves[i + 1] if i + 1 < len(leaves) else []) for i in range(0, len(leaves), 2)]
-            leaves = [self.join(a, b) for a, b in pairs]
+            self.piece_joins += len(leaves) // 2
+            leaves = [self.join(leaves[i], leaves[i + 1] if i + 1 < len(leaves) else []) for i in range(0, len(leaves), 2)]
         return leaves[0]
 
+    # a text by its halves
+
+    def join_texts(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+        """The encoding of two neighbouring texts (text, ids), by a growing window around the join."""
+        (a, ids_a), (b, ids_b) = left, right
+        self.text_joins += 1
+        text, ends_a, ends_b, width = a + b, None, None, WINDOW
+        while True:
+            # the last place in a, and the first in b, at least width away, where the pattern always cuts
+            low, high = max(0, len(a) - width), min(len(b), width)
+            start = max((m.start() for m in self.safe.finditer(text, max(0, low - width), low + 1)), default=0) if low else 0
+            if not start and low > width:
+                width *= 2
+                continue
+            m = self.safe.search(text, len(a) + high) if high < len(b) else None
+            stop = m.start() if m else len(text)
+            inner = self._plain(text[start:stop])
+            ends_a = np.cumsum(self.sizes[ids_a]) if ends_a is None else ends_a
+            ends_b = np.cumsum(self.sizes[ids_b]) if ends_b is None else ends_b
+            i = self._token_at(ends_a, len(a[:start].encode()))
+            j = self._token_at(ends_b, len(b[: stop - len(a)].encode()))
+            self.again += stop - start
+            if i is not None and j is not None:
+                return text, np.concatenate([ids_a[:i], np.array(inner, np.uint32), ids_b[j:]])
+            width *= 2
+
+    @staticmethod
+    def _token_at(ends: np.ndarray, at: int) -> int | None:
+        """How many tokens end at a byte, if one does."""
+        if not at:
+            return 0
+        i = int(np.searchsorted(ends, at))
+        return i + 1 if i < len(ends) and ends[i] == at else None
+
+    @staticmethod
+    def halves(text: str) -> list[str]:
+        """Leaves of a long text, in order; 2^k of them."""
+        spans = [text]
+        while len(spans[0]) > LEAF_CHARS:
+            spans = [half for s in spans for half in (s[: len(s) // 2], s[len(s) // 2 :])]
+        return spans
+
     # texts
 
     def encode_text(self, text: str) -> np.ndarray:
@@ -114,15 +174,39 @@ class Bpe:
         return np.array(out + self._plain(text[at:]), np.uint32)
 
     def _plain(self, text: str) -> list[int]:
+        """Text without special tokens' strings."""
         if len(text) <= LEAF_BYTES:
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for m in self.cut.finditer(text):
-            out += self.encode_long(m[0].encode(), _threads())
+            out += self.encode_long(m[0].encode())
         return out
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (no nulls), and where each text's ids begin and end."""
+        """All ids of the texts (no nulls), and where each text's ids begin and end; long texts by tree concatenation."""
+        long = pc.greater(pc.utf8_length(texts), LEAF_CHARS)
+        for s in self.special:
+            long = pc.and_not(long, pc.match_substring(texts, s))
+        rows = np.flatnonzero(long.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return self._encode_short(texts)
+        spans = [self.halves(texts[int(i)].as_py()) for i in rows]
+        count = np.ones(len(texts), np.int64)
+        count[rows] = [len(x) for x in spans]
+        first = np.cumsum(count) - count
+        short = pa.concat_arrays([x for i, own in zip([-1, *rows[:-1].tolist()], range(len(rows)), strict=True) for x in (texts.slice(i + 1, int(rows[own]) - i - 1), pa.array(spans[own], pa.string()))] + [texts.slice(int(rows[-1]) + 1)])
+        ids, ends = self._encode_short(short)
+        out, total, at = [], np.diff(ends[np.concatenate([first, [len(short)]])]), 0
+        for i, own in zip(rows.tolist(), spans, strict=True):
+            f = int(first[i])
+            parts = [(s, ids[ends[f + k] : ends[f + k + 1]]) for k, s in enumerate(own)]
+            while len(parts) > 1:
+                parts = [self.join_texts(parts[k], parts[k + 1]) for k in range(0, len(parts), 2)]
+            out += [ids[at : ends[f]], parts[0][1]]
+            total[i], at = len(parts[0][1]), ends[f + len(own)]
+        return np.concatenate([*out, ids[at:]]), np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
+
+    def _encode_short(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         parts = pc.split_pattern(texts, " ")
         ends = parts.offsets.to_numpy().astype(np.int64)
@@ -145,8 +229,9 @@ class Bpe:
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one), " ")[0].as_py()
         ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(" " + joined, set()), np.uint32) if len(one) else np.zeros(0, np.uint32)
         begins = np.concatenate([np.flatnonzero(self.opens[ids]), [len(ids)]])
-        if len(begins) != len(one) + 1:
-            raise AssertionError("a piece was cut inside")
+        if len(begins) != len(one) + 1:  # should a piece be cut inside, each text goes by itself
+            each = [self.encode_text(t) for t in texts.to_pylist()]
+            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)]).astype(np.int64)
         begin, length = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
         begin[plain], length[plain] = begins[:-1], np.diff(begins)
         # a text's first piece has no space before it; odd texts go by themselves
@@ -192,11 +277,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-@lru_cache(maxsize=1)
-def _threads() -> ThreadPoolExecutor:
-    return ThreadPoolExecutor(2)
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of each text."""
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,40 @@ def test_bpe(spark, tokenizer):
     assert bpe.round_trip(frame(spark, []), PATH).count() == 0
 
 
+def test_texts_join_from_halves(tokenizer):
+    """Long texts come from halves that fall anywhere, joined by windows far smaller than the texts."""
+    rng = random.Random(41)
+    model = bpe.Bpe(PATH)
+    kinds = ["a", "b", " ", "  ", "\n", "'s", "é", "1", "!", " the", "😀", "don't", "日本", "\t", "x" * 30, " ", "_", "--"]
+    mixed = ["".join(rng.choice(kinds) for _ in range(rng.randint(3000, 9000))) for _ in range(25)]
+    plain = [words(rng, 6000) for _ in range(3)]
+    odd = ["a" * 20000, "日本語" * 5000, " " * 10000, "'s" * 6000, "\n" * 9000, "ab1!" * 4000, "é" * 9000, "x<|endoftext|>" * 900, "12" * 5000 + " x" * 3000]
+    texts = [*mixed[:10], "", "short", *plain, *odd, *mixed[10:], "last"]
+    ids, ends = model.encode_column(bpe.pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in itertools.pairwise(ends)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert model.text_joins > 100 and model.piece_joins > 100
+    model.text_joins = model.again = 0
+    model.encode_column(bpe.pa.array(plain))
+    assert model.text_joins >= 3 * 7 and model.again < 400 * model.text_joins
+    documents = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    model.text_joins = 0
+    ids, ends = model.encode_column(bpe.pa.array([t or "" for t in documents]))
+    assert model.text_joins > 0
+    for t, a, z in zip(documents, ends[:-1], ends[1:], strict=True):
+        if len(t or "") > bpe.LEAF_CHARS:
+            assert ids[a:z].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_refuses_other_files(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Bpe(str(tmp_path / "other.json"))
+
+
 def test_packing(spark, tokenizer):
     rows = [*corpus(), *((1000 + i, "a b c " * (i % 7)) for i in range(300))]
     got = packing.pack(frame(spark, rows), PATH, capacity=256).collect()
