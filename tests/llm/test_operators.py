@@ -557,17 +557,96 @@ def test_html(html, text):
         ("<svg><foreignObject><p>in</p></foreignObject><metadata>no</metadata></svg><metadata>yes</metadata>", "in\n\nyes"),
         ("<b>" * 250 + "<span hidden>no<i>no</i>no</span>yes<i hidden>no", "yes"),
         ("<div hidden>" + "<b>" * 250 + "<div>no</div>no" + "</b>" * 250 + "no</div>yes", "yes"),
-        ("<ul><li>a" + "<b>" * 250 + "<ul><li hidden>no<li>yes</ul>" + "</b>" * 250 + "<li>z</ul>", "- a\n\n  yes\n- z"),
+        ("<ul><li>a" + "<b>" * 250 + "<ul><li hidden>no<li>yes</ul>" + "</b>" * 250 + "<li>z</ul>", "- a\n\n  - yes\n- z"),
     ],
 )
 def test_html_foreign_and_deep(html, text):
     assert htmltext.html_text(html) == text
 
 
-@pytest.mark.parametrize("piece", ["<a \"", "<a '", "<a ", "<!", "&", "<a \"x\" ", "<table><tr><td>", "</p>", "<ul><li>", "<a b=\"'"])
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # an end tag reaches nothing beyond the cell it stands in
+        ("<div><table><tr><td>a</div></td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table></div>", "a  b\nc  d"),
+        ("<ul><li>x<table><tr><td>a</li></ul></span></td><td>b</table><li>y</ul>z", "- x\n\n  a  b\n- y\n\nz"),
+        ("<div>a<span>b<p>c</span>d</p></div>", "ab\n\ncd"),
+        # visibility is inherited and taken back
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>c</b>d</div>e", "c\ne"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "b"),
+        ("<p style='color:red; display:none'>a</p><p style='display:none;display:block'>b</p>", "b"),
+        ("<span style='display:block'>a</span>b<div style='display:inline'>c</div>", "a\nbc"),
+        ("a<details><summary>more</summary>hidden <p>text</details><details open><summary>s</summary>t</details>", "a\nmore\ns\nt"),
+        ("<ol><li value=7>a<li>b<li hidden>no<li value=x>c</ol>", "7. a\n8. b\n9. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol><ol start=-1><li>x<li>y</ol>", "3. a\n2. b\n1. c\n\n-1. x\n0. y"),
+        ("<input type=number value=5> <input type=password value=x> <input type=checkbox value=y><input value=z>", "5 z"),
+        # heads end where a body must begin, CDATA is text in svg and math only
+        ("<head><title>T</title>seen<p>too", "seen\n\ntoo"),
+        ("<title>a</title><meta x><link y><a href=z>b</a>", "b"),
+        ("a<![CDATA[no]]>b<svg><text><![CDATA[yes]]></text></svg>", "ab\nyes"),
+        ("<blockquote><p>a<p>b<blockquote>c</blockquote></blockquote>d", "> a\n>\n> b\n>\n> > c\n\nd"),
+        # spans
+        ("<table><tr><td colspan=2>wide one<td>c<tr><td>a<td>b<td>c</table>", "wide one  c\na  b  c"),
+        ("<table><tr><td colspan=1000 rowspan=9>x<td>y<tr><td>z</table>", "x  y\n   z"),
+        ("<table><caption>Cap</caption><tr><td>a<br>b<td>c</table>", "Cap\na  c\nb"),
+        # deep nesting loses nothing
+        ("<div>" * 205 + "<p hidden>secret</p>seen", "seen"),
+        ("<b>" * 5000 + "<ul><li>a<li hidden>no<li><table><tr><td>x<td>y</table></ul>" + "</b>" * 5000 + "<span hidden>no</span>z", "- a\n- x  y\n\nz"),
+        ("<table><tr><td>a<td>" * 12 + "end", None),
+    ],
+)
+def test_html_rules(html, text):
+    got = htmltext.html_text(html)
+    assert got == text if text is not None else got.split() == ["a"] * 12 + ["end"]
+
+
+def test_html_deep_pages_keep_every_word():
+    for piece in ("<div>x ", "<ul><li>x ", "<blockquote>x ", "<table><tr><td>x<td>", "<b>x ", "<dl><dd>x ", "<table><tr><td rowspan=9 colspan=3>x "):
+        got = htmltext.html_text(piece * 3000)
+        assert got.count("x") == 3000 and max(map(len, got.split("\n"))) < 10000
+
+
+def test_html_against_another_parser():
+    """All text of the pages, in order, as the standard library's tokeniser finds it."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if self.off or tag in ("head", "script", "style", "template", "noscript") or "hidden" in a or "display:none" in a.get("style", "").replace(" ", ""):
+                if tag not in htmltext.VOID:
+                    self.off.append(tag)
+            elif tag == "img":
+                self.words += (a.get("alt") or "").split()
+            elif tag in htmltext.BLOCK:
+                self.words.append("")
+
+        def handle_endtag(self, tag):
+            if tag in self.off:
+                del self.off[self.off.index(tag) :]
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words += data.split()
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    assert len(pages) > 100
+    for page in pages:
+        other = Words()
+        other.feed(page or "")
+        other.close()
+        plain = lambda ws: sorted(c for w in ws if not re.fullmatch(r"-|>|\d+\.", w) for c in w)
+        assert plain(htmltext.html_text(page).split()) == plain(other.words)
+
+
+@pytest.mark.parametrize("piece", ["<a \"", "<a '", "<a ", "<!", "&", "<a \"x\" ", "<table><tr><td>", "</p>", "<ul><li>", "<a b=\"'", "<title>", "<title>x</title>", "<p></span>", "<div></b>", "<blockquote>y", "<tr><td rowspan=65000 colspan=1000>x", "<table><tr><td>x</td><td>", "<details>"])
 def test_html_is_fast_on_broken_pages(piece):
     began = __import__("time").perf_counter()
-    htmltext.html_text(piece * 20000)
+    htmltext.page_text(piece * 20000)
     assert __import__("time").perf_counter() - began < 20
 
 
