@@ -7,7 +7,8 @@ documents at once and stop as soon as every slot of a document holds a value, be
 Documents with equal sets are one class, known by its smallest doc_id. Classes that share a band are candidates. The
 smallest of a band's bucket is compared to the others first (a star, not all pairs); links found are grouped; then
 only classes of a bucket that are still in different groups are compared, in blocks of bounded size, and a class
-needs no more than one link to each group. What shares a band thus ends up linked exactly if a chain of verified
+needs no more than one link to each group. What is compared are sets of shingles of candidates, never texts, and only
+where their sizes allow a link; a block is bounded in members and in shingles. What shares a band thus ends up linked exactly if a chain of verified
 links exists there, whatever the bucket's size. A pair at the threshold shares no band with probability
 (1 - t^rows)^bands; there are as many bands as keep that below `MISS` for the percent asked for.
 
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, text_slices, texts_of
+from .common import cut, join_counted, scratch, text_slices, texts_of
 from .graph import UnionFind, connected_components
 from .words import MULTIPLIER, mix, shingle_sets, times
 
 WORDS, PERCENT = 5, 80
 ROWS, MISS = 6, 1e-6
-#: Members of a bucket that one block of the second comparison takes on its two sides.
-FEW, MANY = 256, 1024
+#: Members of a bucket that one block of the second comparison takes on its two sides, and their shingles on either side;
+#: a larger set is a block of its own.
+FEW, MANY, SHINGLES = 256, 1024, 1 << 20
+#: Candidates' ids go by broadcast up to this number (8 bytes each), beyond it by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _GOLD = MULTIPLIER
 
@@ -106,11 +110,25 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = bands_for(PERCE
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct texts' shingle sets, and which of them each row has."""
-    coded = texts.dictionary_encode()
-    values, starts = shingle_sets(coded.dictionary.cast(pa.string()), words)
-    return [values[a:z] for a, z in zip(starts[:-1], starts[1:], strict=True)], coded.indices.to_numpy(zero_copy_only=False)
+def shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
+    """node and its sorted distinct shingles, of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            values, starts = shingle_sets(texts_of(part), words)
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.record_batch([part.column("node"), lists], names=["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column, in the order of unsigned values."""
+    out = []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        values, ends = x.values.to_numpy().view(np.uint64), x.offsets.to_numpy()
+        out += [values[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -120,44 +138,41 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verify(words: int, percent: int):
+def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(text_slices(batches, "text_u"), "text_v"):
-            (one, i), (two, j) = _sets(texts_of(part, "text_u"), words), _sets(texts_of(part, "text_v"), words)
-            ok = np.fromiter((_similar(one[x], two[y], percent) for x, y in zip(i, j, strict=True)), bool, len(i))
-            yield part.select(["u", "v"]).filter(pa.array(ok))
+        for batch in batches:
+            ok = [_similar(x, y, percent) for x, y in zip(_lists(batch.column("set_u")), _lists(batch.column("set_v")), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _compare_block(words: int, percent: int):
+def _compare_block(percent: int):
     """Links between members of one bucket that are in different groups; at most one from a class to a group."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, few = table["node"].to_numpy(), table["component"].to_numpy(), table["few"].to_numpy()
-        sets, of = _sets(texts_of(table.combine_chunks().to_batches()[0]), words)
-        sets = [sets[i] for i in of]
+        sets = _lists(table["shingles"])
         size = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
-        if not len(flat):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        vocabulary, local = np.unique(flat, return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)])
+        vocabulary, local = np.unique(flat, return_inverse=True)
         groups = UnionFind()
         mark = np.zeros(len(vocabulary), bool)
         u, v = [], []
-        for i in np.flatnonzero(few):
-            if not size[i]:
-                continue
+        for i in np.flatnonzero(few & (size > 0)):
             own = local[starts[i] : starts[i + 1]]
             mark[own] = True
-            common = np.add.reduceat(mark[local], np.minimum(starts[:-1], len(local) - 1)) * (size > 0)
+            # members whose size and group allow a link
+            may = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            if len(may):
+                begin = np.cumsum(size[may]) - size[may]
+                common = np.add.reduceat(mark[local[np.arange(size[may].sum()) + np.repeat(starts[may] - begin, size[may])]], begin, dtype=np.int64)
+                for j in may[100 * common >= percent * (size[may] + size[i] - common)].tolist():
+                    if groups.union(int(comp[i]), int(comp[j])):
+                        u.append(int(ids[i]))
+                        v.append(int(ids[j]))
             mark[own] = False
-            near = np.flatnonzero((100 * common >= percent * (size + size[i] - common)) & (comp != comp[i]))
-            for j in near.tolist():
-                if groups.union(int(comp[i]), int(comp[j])):
-                    u.append(int(ids[i]))
-                    v.append(int(ids[j]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -165,51 +180,64 @@ def _compare_block(words: int, percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; a link is 100 * intersection >= percent * union."""
-    own = docs.select("doc_id", "text")
-    signed = cut(signatures(own, words, bands or bands_for(percent, rows), rows))
+    with scratch() as keep:
+        return keep(_near_duplicates(docs.select("doc_id", "text"), words, percent, bands or bands_for(percent, rows), rows))
+
+
+def _near_duplicates(own: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    signed = cut(signatures(own, words, bands, rows))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # one class for equal sets, and for rows of one doc_id
-    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))
-    entries = cut(classes.select("node", F.explode("bands").alias("key")))
-    buckets = cut(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n"))
+    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.count("*").alias("n")))
+    entries = cut(classes.select("node", "size", F.explode("bands").alias("key")))
+    buckets = cut(entries.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low.node < high").select("key", "low", "n"))
     joined = cut(join_counted(entries, buckets, ["key"], "n"))
-    stars = cut(joined.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct())
-    members = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    # texts of candidates only; a document of several texts gives each of them
-    texts = cut(own.join(members.hint("shuffle_hash"), own["doc_id"] == members["node"]).select("node", "text").distinct())
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
-        right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-        return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-
-    linked = cut(with_texts(stars).mapInArrow(_verify(words, percent), "u long, v long"))
+    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes of sets that can be linked
+    stars = cut(joined.where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size"))).select(F.col("low.node").alias("u"), F.col("node").alias("v")).distinct())
+    # sets of candidates only: members of buckets; a document of several texts gives each of them
+    members = cut(joined.select("node").distinct())
+    hint = F.broadcast if members.count() <= BROADCAST_IDS else lambda df: df.hint("shuffle_hash")
+    candidates = own.join(hint(members), own["doc_id"] == members["node"]).select("node", "text")
+    sets = cut(shingle_arrays(candidates, words).distinct())
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
+        right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v")
+
+    linked = cut(with_sets(stars).mapInArrow(_verify(percent), "u long, v long"))
     first = cut(connected_components(linked))
     # second comparison: buckets of three or more that still hold several groups
-    grouped = joined.where("n > 2").join(first, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
+    grouped = joined.where("n > 2").join(first, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
     sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = cut(sizes.join(mixed, "key").groupBy("key", "n").agg(F.max(F.struct("m", "component")).alias("top")).select("key", "n", F.col("top.component").alias("main")))
     rest = cut(join_counted(grouped, main, ["key"], "n"))
     # outsiders of the bucket's largest group meet every member, blocks of few x many; equal sets of members meet once
-    shape = rest.groupBy("key").agg(F.count(F.when(F.col("component") != F.col("main"), 1)).alias("out"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.hash("node").cast("long")).alias("x2"), F.first("n").alias("n"))
-    once = shape.groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", F.ceil(F.col("k.out") / FEW).cast("int").alias("rows"), F.ceil(F.col("n") / MANY).cast("int").alias("cols"))
+    outside = F.col("component") != F.col("main")
+    shape = rest.groupBy("key").agg(
+        F.count(F.when(outside, 1)).alias("out"),
+        F.sum(F.when(outside, F.col("size")).otherwise(0)).alias("out_size"),
+        F.sum("size").alias("all_size"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"),
+        F.sum(F.hash("node").cast("long")).alias("x2"),
+        F.first("n").alias("n"),
+    )
+    blocks_of = lambda n, most, size: F.greatest(F.ceil(n / most), F.ceil(size / SHINGLES)).cast("int")
+    once = shape.groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "out", "out_size", "all_size")).alias("k")).select("k.key", blocks_of(F.col("k.out"), FEW, F.col("k.out_size")).alias("rows"), blocks_of(F.col("n"), MANY, F.col("k.all_size")).alias("cols"))
     shaped = rest.join(once, "key")
     spread = lambda n, count: F.pmod(F.xxhash64(F.col("node"), F.lit(n)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    out = shaped.where("component <> main").select("key", "node", "component", spread(1, "rows").alias("row"), each("cols").alias("col"), F.lit(True).alias("few"))
+    out = shaped.where(outside).select("key", "node", "component", spread(1, "rows").alias("row"), each("cols").alias("col"), F.lit(True).alias("few"))
     inn = shaped.select("key", "node", "component", each("rows").alias("row"), spread(2, "cols").alias("col"), F.lit(False).alias("few"))
-    blocks = out.unionByName(inn).join(texts, "node")
-    more = blocks.groupBy("key", "row", "col").applyInArrow(_compare_block(words, percent), "u long, v long")
+    blocks = out.unionByName(inn).join(sets, "node")
+    more = blocks.groupBy("key", "row", "col").applyInArrow(_compare_block(percent), "u long, v long")
     second = cut(more.select("u", "v").distinct())
     chain = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
     # rows of one doc_id with several sets: those sets' classes are one document
     same = join_counted(full.select("doc_id", "s1", "s2"), classes.select("s1", "s2", "node", "n"), ["s1", "s2"], "n").where("doc_id <> node")
     member = same.select("doc_id", "node").distinct()
     final = connected_components(chain.unionByName(member.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(final, signed["doc_id"] == final["node"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    known, unknown = signed.where("doc_id is not null").select("doc_id", "n_shingles"), signed.where("doc_id is null").select("doc_id", "n_shingles")
+    placed = known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return placed.unionByName(unknown.withColumn("component_id", F.lit(None).cast("long"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

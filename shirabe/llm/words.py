@@ -71,7 +71,10 @@ def gram_hashes(words: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray
 
 def distinct_per_text(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct values, sorted."""
-    own = [np.unique(values[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    own = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        x = np.sort(values[a:b])
+        own.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
     return (np.concatenate(own) if own else values[:0]), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
 
 
