@@ -4,11 +4,13 @@ A line's key is the line without ASCII white space at its ends and with A-Z lowe
 index holds three tables in the shared folder: postings (which document holds which key), reference counts (how
 many documents hold a key, and the smallest), and cuckoo filters of the shared keys, one a shard of bounded size.
 Dedup asks the filters first, so that only lines that may be shared reach the exact table. Insertions and deletions
-of documents give a new index: counts are added or taken away, and only shards whose keys begin or cease to be
-shared are changed, so that deleting what was inserted gives the former result again.
+of documents give a new index, which shares the tables of the one before and adds a small version of each: the new
+postings or the ids deleted, the counts of the keys concerned, and the filters of shards whose keys begin or cease to
+be shared. The last version of a key or shard counts, so deleting what was inserted gives the former result again, and
+the former index stays usable. `compact` writes all versions into one.
 
-Keys held by at least a thousandth of all postings number a thousand at most; they are looked up by broadcast, and so
-no key left for the shuffles has more than that share of the rows.
+Keys held by at least a `hot_part`-th (a thousandth) of all postings number that many at most; they are looked up by
+broadcast, and so no key left for the shuffles has more than that share of the rows.
 
 Defined results: null or empty text is one empty line; keys of less than `min_chars` code points never count;
 rows that repeat a doc_id are one document; rows with null doc_id hold no keys and stay as they are; an empty table
@@ -34,7 +36,7 @@ MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
 #: Shared keys that a shard's filter is made for.
 SHARD_KEYS = 8192
-#: A key is hot from this part of all postings on, so 1000 keys are hot at most.
+#: A key is hot from this part (one in so many) of all postings on, so 1000 keys are hot at most.
 HOT_PART = 1000
 SLOTS = 4
 
@@ -67,24 +69,29 @@ class CuckooFilter:
         return (mark * np.uint64(0x5BD1E995) >> np.uint64(3)) & np.uint64(self.buckets - 1)
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> None:
+        """All keys that find room in one of their buckets at once, the others by moving what is in their way."""
         turn = self._turn(np.arange(65536, dtype=np.uint64)).astype(np.int64)
-        for mark, i, j in zip(*(x.tolist() for x in self._places(k1, k2)), strict=True):
-            for at in (i, j):
-                empty = np.flatnonzero(self.table[at] == 0)
+        mark, one, two = self._places(k1, k2)
+        left = np.arange(len(mark))
+        for place in (one, two):
+            order = left[np.argsort(place[left], kind="stable")]
+            at = place[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            slots = np.argsort(self.table[at] != 0, axis=1, kind="stable")  # empty slots first
+            fits = rank < (self.table[at] == 0).sum(1)
+            self.table[at[fits], slots[fits, rank[fits]]] = mark[order[fits]]
+            left = order[~fits]
+        for m, j in zip(mark[left].tolist(), two[left].tolist(), strict=True):
+            for kick in range(200):
+                slot = (m + kick) % SLOTS
+                m, self.table[j, slot] = int(self.table[j, slot]), m
+                j ^= int(turn[m])
+                empty = np.flatnonzero(self.table[j] == 0)
                 if len(empty):
-                    self.table[at, empty[0]] = mark
+                    self.table[j, empty[0]] = m
                     break
             else:
-                for kick in range(200):
-                    slot = (mark + kick) % SLOTS
-                    mark, self.table[j, slot] = int(self.table[j, slot]), mark
-                    j ^= int(turn[mark])
-                    empty = np.flatnonzero(self.table[j] == 0)
-                    if len(empty):
-                        self.table[j, empty[0]] = mark
-                        break
-                else:
-                    self.stash.append((mark, j))
+                self.stash.append((m, j))
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Only keys that were inserted."""
@@ -105,6 +112,12 @@ class CuckooFilter:
             out |= (mark == m) & ((i == at) | (j == at))
         return out
 
+    def entries(self) -> list[tuple[int, int]]:
+        """What the filter holds, wherever it was moved to: each mark with the smaller of its two buckets."""
+        at, slot = np.nonzero(self.table)
+        held = [*zip(self.table[at, slot].tolist(), at.tolist(), strict=True), *self.stash]
+        return sorted((m, min(i, i ^ int(self._turn(np.array([m], np.uint64))[0]))) for m, i in held)
+
     def to_bytes(self) -> bytes:
         stash = np.array(self.stash, np.int64).reshape(-1, 2)
         return np.array([self.buckets, len(stash)], np.int64).tobytes() + stash.tobytes() + self.table.tobytes()
@@ -132,69 +145,121 @@ def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long").distinct()
 
 
+def _last(tables: tuple[DataFrame, ...], keys: list[str]) -> DataFrame:
+    """The last version of each key of tables with a column `version`."""
+    if len(tables) == 1:
+        return tables[0].drop("version")
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    values = [c for c in rows.columns if c not in (*keys, "version")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v")).select(*keys, "v.*")
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """An immutable index; insert and delete give new ones."""
+    """An immutable index; insert and delete give new ones that write what changes and share the rest."""
 
     spark: SparkSession
-    postings: DataFrame
-    refs: DataFrame
-    filters: DataFrame
+    added: tuple[DataFrame, ...]  # doc_id, k1, k2, version
+    gone: tuple[DataFrame, ...]  # doc_id, version
+    counts: tuple[DataFrame, ...]  # k1, k2, n, low, version; n = 0 where no document holds the key any more
+    cells: tuple[DataFrame, ...]  # shard, cells, version
     shards: int
+    shared: int
+    version: int = 0
     min_chars: int = MIN_CHARS
+    shard_keys: int = SHARD_KEYS
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, k1, k2 of the documents that the index holds."""
+        rows = self.added[0]
+        for t in self.added[1:]:
+            rows = rows.unionByName(t)
+        if not self.gone:
+            return rows.drop("version")
+        gone = self.gone[0]
+        for t in self.gone[1:]:
+            gone = gone.unionByName(t)
+        last = gone.groupBy("doc_id").agg(F.max("version").alias("end"))
+        return rows.join(last, "doc_id", "left").where("end is null or end < version").select("doc_id", "k1", "k2")
+
+    @property
+    def refs(self) -> DataFrame:
+        """k1, k2, the number of documents that hold the key and the smallest of them."""
+        return _last(self.counts, ["k1", "k2"]).where("n > 0")
+
+    @property
+    def filters(self) -> DataFrame:
+        """shard, cells."""
+        return _last(self.cells, ["shard"])
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         postings = cut(_postings(docs, min_chars))
         refs = cut(postings.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")))
-        return cls._with_filters(docs.sparkSession, postings, refs, min_chars)
+        return cls._whole(docs.sparkSession, postings, refs, min_chars, shard_keys)
 
     @classmethod
-    def _with_filters(cls, spark: SparkSession, postings: DataFrame, refs: DataFrame, min_chars: int) -> LineIndex:
+    def _whole(cls, spark: SparkSession, postings: DataFrame, refs: DataFrame, min_chars: int, shard_keys: int) -> LineIndex:
+        """An index of one version, its filters made anew."""
         shared = refs.where("n >= 2")
-        shards = max(1, -(-shared.count() // SHARD_KEYS))
+        n_shared = shared.count()
+        shards = max(1, -(-n_shared // shard_keys))
 
         def make(pdf: pd.DataFrame) -> pd.DataFrame:
-            held = CuckooFilter(max(len(pdf), SHARD_KEYS))
+            held = CuckooFilter(max(len(pdf), shard_keys))
             held.insert(pdf["k1"].to_numpy(), pdf["k2"].to_numpy())
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "cells": [held.to_bytes()]})
 
         filters = cut(shared.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "k2").groupBy("shard").applyInPandas(make, "shard int, cells binary"))
-        return cls(spark, postings, refs, filters, shards, min_chars)
+        first = lambda df: (df.withColumn("version", F.lit(0)),)
+        return cls(spark, first(postings), (), first(refs), first(filters), shards, n_shared, 0, min_chars, shard_keys)
+
+    def compact(self) -> LineIndex:
+        """The same index with one version of everything."""
+        return self._whole(self.spark, cut(self.postings), cut(self.refs), self.min_chars, self.shard_keys)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """With the documents' lines too; what the index holds already counts once."""
-        new = cut(_postings(docs, self.min_chars).join(self.postings, ["doc_id", "k1", "k2"], "left_anti"))
-        delta = new.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-        refs = cut(self.refs.unionByName(delta).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("low").alias("low")))
-        return self._changed(cut(self.postings.unionByName(new)), refs)
+        """With the documents' lines too; what the index holds already counts once. Only new postings, the counts of their
+        keys and the filters of shards that get a shared key are written."""
+        own = cut(_postings(docs, self.min_chars))
+        held = self.postings.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+        new = cut(own.join(held, ["doc_id", "k1", "k2"], "left_anti"))
+        delta = new.groupBy("k1", "k2").agg(F.count("*").alias("dn"), F.min("doc_id").alias("dlow"))
+        changed = cut(delta.join(self.refs, ["k1", "k2"], "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("dn")).alias("n"), F.least("low", "dlow").alias("low"), F.coalesce("n", F.lit(0)).alias("was")))
+        return self._changed(changed, added=new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents named in doc_ids.doc_id. Only their keys are counted again."""
-        gone = self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        keys = cut(gone.select("k1", "k2").distinct())
-        postings = cut(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"))
-        again = postings.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-        refs = cut(self.refs.join(keys, ["k1", "k2"], "left_anti").unionByName(again))
-        return self._changed(postings, refs)
-
-    def _changed(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
+        ids = cut(doc_ids.select("doc_id").where("doc_id is not null").distinct())
+        keys = cut(self.postings.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct())
+        stay = self.postings.join(keys, ["k1", "k2"], "left_semi").join(ids, "doc_id", "left_anti")
+        again = stay.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+        was = self.refs.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", F.col("n").alias("was"))
+        changed = cut(was.join(again, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "low", "was"))
+        return self._changed(changed, gone=ids)
+
+    def _changed(self, changed: DataFrame, added: DataFrame | None = None, gone: DataFrame | None = None) -> LineIndex:
         """Insert the keys that became shared into their shards' filters and delete those that ceased to be."""
-        was, now = self.refs.where("n >= 2").select("k1", "k2"), refs.where("n >= 2").select("k1", "k2")
-        if now.count() > 2 * SHARD_KEYS * self.shards:
-            return self._with_filters(self.spark, postings, refs, self.min_chars)
-        moved = now.join(was, ["k1", "k2"], "left_anti").withColumn("up", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("up", F.lit(False)))
-        moved = moved.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
+        version = self.version + 1
+        mark = lambda df: () if df is None else (df.withColumn("version", F.lit(version)),)
+        moved = changed.where("(n >= 2) <> (was >= 2)").select(F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard"), "k1", "k2", (F.col("n") >= 2).alias("up"))
+        up, down = moved.agg(F.count_if("up"), F.count_if(~F.col("up"))).first()
+        shard_keys = self.shard_keys
 
         def change(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.from_bytes(held["cells"].iloc[0]) if len(held) else CuckooFilter(max(len(keys), SHARD_KEYS))
-            for up, use in ((False, f.delete), (True, f.insert)):
-                own = keys[keys["up"] == up]
+            f = CuckooFilter.from_bytes(held["cells"].iloc[0]) if len(held) else CuckooFilter(max(len(keys), shard_keys))
+            for is_up, use in ((False, f.delete), (True, f.insert)):
+                own = keys[keys["up"] == is_up]
                 use(own["k1"].to_numpy(), own["k2"].to_numpy())
-            return pd.DataFrame({"shard": [(held if len(held) else keys)["shard"].iloc[0]], "cells": [f.to_bytes()]})
+            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "cells": [f.to_bytes()]})
 
-        filters = cut(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard int, cells binary"))
-        return LineIndex(self.spark, postings, refs, filters, self.shards, self.min_chars)
+        touched = self.filters.join(moved.select("shard").distinct(), "shard", "left_semi")
+        cells = cut(touched.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard int, cells binary"))
+        out = LineIndex(self.spark, self.added + mark(added), self.gone + mark(gone), self.counts + mark(changed.drop("was")), self.cells + mark(cells), self.shards, self.shared + up - down, version, self.min_chars, shard_keys)
+        return out.compact() if out.shared > 2 * shard_keys * self.shards else out
 
     def may_be_shared(self, postings: DataFrame) -> DataFrame:
         """The rows (doc_id, k1, k2) whose shard's filter may hold the key; rows stream past one filter at a time."""
@@ -217,20 +282,20 @@ class LineIndex:
 
         return asked.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "doc_id long, k1 long, k2 long")
 
-    def drops(self) -> DataFrame:
+    def drops(self, hot_part: int = HOT_PART) -> DataFrame:
         """(doc_id, k1, k2): the keys whose lines each indexed document loses."""
         total = self.postings.count()
         shared = self.refs.where("n >= 2").select("k1", "k2", "n", "low")
-        # at most HOT_PART keys can hold a HOT_PART-th of the postings each
-        hot = self.spark.createDataFrame(shared.where(F.col("n") * HOT_PART >= total).collect(), shared.schema).drop("n")
+        # at most hot_part keys can hold a hot_part-th of the postings each; with 0 no key counts as hot
+        hot = self.spark.createDataFrame(shared.where(F.col("n") * hot_part >= max(total, 1)).collect(), shared.schema).drop("n")
         rest = self.postings.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
         few = self.may_be_shared(rest).join(shared.drop("n").join(F.broadcast(hot), ["k1", "k2"], "left_anti"), ["k1", "k2"])
         many = self.postings.join(F.broadcast(hot), ["k1", "k2"])
         return few.unionByName(many).where("doc_id <> low").select("doc_id", "k1", "k2")
 
-    def rewrite(self, docs: DataFrame) -> DataFrame:
+    def rewrite(self, docs: DataFrame, hot_part: int = HOT_PART) -> DataFrame:
         """The indexed documents, all columns, text without the lines they lose, then __n_lines and __n_dropped."""
-        lost = self.drops().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")).withColumnRenamed("doc_id", "__doc")
+        lost = self.drops(hot_part).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")).withColumnRenamed("doc_id", "__doc")
         both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["__doc"], "left").drop("__doc")
         out = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
         out["text"].nullable = True

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with every awkward case."""
 
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -148,6 +149,41 @@ def test_line_dedup_and_index(spark):
     assert both(gone.rewrite(frame(spark, second)).select(*cols)) == line_dedup(second)
 
 
+def test_line_dedup_by_filters_alone(spark):
+    """Without hot keys every shared line has to pass its shard's filter; an index without filters loses them all."""
+    rows = corpus()
+    both = lambda df: sorted(((r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"]) for r in df.collect()), key=str)
+    index = linededup.LineIndex.build(frame(spark, rows), shard_keys=3)
+    assert index.shards > 3 and index.filters.count() > 3
+    assert both(index.rewrite(frame(spark, rows), hot_part=0)) == line_dedup(rows) == both(index.rewrite(frame(spark, rows)))
+    blind = dataclasses.replace(index, cells=(index.cells[0].limit(0),))
+    assert blind.drops(hot_part=0).count() == 0 < index.drops(hot_part=0).count()
+
+
+def test_line_index_increments(spark):
+    """Increments write their own rows only, filters hold what filters made anew hold, and former versions stay."""
+    rows = [r for r in corpus() if r[0] is not None]
+    first, second = [r for r in rows if r[0] < 60], [r for r in rows if r[0] >= 60]
+    held = lambda index: {r["shard"]: linededup.CuckooFilter.from_bytes(bytes(r["cells"])).entries() for r in index.filters.collect()}
+    table = lambda df: sorted(map(tuple, df.collect()))
+    drops = lambda index: table(index.drops(hot_part=0))
+    index = linededup.LineIndex.build(frame(spark, first), shard_keys=4)
+    larger = index.insert(frame(spark, second))
+    new = larger.added[-1].count()
+    assert 0 < new < larger.postings.count() and larger.counts[-1].count() <= new
+    whole = linededup.LineIndex.build(frame(spark, rows), shard_keys=4)
+    assert table(larger.refs) == table(whole.refs) and table(larger.postings) == table(whole.postings) and drops(larger) == drops(whole)
+    back = larger.delete(spark.createDataFrame([(i,) for i, _ in second] + [(777777,), (None,)], "doc_id long"))
+    assert table(back.refs) == table(index.refs) and table(back.postings) == table(index.postings) and drops(back) == drops(index)
+    if back.shards == index.shards:
+        assert {k: v for k, v in held(back).items() if v} == held(index)
+    assert held(larger.compact()) == held(whole) and drops(larger) == drops(whole)
+    nothing = larger.insert(frame(spark, second[:4]))
+    assert nothing.added[-1].count() == 0 and nothing.cells[-1].count() == 0
+    once_more = back.insert(frame(spark, second))
+    assert table(once_more.refs) == table(whole.refs) and drops(once_more) == drops(whole)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     k = rng.integers(-(2**62), 2**62, (20000, 2))
