@@ -1,12 +1,15 @@
 """License scans: indexed n-grams and words pick candidates, banded alignment reports coverage and spans.
 
 Templates are cut into words without case and outer punctuation. All word n-grams of a template go into an inverted
-index (hash -> template, place). A text's n-grams are looked up there; hits of a template on nearby diagonals are one
-candidate place, whose words are aligned to the template's within a band. Matched template words over all template
-words is the coverage. Templates of fewer than `SHORT` words, which can match without a common n-gram, are indexed by
-single words, as many of their longest as a match can't miss all of; there every diagonal of the band is aligned, so
-that every match is found. Longer ones are found by any three template words that follow each other in the text, which
-every fifth word changed or missing leaves; only words inserted between all of them hide a match.
+index (hash -> template, place). A text's n-grams are looked up there; every diagonal (text place less template place) of
+a hit is a candidate, whose words are aligned to the template's within a band. All candidates of a template in a text are
+aligned together, a template word a step; those that can't reach the coverage any more leave. Matched template words
+over all template words is the coverage. Templates of fewer than `SHORT` words, which can match without a common n-gram,
+are indexed by single words, as many of their longest as a match can't miss all of; there every diagonal of the band is
+aligned, so that every match is found. Longer ones are found by any three template words that follow each other in the
+text, which every fifth word changed or missing leaves; only words inserted between all of them hide a match.
+
+Of a template's matches the one with most words stays first, then those in what it leaves free.
 
 Defined results: null and empty texts and texts without hits give no rows; every occurrence is a row, so repeated
 licenses and repeated rows are reported each time; of matches of templates that overlap, the one with more matched
@@ -18,7 +21,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -54,6 +57,13 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-license": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause-license": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause-license": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-license": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib-license": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-license": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense-license": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
 
 
@@ -73,14 +83,15 @@ class Index:
         self.words = [[w for x in templates[n].split() if (w := _norm(x))] for n in self.names]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.word_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.hashes = [np.array([_hash(w) for w in words], np.uint64) for words in self.words]
         for t, words in enumerate(self.words):
-            hashes = [_hash(w) for w in words]
+            hashes = self.hashes[t].tolist()
             if len(words) < SHORT:
                 spare = len(words) - math.ceil(min_coverage * len(words))
                 for p in sorted(range(len(words)), key=lambda p: (words[p].isalpha(), -len(words[p]), p))[: spare + 1]:
                     self.word_at[hashes[p]].append((t, p))
                 continue
-            grams, _ = gram_hashes(np.array(hashes, np.uint64), np.array([0, len(words)]), GRAM)
+            grams, _ = gram_hashes(self.hashes[t], np.array([0, len(words)]), GRAM)
             for p, g in enumerate(grams.tolist()):
                 self.at[g].append((t, p))
         self.keys, self.word_keys = (np.array(sorted(x), np.uint64) for x in (self.at, self.word_at))
@@ -92,72 +103,84 @@ class Index:
         return np.flatnonzero(keys[at] == grams) if len(keys) and len(grams) else np.zeros(0, np.int64)
 
 
-def align(template: list[str], text: list[str], shift: int, since: int = 0, band: int = BAND) -> tuple[int, int, int]:
-    """Most words matched in order, template[i] against text[i + shift + d], |d| <= band; first and past-last text place, none before since.
-
-    Of equal matches the shortest wins, then the earliest."""
-    best: dict[int, tuple[int, int, int]] = {}  # text place reached -> (matched, first, past last)
-    for i, word in enumerate(template):
-        low, high = i + shift - band, i + shift + band
-        new: dict[int, tuple[int, int, int]] = {}
-        run = max((v for k, v in best.items() if k < low), default=(0, -1, -1))
-        for j in range(low, high + 1):
-            here = run
-            if since <= j < len(text) and text[j] == word:
-                here = (run[0] + 1, run[1] if run[0] else j, j + 1)
-            old = best.get(j, (0, -1, -1))
-            run = max(run, old, key=lambda v: (v[0], v[1]))
-            new[j] = max(here, run, key=lambda v: (v[0], v[1]))
-        best = new
-    return max(best.values(), key=lambda v: (v[0], v[1] - v[2], -v[1]), default=(0, -1, -1))
-
-
-def short_matches(template: list[str], words: list[str], hits: list[tuple[int, int]], least: float) -> Iterator[tuple[int, int, int]]:
-    """(matched, first, past last) of a short template's matches: the best first, then those in what it leaves free."""
-    n, counted, taken = len(template), Counter(template), set()
-    heap: list[tuple[int, int, int, int, int, int, int]] = []
-
-    def look(shift: int, a: int, z: int) -> None:
-        if z > a and (counted & Counter(words[a:z])).total() >= least:
-            matched, first, past = align(template, words[a:z], shift - a)
-            if matched >= least:
-                heapq.heappush(heap, (-matched, past - first, first + a, past + a, shift, a, z))
-
-    for shift in sorted({s + d for _, s in hits for d in range(-BAND, BAND + 1)}):
-        look(shift, max(0, shift - BAND), min(len(words), shift + n + BAND))
+#: A state of an alignment in one number: words matched, first text place and how early the last one is, both within the window.
+_FIRST, _PAST = 1 << 16, (1 << 16) - 1
+
+
+def align(template: np.ndarray, text: np.ndarray, shifts: np.ndarray, least: float, low: np.ndarray | int = 0, high: np.ndarray | None = None, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which shifts match at least `least` words, and for those: most words matched in order, template[i] against
+    text[i + shift + d] with |d| <= band, from low to below high only; first and past-last text place.
+
+    Of equal matches the shortest wins, then the earliest. Words are numbers; all shifts go a template word a step."""
+    n, width = len(template), 2 * band + 1
+    low, high = (np.broadcast_to(np.asarray(x, np.int64), len(shifts)) for x in (low, len(text) if high is None else high))
+    state = np.zeros((len(shifts), width), np.int64)
+    alive = np.arange(len(shifts))
+    lanes = np.arange(width)
+    for i in range(n):
+        best = np.maximum.accumulate(state, axis=1)
+        at = (shifts[alive] + (i - band))[:, None] + lanes
+        hit = (at >= low[alive][:, None]) & (at < high[alive][:, None])
+        hit &= text[np.where(hit, at, 0)] == template[i]
+        place = i + lanes  # within the window that begins at shift - band
+        more = np.where(best > 0, (best | _PAST) - (place + 1), ((place[None, :] << 16) | _PAST) - (place + 1)) + (1 << 32)
+        state = np.maximum(np.concatenate([best[:, 1:], best[:, -1:]], axis=1), np.where(hit, more, 0))
+        if i % 8 == 7:
+            stay = (state.max(1) >> 32) + (n - 1 - i) >= least
+            if not stay.all():
+                alive, state = alive[stay], state[stay]
+                if not len(alive):
+                    break
+    matched, first, past = state >> 32, state >> 16 & _PAST, _PAST - (state & _PAST)
+    most = matched.max(1, initial=0)
+    ok = (most >= least) & (most > 0)
+    alive, matched, first, past, most = alive[ok], matched[ok], first[ok], past[ok], most[ok]
+    # the shortest of the best, then the earliest
+    cost = np.where(matched == most[:, None], (past - first) * _FIRST + first, np.iinfo(np.int64).max)
+    lane, row = cost.argmin(1) if len(cost) else np.zeros(0, np.int64), np.arange(len(alive))
+    begin = shifts[alive] - band
+    return alive, most, begin + first[row, lane], begin + past[row, lane]
+
+
+def template_matches(template: np.ndarray, words: np.ndarray, shifts: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched, first, past last) of a template's matches: the best first, then those in what it leaves free."""
+    n, found, taken = len(template), [], np.zeros(len(words) + 1, bool)
+    low, high = np.maximum(0, shifts - BAND), np.minimum(len(words), shifts + n + BAND)
+    which, matched, first, past = align(template, words, shifts, least, low, high)
+    heap = list(zip((-matched).tolist(), (past - first).tolist(), first.tolist(), past.tolist(), shifts[which].tolist(), low[which].tolist(), high[which].tolist(), strict=True))
+    heapq.heapify(heap)
     while heap:
-        matched, _, first, past, shift, a, z = heapq.heappop(heap)
-        if taken.isdisjoint(range(first, past)):
-            yield -matched, first, past
-            taken.update(range(first, past))
-        edges = [a - 1, *(p for p in range(a, z) if p in taken), z]
-        for e, f in pairwise(edges):
-            look(shift, e + 1, f)
-
-
-def scan_words(words: list[str], hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float]]:
-    """(first word, past last word, template, coverage) of each match; hits: (place, template, place in template)."""
-    places = defaultdict(list)
+        lost, _, f, p, shift, a, z = heapq.heappop(heap)
+        if not taken[f:p].any():
+            found.append((-lost, f, p))
+            taken[f:p] = True
+        edges = [a - 1, *(np.flatnonzero(taken[a:z]) + a).tolist(), z]
+        for e, g in pairwise(edges):
+            if g - e - 1 >= least:
+                _, m, start, stop = align(template, words, np.array([shift]), least, e + 1, g)
+                if len(m):
+                    heapq.heappush(heap, (-int(m[0]), int(stop[0] - start[0]), int(start[0]), int(stop[0]), shift, e + 1, g))
+    return found
+
+
+def scan_words(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float]]:
+    """(first word, past last word, template, coverage) of each match; words by their hashes; hits: (place, template, place in template)."""
+    places = defaultdict(set)
     for place, t, p in hits:
-        places[t].append((place, place - p))
+        places[t].add(place - p)
     found = []
     for t, own in places.items():
-        if len(index.words[t]) < SHORT:
-            found += [(*m, t) for m in short_matches(index.words[t], words, own, min_coverage * len(index.words[t]))]
-            continue
-        end, failed = 0, None
-        for place, shift in sorted(own):
-            if place < end or failed is not None and abs(shift - failed) <= BAND // 2:
-                continue  # part of the match before, or of the place that did not match
-            matched, first, past = align(index.words[t], words, shift, end)
-            if matched >= min_coverage * len(index.words[t]):
-                found.append((matched, first, past, t))
-                end, failed = past, None
-            else:
-                failed = shift
+        template = index.hashes[t]
+        shifts = np.array(sorted(own), np.int64)
+        if len(template) < SHORT:
+            shifts = np.unique((shifts[:, None] + np.arange(-BAND, BAND + 1)).ravel())
+        found += [(*m, t) for m in template_matches(template, words, shifts, min_coverage * len(template))]
+    # matches of several templates: most words first, then the shorter template
     out: list[tuple[int, int, int, float]] = []
+    taken = np.zeros(len(words) + 1, bool)
     for matched, first, end, t in sorted(found, key=lambda x: (-x[0], len(index.words[x[3]]), x[1], x[3])):
-        if all(end <= a or first >= z for a, z, _, _ in out):
+        if not taken[first:end].any():
+            taken[first:end] = True
             out.append((first, end, t, matched / len(index.words[t])))
     return sorted(out)
 
@@ -185,7 +208,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
                 a, z = own[d], own[d + 1]
                 mine = [(int(h - starts[d]), t, p) for h in hits[doc == d] for t, p in index.at[int(grams[h])]]
                 mine += [(int(h - own[d]), t, p) for h in single[single_doc == d] for t, p in index.word_at[int(table[which[seen[h]]])]]
-                matches = scan_words([normal[i] for i in which[seen[a:z]].tolist()], mine, index, min_coverage)
+                matches = scan_words(table[which[seen[a:z]]], mine, index, min_coverage)
                 if matches:
                     text = texts[d].as_py()
                     spans = [m.span() for m in _WORD.finditer(text)]

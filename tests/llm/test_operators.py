@@ -552,6 +552,29 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_nnpu_risk_and_gradient():
+    """The risk by its definition, a row at a time, and its gradient by differences; below zero the rest is driven up."""
+    rng = np.random.default_rng(3)
+    loss = lambda z: float(np.log1p(np.exp(-z)))  # noqa: E731  of a row that should be positive
+    signs = set()
+    for prior in (0.1, 0.5, 0.9):
+        for scale in (0.1, 1.0, 4.0):
+            p, u, w = rng.random((7, 4)), rng.random((9, 4)) * (-1.0 if scale > 1 else 1.0), np.abs(rng.normal(size=4)) * scale
+
+            def parts(w, p=p, u=u, prior=prior):
+                up = prior * np.mean([loss(x @ w) for x in p])
+                return up, np.mean([loss(-(x @ w)) for x in u]) - prior * np.mean([loss(-(x @ w)) for x in p])
+
+            risk, rest, grad = toxicity.nnpu_risk(w, p, u, prior)
+            up, own = parts(w)
+            assert abs(rest - own) < 1e-9 and abs(risk - (up + max(0, own))) < 1e-9
+            target = (lambda w, f=parts: sum(f(w))) if own >= 0 else (lambda w, f=parts: -f(w)[1])
+            steps = np.eye(4) * 1e-6
+            assert np.allclose(grad, [(target(w + d) - target(w - d)) / 2e-6 for d in steps], atol=1e-5)
+            signs.add(own >= 0)
+    assert signs == {True, False}
+
+
 def test_nnpu_risk_corrects_for_the_prior():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
@@ -707,23 +730,75 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def most_in_order(template, text, shift, low, high, band=8):
+    """Words matched in order within the band, by every choice: the most, then the shortest span, then the earliest."""
+    best = {-1: (0, 0, 0)}  # last text place used -> (matched, -length, -first); of one place only the best matters
+    firsts = {-1: None}
+    for i, word in enumerate(template):
+        new, new_firsts = dict(best), dict(firsts)
+        for j in range(max(low, i + shift - band), min(high, i + shift + band + 1)):
+            if text[j] == word:
+                for k, (m, _, _) in best.items():
+                    if k < j:
+                        first = j if firsts[k] is None else firsts[k]
+                        value = (m + 1, first - j - 1, -first)
+                        if j not in new or value > new[j]:
+                            new[j], new_firsts[j] = value, first
+        best, firsts = new, new_firsts
+    return max(best.values())
+
+
+def test_alignment_against_every_choice():
+    rng = random.Random(19)
+    for _ in range(300):
+        template = [rng.randrange(4) for _ in range(rng.randint(1, 14))]
+        text = [rng.randrange(5) for _ in range(rng.randint(1, 40))]
+        if rng.random() < 0.6:
+            at = rng.randint(0, len(text))
+            text[at:at] = [w for w in template if rng.random() < 0.9]
+        shifts = np.arange(-3, len(text))
+        low, high = rng.choice([0, 2]), rng.choice([len(text), max(0, len(text) - 2)])
+        which, matched, first, past = licenses.align(np.array(template, np.uint64), np.array(text, np.uint64), shifts, 0.5 * len(template), low, high)
+        got = dict(zip(shifts[which].tolist(), zip(matched.tolist(), first.tolist(), past.tolist(), strict=True), strict=True))
+        for shift in shifts.tolist():
+            m, length, begin = most_in_order(template, text, shift, low, high)
+            if m and m >= 0.5 * len(template):
+                assert got[shift] == (m, -begin, -begin - length)
+            else:
+                assert shift not in got
+
+
 def test_licenses_without_index():
     """Damaged notices are found exactly where alignment at every place finds them."""
     rng = random.Random(23)
     index = licenses.Index()
     for t in range(len(index.names)):
-        template = index.words[t]
+        template, own = index.words[t], index.hashes[t]
         n = len(template)
         for _ in range(6 if n < licenses.SHORT else 2):
             gone = set(rng.sample(range(n), rng.randint(0, n // 5))) if n < licenses.SHORT else set(range(rng.randrange(5), n, 5)) if n % 5 == 0 else set(range(4, n, 5))
             words = ["x"] * 40 + [w for p, w in enumerate(template) for w in (["y"] if p in gone else [*["z"] * (n < licenses.SHORT and p % 3 == 1), w])] + ["x"] * 40
-            best = max((licenses.align(template, words, s)[0] for s in range(len(words))), default=0)
+            text = np.array([licenses._hash(w) for w in words], np.uint64)
+            best = licenses.align(own, text, np.arange(len(words)), 0.8 * n)[1].max(initial=0)
             assert best >= 0.8 * n
+            if n < licenses.SHORT:
+                assert best == max(most_in_order(template, words, s, 0, len(words))[0] for s in range(20, 60))
             single = [(k, u, p) for k, w in enumerate(words) for u, p in index.word_at.get(licenses._hash(w), [])]
-            grams, _ = licenses.gram_hashes(np.array([licenses._hash(w) for w in words], np.uint64), np.array([0, len(words)]), licenses.GRAM)
+            grams, _ = licenses.gram_hashes(text, np.array([0, len(words)]), licenses.GRAM)
             hits = [(int(k), u, p) for k in index.hits(grams) for u, p in index.at[int(grams[k])]]
             only = [h for h in hits + single if h[1] == t]
-            assert [round(c * n) for _, _, u, c in licenses.scan_words(words, only, index) if u == t] == [best], index.names[t]
+            assert [round(c * n) for _, _, u, c in licenses.scan_words(text, only, index) if u == t] == [best], index.names[t]
+
+
+def test_license_files_and_repeated_phrases(spark):
+    whole = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("-license")}
+    rows = [(i, "Copyright (c) 2020 Somebody\n\n" + v + "\nend of file") for i, v in enumerate(whole.values())]
+    rows += [(100, " ".join(whole.values())), (101, " ".join([licenses.TEMPLATES["MIT-text"]] * 3))]
+    got = sorted((r["doc_id"], r["license"], r["coverage"]) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == sorted([*((i, k, 1.0) for i, k in enumerate(whole)), *((100, k, 1.0) for k in whole), *[(101, "MIT-text", 1.0)] * 3])
+    began = __import__("time").perf_counter()
+    licenses.scan(frame(spark, [(1, "to any person obtaining a copy of this software " * 5000), (2, "in the software without restriction including without limitation the rights to use " * 3000)])).collect()
+    assert __import__("time").perf_counter() - began < 60
 
 
 def test_licenses_short_and_alike(spark):
