@@ -1,10 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 4- and 5-grams
-within words, present or not; the `features` that tell positives from unlabelled texts best are kept. Linear numpy
-classifiers then minimise the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the
+Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 5- and 6-grams
+within words, present or not; of those in at least `SUPPORT` of the positives, and `RATIO` times as frequent there as in
+unlabelled texts, the `features` that tell the two apart best are kept. Linear numpy classifiers then minimise the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the
 logistic loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
-Several classifiers of different halves of the rows are averaged.
+Several classifiers of different parts of the rows are averaged. The prior is the toxic share of the labelled rows, which
+is right where rows were chosen for labelling without regard to their content.
 
 Fitting reads a bounded sample: at most `max_positive` toxic rows and about `max_unlabelled` others, both by a hash
 of doc_id; scoring reads every whole text.
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, text_slices, texts_of
+from .common import cut, held_out, scratch, text_slices, texts_of
 from .langid import _letters
 from .words import MULTIPLIER
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 FEATURES, BITS = 128, 21
-SPANS = (4, 5)
+SPANS = (5, 6)
+SUPPORT, RATIO = 0.02, 4.0
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -55,6 +57,19 @@ def gram_buckets(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def nnpu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The prior-corrected risk  prior * R_p(+) + max(0, rest),  rest = R_u(-) - prior * R_p(-), with the logistic loss; rest;
+    and the step's gradient: the risk's, or where rest is below zero that of -rest, which drives it back up."""
+    p, u = positive, unlabelled
+    zp, zu = p @ w, u @ w
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    rest = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    risk = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, rest)
+    of_rest = su @ u / w.dtype.type(len(u)) - w.dtype.type(prior) * (sp @ p) / w.dtype.type(len(p))
+    of_positive = w.dtype.type(prior) * ((sp - 1) @ p) / w.dtype.type(len(p))
+    return risk, rest, of_positive + of_rest if rest >= 0 else -of_rest
+
+
 def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> np.ndarray:
     """Weights, the last being the bias, of one linear classifier under the non-negative PU risk."""
     rng = np.random.default_rng(seed)
@@ -65,12 +80,7 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps
     w[-1] = -1
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()  # the risk of the negatives
-        part = su @ u / np.float32(len(u)) - np.float32(prior) * (sp @ p) / np.float32(len(p))
-        up = (sp - 1) @ p / np.float32(len(p))
-        grad = ((np.float32(prior) * up + part if rest >= 0 else -part) + np.float32(decay) * w).astype(np.float32)
+        grad = (nnpu_risk(w, p, u, prior)[2] + np.float32(decay) * w).astype(np.float32)
         m, v = np.float32(0.9) * m + np.float32(0.1) * grad, np.float32(0.999) * v + np.float32(0.001) * grad * grad
         w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
@@ -92,6 +102,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, features: int = FEATURES, classifiers: int = 5) -> Model:
     """Learn from rows that are not held out: texts, and of labels only which rows are toxic and how many are."""
+    with scratch():
+        return _fit(docs, labels, max_positive, max_unlabelled, features, classifiers)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, features: int, classifiers: int) -> Model:
     seen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = seen.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)  # so that it can be broadcast
     share = seen.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
@@ -120,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         return none
     sums = sample.mapInArrow(count, "bucket long, np long, nu long").groupBy("bucket").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     gain = (F.col("np") / n_p) * F.log((F.col("np") / n_p + 1e-4) / (F.col("nu") / n_u + 1e-4))
-    best = [r["bucket"] for r in sums.where("np >= 3").orderBy(F.desc(gain), "bucket").limit(features).collect()]
+    best = [r["bucket"] for r in sums.where((F.col("np") >= max(3, SUPPORT * n_p)) & (F.col("np") / n_p > RATIO * F.col("nu") / n_u)).orderBy(F.desc(gain), "bucket").limit(features).collect()]
     slot = np.full(1 << BITS, -1, np.int16)
     slot[best] = np.arange(len(best))
 
