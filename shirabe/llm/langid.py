@@ -5,7 +5,8 @@ A document's own most frequent n-grams are compared to each profile: every n-gra
 place there, or the largest distance if the profile lacks it; the nearest profile is the language.
 
 Profiles are fitted on labelled rows only, at most about `sample_per_language` a language (an expected bound: rows
-are taken by a hash of doc_id), with partial counts in each partition; prediction reads every whole text.
+are taken by a hash of doc_id), with partial counts in each partition; every language gets its profile, however many
+there are. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts
 first; without any labelled text every prediction is `und`; repeated rows and null doc_ids are predicted row by row (a
@@ -21,10 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, text_slices, texts_of
+from .common import held_out, text_slices, texts_of
 
 PROFILE_SIZE = 400
 SAMPLE_PER_LANGUAGE = 2000
@@ -84,14 +85,14 @@ class Profiles:
         return self.languages[best], 1 - float(far[best]) / (self.size * len(top))
 
 
-def fit(docs: DataFrame, profile_size: int = PROFILE_SIZE, sample_per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = 1000) -> Profiles:
-    """Learn from text and non-null lang of rows that are not held out; max_languages bounds what is collected."""
+def fit(docs: DataFrame, profile_size: int = PROFILE_SIZE, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
+    """Learn from text and non-null lang of rows that are not held out."""
     own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in own.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    part = {k: min(1.0, sample_per_language / n) for k, n in sizes.items()}
+    # only languages of more rows than that are thinned out; the others are read whole
+    sizes = own.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > sample_per_language).collect()
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    bounds = F.create_map(*(F.lit(x) for kv in part.items() for x in kv)) if part else F.create_map(F.lit(""), F.lit(0.0))
-    sample = own.where(F.col("text").isNotNull() & (chance < F.coalesce(bounds[F.col("lang")], F.lit(0.0))))
+    bounds = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], sample_per_language / r["n"]))) if sizes else F.create_map(F.lit(""), F.lit(1.0))
+    sample = own.where(F.col("text").isNotNull() & (chance < F.coalesce(bounds[F.col("lang")], F.lit(1.0))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = defaultdict(Counter)
@@ -102,12 +103,11 @@ def fit(docs: DataFrame, profile_size: int = PROFILE_SIZE, sample_per_language:
         for lang, own_sums in sums.items():
             yield pa.record_batch([pa.array([lang] * len(own_sums), pa.string()), pa.array(list(own_sums), pa.int64()), pa.array(list(own_sums.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    sums = cut(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    ranked = {}
-    for lang in sizes:
-        top = sums.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(profile_size).collect()
-        if top:
-            ranked[lang] = [r["gram"] for r in top]
+    sums = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    ranked: dict[str, list[int]] = defaultdict(list)
+    for r in sums.withColumn("rank", rank).where(F.col("rank") <= profile_size).orderBy("lang", "rank").select("lang", "gram").collect():  # profile_size rows a language
+        ranked[r["lang"]].append(r["gram"])
     return Profiles.of(ranked, profile_size)
 
 
@@ -124,10 +124,16 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows, all columns, whose text has a language."""
+    """The rows, all columns, whose text has a language: the nearest profile shares an n-gram with it. Where no language
+    could be learned, any text with a letter stays."""
+
+    def known(text: str | None) -> bool:
+        if not profiles.languages:
+            return bool(len(gram_counts(text or "")[0]))
+        return profiles.predict(text)[1] > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            yield part.filter(pa.array([profiles.predict(t)[0] != UNKNOWN for t in texts_of(part).to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([known(t) for t in texts_of(part).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
