@@ -22,12 +22,12 @@ _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Set the session's bound unless it has one; the queries and the pipeline call this, reading does not."""
     if spark.conf.get(_BATCH_KEY, None) is None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,11 +36,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the checkpoint folder, else one in the warehouse."""
-    bound_batches(spark)
+    """A folder that the driver and all executors see: the checkpoint folder, else one in the warehouse.
+
+    A warehouse on a machine's own disk will do where driver and executors are one process only."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            if not sc.master.startswith("local") and path.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 

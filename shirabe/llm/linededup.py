@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_slices, texts_of
+from .common import cut, scratch, text_slices, texts_of
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -293,33 +293,48 @@ class LineIndex:
         many = self.postings.join(F.broadcast(hot), ["k1", "k2"])
         return few.unionByName(many).where("doc_id <> low").select("doc_id", "k1", "k2")
 
+    def lost(self, hot_part: int = HOT_PART) -> DataFrame:
+        """__doc and the keys __lost of the documents that lose any."""
+        return self.drops(hot_part).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")).withColumnRenamed("doc_id", "__doc")
+
     def rewrite(self, docs: DataFrame, hot_part: int = HOT_PART) -> DataFrame:
         """The indexed documents, all columns, text without the lines they lose, then __n_lines and __n_dropped."""
-        lost = self.drops(hot_part).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")).withColumnRenamed("doc_id", "__doc")
-        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["__doc"], "left").drop("__doc")
-        out = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-        out["text"].nullable = True
-        names, min_chars = out.names, self.min_chars
+        return without_lines(docs, self.lost(hot_part), self.min_chars)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in text_slices(batches):
-                kept, n_lines, n_dropped = [], [], []
-                for text, lost_keys in zip(texts_of(part).cast(pa.binary()).to_pylist(), part.column("__lost").to_pylist(), strict=True):
-                    lines = text.split(b"\n")
-                    n_lines.append(len(lines))
-                    if lost_keys:
-                        gone = {np.array([x["k1"], x["k2"]], "<i8").tobytes() for x in lost_keys}
-                        lines = [x for x in lines if line_key(x, min_chars) not in gone]
-                    kept.append(b"\n".join(lines))
-                    n_dropped.append(n_lines[-1] - len(lines))
-                own = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "__n_lines": pa.array(n_lines, pa.int64()), "__n_dropped": pa.array(n_dropped, pa.int64())}
-                yield pa.record_batch([own[c] if c in own else part.column(c) for c in names], names=names)
-
-        return both.mapInArrow(run, out)
+
+def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs, all columns, text without the lines whose keys are lost (__doc, __lost), then __n_lines and __n_dropped."""
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")  # rows without id lose nothing and need no shuffle
+    both = known.join(lost.hint("shuffle_hash"), known["doc_id"] == lost["__doc"], "left").drop("__doc").unionByName(unknown.withColumn("__lost", F.lit(None).cast(lost.schema["__lost"].dataType)))
+    out = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
+    out["text"].nullable = True
+    names = out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            kept, n_lines, n_dropped = [], [], []
+            for text, lost_keys in zip(texts_of(part).cast(pa.binary()).to_pylist(), part.column("__lost").to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                n_lines.append(len(lines))
+                if lost_keys:
+                    gone = {np.array([x["k1"], x["k2"]], "<i8").tobytes() for x in lost_keys}
+                    lines = [x for x in lines if line_key(x, min_chars) not in gone]
+                kept.append(b"\n".join(lines))
+                n_dropped.append(n_lines[-1] - len(lines))
+            own = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "__n_lines": pa.array(n_lines, pa.int64()), "__n_dropped": pa.array(n_dropped, pa.int64())}
+            yield pa.record_batch([own[c] if c in own else part.column(c) for c in names], names=names)
+
+    return both.mapInArrow(run, out)
+
+
+def dedup_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs, all columns, without the lines that a smaller doc_id holds, then __n_lines and __n_dropped; the index is dropped."""
+    with scratch() as keep:
+        lost = keep(LineIndex.build(docs.select("doc_id", "text"), min_chars).lost())
+    return without_lines(docs, lost, min_chars)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text of the lines that stay, of all documents against each other."""
-    own = docs.select("doc_id", "text")
-    out = LineIndex.build(own, min_chars).rewrite(own)
+    out = dedup_table(docs.select("doc_id", "text"), min_chars)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")

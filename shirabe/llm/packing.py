@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import BPE_SLICE_BYTES, load
-from .common import cut, text_slices, texts_of
+from .common import cut, scratch, text_slices, texts_of
 
 CAPACITY = 2048
 
@@ -106,6 +106,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Every piece with its sequence_id and its gapless offset there."""
+    with scratch() as keep:
+        return keep(_pack(docs, path, capacity, end_id))
+
+
+def _pack(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     made = cut(pieces(docs, path, capacity, end_id))
     counts = made.groupBy("part_no", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)

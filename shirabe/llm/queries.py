@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, covertree, fingerprint, htmltext, langid, licenses, linededup, minhash, packing, toxicity
-from .common import documents, read_table
+from .common import bound_batches, documents, read_table
 
 
 def tokenizer_path() -> str:
@@ -67,8 +68,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _bounded(f)
     for f in (op1_embedding_near_dedup, op2_language_id, op3_bpe_round_trip, op4_html_extraction, op5_best_fit_packing, op6_minhash_near_dedup, op7_line_dedup, op8_license_scan, op9_toxicity, op10_document_fingerprints, pipeline)
 }
 
