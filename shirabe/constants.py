@@ -20,7 +20,7 @@ QUESTION_PATTERNS = [
 ]
 #: The pattern that never yields a valid row in the adaptive choice (its text group is a year) and backtracks without
 #: bound; the answer-aware detector works off its meaning in bounded segments instead.
-COMPLETE_PATTERN = ("問題番号→年度→問題文→回答", 0.98)
+COMPLETE_PATTERN = ("問題番号→年度→問題→回答", 0.98)
 SIMPLE_NUMBER_PATTERNS = [
     r"^(\d+)[\s\.\)：。]+(.+)?",
     r"^問\s*(\d+)[\s\.\)：。]*(.+)?",
@@ -83,6 +83,18 @@ MAX_NUMBER = 99999
 MIN_PATTERN_SCORE = 20
 MAX_FILE_BYTES = 100 * 1024 * 1024
 PREVIEW_ROWS = 20
+#: Records of low confidence that a report shows, the confidence below which they count, and their excerpts' length.
+ATTENTION_ROWS, ATTENTION_BELOW, EXCERPT = 10, 70, 50
+UNKNOWN_ERROR = "不明なエラー"
+#: Patterns of cleaning: a number and marks that lead a question, words and marks that lead an explanation, runs of a character.
+LEADING_NUMBER = r"^(?:問題?|第|Q|No\.?|【|〔|\()?(\d+)(?:問|】|〕|\)|\.|\s)?\s*"
+LEADING_MARKS = r"^[　\s]*[・●○▲△□■◆]+[　\s]*"
+LEADING_EXPLANATION = r"^(?:解説|説明|補足|理由|根拠)[:：]?\s*"
+LEADING_NOTE = r"^[　\s]*[※注意]"
+RUN = r"(.)\1{4,}"
+JAPANESE_LETTERS = "[あ-んア-ヶ一-龠]"
+#: Number, text and mark of a printed record.
+ANCHORED = r"(\d{5})([\s\S]*?)([×〇○])"
 CSV_HEADERS = ["問題ID", "セクション", "年度", "問題番号", "問題文", "答え", "解説", "ソースファイル", "抽出方法", "信頼度", "作成日時"]
 HIERARCHY_HEADERS = ["大項目", "中項目", "小項目", "最小項目", "問題番号", "出題年度", "問題", "解説", "回答"]
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import CONTROL, ENCODING_FIXES, HIER_KEEP, NORMALIZATIONS
+from ..constants import CONTROL, ENCODING_FIXES, HIER_KEEP, JAPANESE_LETTERS, LEADING_EXPLANATION, LEADING_MARKS, LEADING_NOTE, LEADING_NUMBER, NORMALIZATIONS, RUN
 from . import compat as C
 
 
@@ -40,8 +40,8 @@ def clean(c: Column, normalise: bool = True) -> Column:
 def clean_question(c: Column, normalise: bool = True) -> Column:
     """Without leading numbers and bullets; short lines are glued to the line before, the rest joined by a blank."""
     c = clean(c, normalise)
-    c = F.regexp_replace(c, C.to_java(r"^(?:問題?|第|Q|No\.?|【|〔|\()?(\d+)(?:問|】|〕|\)|\.|\s)?\s*", "m"), "")
-    c = F.regexp_replace(c, C.to_java(r"^[　\s]*[・●○▲△□■◆]+[　\s]*", "m"), "")
+    c = F.regexp_replace(c, C.to_java(LEADING_NUMBER, "m"), "")
+    c = F.regexp_replace(c, C.to_java(LEADING_MARKS, "m"), "")
     lines = F.filter(F.split(c, "\n"), lambda x: C.trim(x) != "")
     glued = F.aggregate(lines, F.lit(""), lambda acc, x: F.when(acc == "", x).when(C.length(x) < 20, F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x)))
     return C.trim(F.when(F.size(lines) > 1, glued).otherwise(c))
@@ -49,21 +49,22 @@ def clean_question(c: Column, normalise: bool = True) -> Column:
 
 def clean_explanation(c: Column, normalise: bool = True) -> Column:
     """C4: without the introducing word and one leading mark."""
-    c = F.regexp_replace(clean(c, normalise), C.to_java(r"^(?:解説|説明|補足|理由|根拠)[:：]?\s*"), "")
-    return C.trim(F.regexp_replace(c, C.to_java(r"^[　\s]*[※注意]"), ""))
+    c = F.regexp_replace(clean(c, normalise), C.to_java(LEADING_EXPLANATION), "")
+    return C.trim(F.regexp_replace(c, C.to_java(LEADING_NOTE), ""))
 
 
 def text_quality(c: Column) -> Column:
-    """struct(score, japanese_ratio, garbled, controls, repeats, n_chars); empty text scores 0."""
+    """struct(score, japanese_ratio, garbled, controls, repeats, n_chars, runs); empty text scores 0."""
     n = C.length(c)
     garbled = F.regexp_count(c, F.lit("[\uFFFD?]"))
     controls = F.regexp_count(c, F.lit(CONTROL))
-    ratio = F.coalesce(F.regexp_count(c, F.lit("[あ-んア-ヶ一-龠]")) / n, F.lit(0.0))
-    repeats = F.size(F.regexp_extract_all(c, F.lit(r"(.)\1{4,}"), F.lit(0)))
+    ratio = F.coalesce(F.regexp_count(c, F.lit(JAPANESE_LETTERS)) / n, F.lit(0.0))
+    runs = F.coalesce(F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), F.array().cast("array<string>"))
+    repeats = F.size(runs)
     score = 100 - F.when(n < 10, 30).otherwise(0) - garbled * 5 - controls * 3 - F.when(ratio < 0.3, 20).otherwise(0) - repeats * 10
     empty = F.coalesce(c, F.lit("")) == ""
     zero = lambda x: F.when(empty, F.lit(0)).otherwise(x)
-    return F.struct(zero(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int").alias("score"), F.when(empty, F.lit(0.0)).otherwise(ratio).alias("japanese_ratio"), zero(garbled).alias("garbled"), zero(controls).alias("controls"), zero(repeats).alias("repeats"), zero(n).alias("n_chars"))
+    return F.struct(zero(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int").alias("score"), F.when(empty, F.lit(0.0)).otherwise(ratio).alias("japanese_ratio"), zero(garbled).alias("garbled"), zero(controls).alias("controls"), zero(repeats).alias("repeats"), zero(n).alias("n_chars"), runs.alias("runs"))
 
 
 def quality_issues(q: Column) -> Column:
@@ -76,7 +77,7 @@ def quality_issues(q: Column) -> Column:
                 when(q["garbled"] > 0, F.concat(F.lit("文字化け文字が"), q["garbled"], F.lit("個"))),
                 when(q["controls"] > 0, F.concat(F.lit("制御文字が"), q["controls"], F.lit("個"))),
                 when(q["japanese_ratio"] < 0.3, F.lit("日本語文字の比率が低い")),
-                when(q["repeats"] > 0, F.lit("連続する同じ文字")),
+                when(q["repeats"] > 0, F.concat(F.lit("連続する同じ文字: "), F.array_join(q["runs"], ", "))),
             )
         )
     )

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import COMPLETE_PATTERN, MAX_NUMBER, MIN_PATTERN_SCORE, QUESTION_PATTERNS
+from ..constants import ANCHORED, COMPLETE_PATTERN, MAX_NUMBER, MIN_PATTERN_SCORE, QUESTION_PATTERNS
 from ..functions import compat as C
 from ..functions.detect import choices, is_valid_basic
 
 
 def _found(text: Column, pattern: str, flags: str) -> Column:
-    """array<struct(n, t)>: number and trimmed text of every match."""
-    java = F.lit(C.to_java(pattern, flags))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, java, F.lit(1)).alias("n"), F.regexp_extract_all(text, java, F.lit(2)).alias("t"))
+    """array<struct(n, t)>: number and trimmed text of every match.
+
+    The pattern runs once: its matches are marked by control characters, which cleaned text does not hold, and cut out by
+    them. Where a text does hold such, it runs once a group."""
+    java = C.to_java(pattern, flags)
+    each = lambda s, p: F.arrays_zip(*(F.regexp_extract_all(s, F.lit(p), F.lit(k)).alias(c) for k, c in ((1, "n"), (2, "t"))))
+    marked = F.regexp_replace(text, java, "\x01$1\x02$2\x03")
+    pairs = F.when(text.rlike("[\x01-\x03]"), each(text, java)).otherwise(each(marked, "\x01([^\x02]*)\x02([^\x03]*)\x03"))
     return F.transform(pairs, lambda z: F.struct(z["n"].try_cast("int").alias("n"), C.trim(z["t"]).alias("t")))
 
 
@@ -60,7 +65,7 @@ def adaptive_questions(texts: DataFrame) -> DataFrame:
 
 def answer_anchored(texts: DataFrame) -> DataFrame:
     """Number, text and the mark that ends it, kept as the answer."""
-    java = F.lit(C.to_java(r"(\d{5})([\s\S]*?)([×〇○])"))
+    java = F.lit(C.to_java(ANCHORED))
     parts = F.arrays_zip(*(F.regexp_extract_all("text", java, F.lit(k)).alias(c) for k, c in ((1, "n"), (2, "t"), (3, "a"))))
     rows = texts.select("doc_id", F.posexplode(parts).alias("i", "r"))
     out = rows.select("doc_id", (F.col("i") + 1).alias("id"), F.col("r.n").try_cast("int").alias("question_number"), C.trim(F.col("r.t")).alias("question"), F.when(F.col("r.a") == "○", F.lit("〇")).otherwise(F.col("r.a")).alias("answer"), F.lit(95.0).alias("confidence"))
@@ -70,7 +75,7 @@ def answer_anchored(texts: DataFrame) -> DataFrame:
 def complete_records(texts: DataFrame) -> DataFrame:
     """Number, year, text and answer, each found inside one number-to-mark segment, so that nothing backtracks
     beyond it."""
-    java = F.lit(C.to_java(r"(\d{5})([\s\S]*?)([×〇○])"))
+    java = F.lit(C.to_java(ANCHORED))
     parts = F.arrays_zip(*(F.regexp_extract_all("text", java, F.lit(k)).alias(c) for k, c in ((1, "n"), (2, "t"), (3, "a"))))
     rows = texts.select("doc_id", F.posexplode(parts).alias("i", "r"))
     year = F.regexp_extract("r.t", r"([RH]?\d{1,2})", 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import ATTENTION_BELOW, ATTENTION_ROWS, EXCERPT, UNKNOWN_ERROR
 from ..functions import compat as C
 from ..functions.cleaning import truncate
 from .records import number_gaps
@@ -36,6 +37,13 @@ def extraction_stats(files: DataFrame) -> DataFrame:
     )
 
 
+def extraction_issues(files: DataFrame) -> DataFrame:
+    """A1, issues: (doc_id, issues) of files whose text has some, and of failures with their error."""
+    error = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit(UNKNOWN_ERROR))
+    rows = files.select("doc_id", F.when(F.col("success"), F.col("issues")).otherwise(F.array(error)).alias("issues"))
+    return rows.where(F.size("issues") > 0)
+
+
 def histogram(df: DataFrame, key: str, default: str | None = None) -> DataFrame:
     """Rows by key, the long form of a dynamic-key object."""
     return df.groupBy(F.coalesce(key, F.lit(default)).alias(key)).agg(F.count("*").alias("n"))
@@ -56,9 +64,12 @@ def parsing_stats(questions: DataFrame) -> DataFrame:
 
 
 def quality_issues(questions: DataFrame) -> DataFrame:
-    """A2, issues: (doc_id, question_number, issue)."""
+    """A2, issues: (doc_id, question_number, issue), the number and a low confidence named in the text."""
     q = F.col
-    found = F.array_compact(F.array(F.when(q("confidence") < 50, F.lit("信頼度が低い")), F.when(C.length(q("question")) < 20, F.lit("問題文が短い")), F.when(q("answer").isNull(), F.lit("答えが不明"))))
+    head = F.concat(F.lit("問"), F.coalesce(q("question_number").cast("string"), F.lit("null")), F.lit(": "))
+    value = F.regexp_replace(q("confidence").cast("double").cast("string"), r"\.0$", "")
+    low = F.when(q("confidence") < 50, F.concat(head, F.lit("信頼度が低い ("), value, F.lit("%)")))
+    found = F.array_compact(F.array(low, F.when(C.length(q("question")) < 20, F.concat(head, F.lit("問題文が短い"))), F.when(F.coalesce("answer", F.lit("")) == "", F.concat(head, F.lit("答えが不明")))))
     return questions.select("doc_id", "question_number", F.explode(found).alias("issue"))
 
 
@@ -119,10 +130,23 @@ def section_report(questions: DataFrame) -> DataFrame:
     return out.withColumn("correct_rate", F.round(F.col("correct") * 100.0 / F.col("total"), 1))
 
 
-def attention_list(questions: DataFrame, n: int = 10, below: float = 70) -> DataFrame:
-    """The first n records of low confidence, texts cut to 50 characters."""
+def report_totals(questions: DataFrame, n: int = ATTENTION_ROWS, below: float = ATTENTION_BELOW) -> DataFrame:
+    """One row with the report's totals, the records that need attention and how many of those the list leaves out."""
+    low = _count(F.col("confidence") < below)
+    return questions.agg(
+        F.count("*").alias("total"),
+        _count(F.col("answer") == _YES).alias("correct"),
+        _count(F.col("answer") == _NO).alias("incorrect"),
+        F.round(F.sum(F.coalesce("confidence", F.lit(0.0))) / F.count("*"), 1).alias("average_confidence"),
+        low.alias("attention"),
+        F.greatest(low - n, F.lit(0)).alias("not_listed"),
+    )
+
+
+def attention_list(questions: DataFrame, n: int = ATTENTION_ROWS, below: float = ATTENTION_BELOW) -> DataFrame:
+    """The first n records of low confidence, texts cut to EXCERPT characters."""
     rows = questions.where(F.col("confidence") < below).orderBy("doc_id", "id").limit(n)
-    return rows.select("doc_id", "id", "question_number", "section", "confidence", truncate(F.col("question"), 50).alias("excerpt"))
+    return rows.select("doc_id", "id", "question_number", "section", "confidence", truncate(F.col("question"), EXCERPT).alias("excerpt"))
 
 
 def hierarchy_summary(rows: DataFrame) -> DataFrame:

@@ -40,16 +40,27 @@ def raw_questions(texts: DataFrame, normalise: bool = True, answer_aware: bool =
     fresh = lambda df: df.withColumns({"answer_guessed": F.lit(False), "explanation_generated": F.lit(False)})
     columns = [*RAW_COLUMNS, "answer_guessed", "explanation_generated"]
     raw = fresh(found).select(columns).unionByName(by_lines.select(columns)).unionByName(fresh(emergency_questions(rest)).select(columns))
+    raw._kept = [lines, found, by_lines]
     return raw, files
 
 
+def release(records: DataFrame) -> None:
+    """Give back what a record pipeline keeps for its branches, once its records are written or gathered."""
+    for df in getattr(records, "_kept", []):
+        df.unpersist()
+
+
 def post_process(raw: DataFrame, files: DataFrame, min_confidence: float = 0) -> DataFrame:
     """Finalise, filter, dedup. Rows carry (doc_id, question_number, id) to be sorted by."""
     done = finalize(raw.join(files, "doc_id"), normalise=False)
     valid = done.where(is_valid(F.col("question_number"), F.col("question"), F.col("confidence"), min_confidence))
-    return dedup_questions(valid).select(RESULT_COLUMNS)
+    out = dedup_questions(valid).select(RESULT_COLUMNS)
+    out._kept = getattr(raw, "_kept", [])
+    return out
 
 
 def parse_questions(texts: DataFrame, min_confidence: float = 0, normalise: bool = True, answer_aware: bool = False) -> DataFrame:
-    """Path A from text to records. answer_aware keeps printed marks instead of guessing every answer."""
+    """Path A from text to records. answer_aware keeps printed marks instead of guessing every answer.
+
+    Lines and raw records stay in memory or on disk for the session's later actions until `release` is called."""
     return post_process(*raw_questions(texts, normalise, answer_aware), min_confidence)

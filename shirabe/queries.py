@@ -63,13 +63,27 @@ def _count(x: str, word: str) -> str:
     return f"((length({x}) - length(replace({x}, {_q(word)}, ''))) // {len(word)})"
 
 
+def _literal(v) -> str:
+    return "NULL" if v is None else _q(v).replace("\n", "' || chr(10) || '") if isinstance(v, str) else str(v)
+
+
 def _values(name: str, rows: list[tuple], columns: str) -> str:
-    literal = lambda v: "NULL" if v is None else _q(v).replace("\n", "' || chr(10) || '") if isinstance(v, str) else str(v)
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + ")"
+
+
+def _spread(rows: list[str]):
+    """Texts for detectors, a row a part: one of the given in turn, every other round with the part's name behind it. The
+    DataFrame (id, s) and its SQL as table t."""
+    n = len(rows)
+    pick = "[" + ", ".join(_literal(s) for s in rows) + f"][(p_partkey % {n})::INT + 1]"
 
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.col("p_partkey")
+        text = F.element_at(F.array(*map(F.lit, rows)), (key % n + 1).cast("int"))
+        name = F.when(F.floor(key / n) % 2 == 1, F.concat(F.lit(" "), "p_name")).otherwise("")
+        return A.table(spark, sf_dir, "part").select(key.alias("id"), F.concat(text, name).alias("s"))
 
-def _texts(rows: list[str]) -> tuple[list[tuple[int, str]], str]:
-    return [(i, s) for i, s in enumerate(rows)], _values("t", [(i, s) for i, s in enumerate(rows)], "id, s")
+    return make, f"t AS (SELECT p_partkey AS id, {pick} || CASE WHEN (p_partkey // {n}) % 2 = 1 THEN ' ' || p_name ELSE '' END AS s FROM part)"
 
 
 # lines
@@ -103,13 +117,13 @@ def clean_documents(spark, sf_dir):
     return A.doc_texts(spark, sf_dir).select("doc_id", cleaning.clean(F.col("text")).alias("cleaned"))
 
 
-_AWKWARD, _AWKWARD_SQL = _texts(["Ａ？B?  （１２）～○\x01x\n\n\n\n　　　　y·z", "···", "・・・???a", "　 全角　　空白　\t ", "問1．次の記述のうち正しいものはどれか。\n・短い\nこの行は二十文字以上の長さがあるので別の行になる", "解説：これは理由の説明です", "※注意 これは補足", "", "が\n\n３行目", "第12問 本文\n●箇条書きの長い行がここに続いて二十文字を超えます\n短い行"])
+_AWKWARD, _AWKWARD_SQL = _spread(["Ａ？B?  （１２）～○\x01x\n\n\n\n　　　　y·z", "···", "・・・???a", "　 全角　　空白　\t ", "問1．次の記述のうち正しいものはどれか。\n・短い\nこの行は二十文字以上の長さがあるので別の行になる", "解説：これは理由の説明です", "※注意 これは補足", "", "が\n\n３行目", "第12問 本文\n●箇条書きの長い行がここに続いて二十文字を超えます\n短い行"])
 
 
 @query(f"WITH {_AWKWARD_SQL} SELECT id, {_clean('s')} AS once, {_clean(_clean('s'))} AS twice FROM t")
 def clean_awkward(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_AWKWARD, "id int, s string").select("id", cleaning.clean(s).alias("once"), cleaning.clean(cleaning.clean(s), normalise=False).alias("twice"))
+    return _AWKWARD(spark, sf_dir).select("id", cleaning.clean(s).alias("once"), cleaning.clean(cleaning.clean(s), normalise=False).alias("twice"))
 
 
 _C3_LINES = rf"string_split(regexp_replace(regexp_replace({_clean('s')}, '(?m)^(?:問題?|第|Q|No\.?|【|〔|\()?([0-9]+)(?:問|】|〕|\)|\.|[{_WS}])?[{_WS}]*', '', 'g'), '(?m)^[{_WS}]*[・●○▲△□■◆]+[{_WS}]*', '', 'g'), chr(10))"
@@ -120,7 +134,7 @@ SELECT id, {_trim("CASE WHEN len(ls) > 1 THEN list_reduce(ls, lambda a, x: CASE
 {_trim(f"regexp_replace(regexp_replace({_clean('s')}, '^(?:解説|説明|補足|理由|根拠)[:：]?[{_WS}]*', ''), '^[{_WS}]*[※注意]', '')")} AS explanation FROM c""")
 def clean_parts(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_AWKWARD, "id int, s string").select("id", cleaning.clean_question(s).alias("question"), cleaning.clean_explanation(s).alias("explanation"))
+    return _AWKWARD(spark, sf_dir).select("id", cleaning.clean_question(s).alias("question"), cleaning.clean_explanation(s).alias("explanation"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda x, i: {'c': x, 'i': i})) AS u FROM documents WHERE text <> ''),
@@ -209,6 +223,16 @@ def extraction_totals(spark, sf_dir):
     return stats.extraction_stats(files_.file_results(_pages(spark, sf_dir))).select("total_files", "successful_files", "failed_files", "total_pages", "total_text_length")
 
 
+_ISSUES = rf"list_filter([CASE WHEN length(text) < 10 THEN 'テキストが短すぎる' END, CASE WHEN (length(text) - length(regexp_replace(text, '[あ-んア-ヶ一-龠]', '', 'g'))) / length(text) < 0.3 THEN '日本語文字の比率が低い' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {_RESULTS}, e AS (SELECT doc_id, CASE WHEN NOT success THEN 'page failed' WHEN text = '' THEN 'テキストが空' ELSE array_to_string({_ISSUES}, ' / ') END AS issues FROM f) SELECT * FROM e WHERE issues <> ''")
+def extraction_issues(spark, sf_dir):
+    """Issues of conversations as files; cleaned text holds no garbled or control characters, and none of these has runs."""
+    found = stats.extraction_issues(files_.file_results(_pages(spark, sf_dir)))
+    return found.select("doc_id", F.array_join("issues", " / ").alias("issues"))
+
+
 @query(f"WITH {_RESULTS} SELECT 'simple' AS method, count(*) AS n FROM f WHERE success")
 def extraction_methods(spark, sf_dir):
     return stats.histogram(files_.file_results(_pages(spark, sf_dir)).where("success"), "method", "unknown")
@@ -284,7 +308,7 @@ def question_numbers(spark, sf_dir):
     return _quiz_lines(spark, sf_dir).select(detect.question_number(F.col("line")).alias("q")).select("q.*")
 
 
-_MARKS, _MARKS_SQL = _texts(["答え：〇", "解答 ○", "×", " ○ ", "正解:③", "選択肢2が正解である", "文中に○がある", "なし", "A:×", "ANSWER ○", "答 ア", "正しい記述は〇である", "解説：理由はこれ", "ポイント: 大事", "解説：", "根拠 民法"])
+_MARKS, _MARKS_SQL = _spread(["答え：〇", "解答 ○", "×", " ○ ", "正解:③", "選択肢2が正解である", "文中に○がある", "なし", "A:×", "ANSWER ○", "答 ア", "正しい記述は〇である", "解説：理由はこれ", "ポイント: 大事", "解説：", "根拠 民法"])
 
 
 @query(rf"""WITH {_MARKS_SQL} SELECT id, coalesce(nullif(regexp_extract(s, '(?i)(?:答え?|解答|正解|A|Answer)[:：]?[{_WS}]*([〇○×])', 1), ''), nullif(regexp_extract(s, '^([〇○×])[{_WS}]*$', 1), ''),
@@ -293,10 +317,10 @@ coalesce(nullif({_trim(f"regexp_extract(s, '^(?:解説|説明|補足|理由|根
 replace(coalesce(nullif(regexp_extract(s, '^[答回正解][：:]\s*([○×〇])', 1), ''), nullif(regexp_extract(s, '^[答回正解]\s*([○×〇])', 1), ''), nullif(regexp_extract(s, '^([○×〇])\s*$', 1), ''), nullif(regexp_extract(s, '答え?[：:]?\s*([○×〇])', 1), ''), nullif(regexp_extract(s, '正解[：:]?\s*([○×〇])', 1), '')), '○', '〇') AS plain_answer FROM t""")
 def answers(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_MARKS, "id int, s string").select("id", detect.answer(s).alias("answer"), detect.explanation(s).alias("explanation"), detect.hier_answer(s).alias("plain_answer"))
+    return _MARKS(spark, sf_dir).select("id", detect.answer(s).alias("answer"), detect.explanation(s).alias("explanation"), detect.hier_answer(s).alias("plain_answer"))
 
 
-_CHOICES, _CHOICES_SQL = _texts(["次のうち\n1. 最初の選択肢\n2. 二番目の選択肢\n3. 短い", "次\nア. 権利の移転\nイ. 義務の発生", "1. 一つだけの選択肢", "①甲の場合\n続きの行\n②乙の場合", "(1) 括弧の一番\n(2) 括弧の二番", "なし", "1. ab\n2. cd"])
+_CHOICES, _CHOICES_SQL = _spread(["次のうち\n1. 最初の選択肢\n2. 二番目の選択肢\n3. 短い", "次\nア. 権利の移転\nイ. 義務の発生", "1. 一つだけの選択肢", "①甲の場合\n続きの行\n②乙の場合", "(1) 括弧の一番\n(2) 括弧の二番", "なし", "1. ab\n2. cd"])
 
 
 @query(rf"""WITH {_CHOICES_SQL}, w AS (SELECT id, s, unnest([('数字選択肢', '[1-9]\.', 1), ('アイウエ選択肢', '[アイウエオカキクケコ]\.', 2)]::STRUCT(n VARCHAR, p VARCHAR, k INT)[]) AS f FROM t),
@@ -304,17 +328,17 @@ h AS (SELECT id, f.k AS k, f.n AS format, regexp_extract_all(s, '(?m)^' || f.p |
 g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS nth FROM h WHERE len(whole) >= 2 AND len(list_filter(body, lambda b: length({_trim('b')}) > 3)) > 0)
 SELECT id, format, u.number AS number, u.body AS text FROM (SELECT id, format, unnest(list_filter(list_transform(whole, lambda x, i: {{'number': substr(x, 1, 1), 'body': {_trim('body[i]')}}}), lambda r: length(r.body) > 3)) AS u FROM g WHERE nth = 1)""")
 def choices(spark, sf_dir):
-    rows = spark.createDataFrame(_CHOICES, "id int, s string").select("id", F.explode(detect.choices(F.col("s"))).alias("c"))
+    rows = _CHOICES(spark, sf_dir).select("id", F.explode(detect.choices(F.col("s"))).alias("c"))
     return rows.select("id", "c.format", "c.number", "c.text")
 
 
 @query()
 def all_choices(spark, sf_dir):
-    rows = spark.createDataFrame(_CHOICES, "id int, s string").select("id", F.explode(detect.all_choices(F.col("s"))).alias("c"))
+    rows = _CHOICES(spark, sf_dir).select("id", F.explode(detect.all_choices(F.col("s"))).alias("c"))
     return rows.select("id", "c.number", "c.symbol", "c.text", "c.pattern")
 
 
-_NAMES, _NAMES_SQL = _texts(["民法_101-150.pdf", "101-150.pdf", "90-120.pdf", "R5_a.pdf", "H29.pdf", "2020.pdf", "2015.pdf", "chapter3.pdf", "令和4年.pdf", "平成30.pdf", "農地法.pdf", "x_1～50.pdf", "none"])
+_NAMES, _NAMES_SQL = _spread(["民法_101-150.pdf", "101-150.pdf", "90-120.pdf", "R5_a.pdf", "H29.pdf", "2020.pdf", "2015.pdf", "chapter3.pdf", "令和4年.pdf", "平成30.pdf", "農地法.pdf", "x_1～50.pdf", "none"])
 _SECTION_FILE = " ".join(f"WHEN {' OR '.join(f'contains(lower(s), {_q(k)})' for k in w)} THEN {_q(n)}" for n, w, _ in K.SECTIONS)
 _RANGE = r"try_cast(nullif(regexp_extract(s, '([0-9]+)[-_～〜]([0-9]+)', {}), '') AS BIGINT)"
 _SECTION_RANGE = " ".join(f"WHEN {_RANGE.format(1)} >= {lo} AND {_RANGE.format(2)} <= {hi} THEN {_q(n)}" for n, _, (lo, hi) in K.SECTIONS)
@@ -325,7 +349,7 @@ coalesce('R' || coalesce(nullif(regexp_extract(s, '[Rr]([0-9]+)|令和([0-9]+)',
 CASE WHEN nullif(regexp_extract(s, '20([0-9]{{2}})', 1), '')::INT >= 19 THEN 'R' || (regexp_extract(s, '20([0-9]{{2}})', 1)::INT - 18) END, 'R6') AS year FROM t""")
 def file_names(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_NAMES, "id int, s string").select("id", detect.section_from_file(s).alias("section"), detect.file_year(s).alias("year"))
+    return _NAMES(spark, sf_dir).select("id", detect.section_from_file(s).alias("section"), detect.file_year(s).alias("year"))
 
 
 @query("""SELECT year(o_orderdate)::INT AS y, CASE WHEN year(o_orderdate) < 2000 THEN NULL WHEN year(o_orderdate) % 100 >= 19 THEN 'R' || (year(o_orderdate) % 100 - 18) ELSE 'H' || (year(o_orderdate) % 100 + 12) END AS era, count(*) AS n FROM orders GROUP BY ALL""")
@@ -335,12 +359,12 @@ def order_eras(spark, sf_dir):
 
 
 _SECTIONS_SQL = ", ".join(f"({i}, {_q(n)}, {' + '.join(_count('s', k) for k in w)})" for i, (n, w, _) in enumerate(K.SECTIONS))
-_BODIES, _BODIES_SQL = _texts(["民法の契約と免許", "免許の免許", "農地法と契約", "何もない", "固定資産税 農地法", "宅建業 免許 都市計画法 建築基準法 農地法"])
+_BODIES, _BODIES_SQL = _spread(["民法の契約と免許", "免許の免許", "農地法と契約", "何もない", "固定資産税 農地法", "宅建業 免許 都市計画法 建築基準法 農地法"])
 
 
 @query(f"WITH {_BODIES_SQL}, c AS (SELECT id, unnest([{_SECTIONS_SQL}]::STRUCT(i INT, n VARCHAR, c INT)[]) AS u FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY u.c DESC, u.i DESC) AS k FROM c) SELECT id, CASE WHEN u.c > 0 THEN u.n ELSE 'その他' END AS section FROM r WHERE k = 1")
 def text_sections(spark, sf_dir):
-    return spark.createDataFrame(_BODIES, "id int, s string").select("id", F.coalesce(detect.section_from_text(F.col("s")), F.lit(K.OTHER_SECTION)).alias("section"))
+    return _BODIES(spark, sf_dir).select("id", F.coalesce(detect.section_from_text(F.col("s")), F.lit(K.OTHER_SECTION)).alias("section"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 300 BETWEEN 1 AND 100 THEN '権利関係' WHEN o_orderkey % 300 BETWEEN 101 AND 150 THEN '宅建業法' WHEN o_orderkey % 300 BETWEEN 151 AND 200 THEN '法令上の制限' WHEN o_orderkey % 300 BETWEEN 201 AND 250 THEN '税・その他' END AS section FROM orders")
@@ -348,7 +372,7 @@ def number_sections(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", detect.section_from_number(F.col("o_orderkey") % 300).alias("section"))
 
 
-_GUESSES, _GUESSES_SQL = _texts(["売主となる契約を締結することができる。", "登記をしてはならないとされ、禁止される。", "不適切で不可能か。", "正しいでしょうか", "適切でない", "必要な義務は有効で無効ではない", ""])
+_GUESSES, _GUESSES_SQL = _spread(["売主となる契約を締結することができる。", "登記をしてはならないとされ、禁止される。", "不適切で不可能か。", "正しいでしょうか", "適切でない", "必要な義務は有効で無効ではない", ""])
 _UP = " + ".join(_count("s", k) for k in K.POSITIVE_KEYWORDS) + " + (contains(s, 'か。') OR contains(s, 'でしょうか') OR contains(s, 'ですか'))::INT"
 _DOWN = " + ".join(_count("s", k) for k in K.NEGATIVE_KEYWORDS) + " + contains(s, 'ない')::INT"
 _VOTE_UP, _VOTE_DOWN = (" + ".join(f"contains(s, {_q(k)})::INT" for k in w) for w in (K.POSITIVE_KEYWORDS, K.NEGATIVE_KEYWORDS))
@@ -357,12 +381,18 @@ _VOTE_UP, _VOTE_DOWN = (" + ".join(f"contains(s, {_q(k)})::INT" for k in w) for
 @query(f"WITH {_GUESSES_SQL} SELECT id, CASE WHEN {_UP} > {_DOWN} THEN '〇' ELSE '×' END AS guess, CASE WHEN ({_VOTE_UP}) > ({_VOTE_DOWN}) AND ({_VOTE_UP}) >= 2 THEN '〇' WHEN ({_VOTE_DOWN}) > ({_VOTE_UP}) AND ({_VOTE_DOWN}) >= 2 THEN '×' END AS vote FROM t")
 def guessed_answers(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_GUESSES, "id int, s string").select("id", scoring.guess_answer(s).alias("guess"), detect.keyword_answer(s).alias("vote"))
+    return _GUESSES(spark, sf_dir).select("id", scoring.guess_answer(s).alias("guess"), detect.keyword_answer(s).alias("vote"))
 
 
-@query()
+_VOTE = f"CASE WHEN ({_VOTE_UP}) > ({_VOTE_DOWN}) AND ({_VOTE_UP}) >= 2 THEN '〇' WHEN ({_VOTE_DOWN}) > ({_VOTE_UP}) AND ({_VOTE_DOWN}) >= 2 THEN '×' END"
+
+
+@query(rf"""WITH {_MARKS_SQL}, m AS (SELECT *, regexp_extract(s, '(?i)(?:答え?|解答|正解|A|Answer)[:：]?[{_WS}]*([〇○×])', 1) AS m1, regexp_extract(s, '^([〇○×])[{_WS}]*$', 1) AS m2, regexp_extract(s, '(?:答え?|解答|正解)[:：]?[{_WS}]*([①②③④⑤1-5アイウエオ])', 1) AS m3 FROM t)
+SELECT id, coalesce(replace(nullif(m1, ''), '○', '〇'), replace(nullif(m2, ''), '○', '〇'), CASE WHEN m3 IN ('①', '②', '③', '④', '1', '2', '3', '4', 'ア', 'イ', 'ウ', 'エ') THEN m3 END, {_VOTE}) AS answer,
+greatest(1.0, len(list_distinct(list_filter(list_transform(regexp_extract_all(s, '([0-9]+)', 1), lambda x: try_cast(x AS INT)), lambda n: n BETWEEN 1 AND 100))) / 3)::DOUBLE AS estimated FROM m""")
 def normalised_answers(spark, sf_dir):
-    rows = spark.createDataFrame(_MARKS, "id int, s string")
+    """Marks normalised for four choices, else the keyword vote; a third of the different numbers found."""
+    rows = _MARKS(spark, sf_dir)
     return rows.select("id", detect.best_answer(F.col("s"), F.lit(4)).alias("answer"), adaptive.estimated_count(F.col("s")).alias("estimated"))
 
 
@@ -432,8 +462,9 @@ def quiz_csv(spark, sf_dir):
 
 @query()
 def document_candidates(spark, sf_dir):
-    """Every pattern's score on plain documents; look-ahead has no SQL here."""
-    found = adaptive.candidates(A.doc_texts(spark, sf_dir))
+    """Every pattern's score on plain documents and on quiz texts; look-ahead has no SQL here."""
+    texts = A.doc_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = adaptive.candidates(texts.unionByName(A.quiz_texts(spark, sf_dir).select("doc_id", "text")))
     return found.select("doc_id", "pattern_idx", "matches", "n_valid", F.round("score", 6).alias("score"))
 
 
@@ -466,13 +497,18 @@ def emergency_records(spark, sf_dir):
     return out.select("doc_id", "question_number", "question", "confidence")
 
 
-_KINDS = [(1, "宅建業.pdf", "\n".join(f"{10000 + i} 免許を受けた者は、重要な事項の説明をする義務が第{c}項にある。〇" for i, c in enumerate("一二三", 1))), (2, "R2.pdf", "問3 この規定は有効である\n答え：○\n解説：民法の規定による"), (3, "x.pdf", "3: short English line\n(4) another English line\nno number"), (4, "y.pdf", "nothing at all")]
+def _kinds(spark, sf_dir):
+    """Files of four kinds, a part each: quiz lines, one question by lines, numbers in a foreign language, nothing at all."""
+    k, key = F.col("p_partkey") % 4, F.col("p_partkey")
+    quiz = F.concat_ws("\n", *(F.concat((key * 3 % 80000 + 10000 + i).cast("string"), F.lit(" 免許を受けた者は、"), "p_name", F.lit(f"について重要な事項の説明をする義務が第{c}項にある。〇")) for i, c in enumerate("一二三", 1)))
+    texts = F.when(k == 0, quiz).when(k == 1, F.concat(F.lit("問3 この規定は"), "p_name", F.lit("に有効である\n答え：○\n解説：民法の規定による"))).when(k == 2, F.concat(F.lit("3: short English line on "), "p_name", F.lit("\n(4) another English line\nno number"))).otherwise("nothing at all")
+    return A.table(spark, sf_dir, "part").select(key.alias("doc_id"), F.concat(F.lit("f"), key.cast("string"), F.lit(".pdf")).alias("file_name"), texts.alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'adaptive', 3::BIGINT), (2, 'adaptive', 1::BIGINT), (3, 'pattern_match', 2::BIGINT)) t(doc_id, method, n)")
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 2 THEN 'pattern_match' ELSE 'adaptive' END AS method, [3, 1, 2][(p_partkey % 4)::INT + 1]::BIGINT AS n FROM part WHERE p_partkey % 4 < 3")
 def orchestration(spark, sf_dir):
-    rows = spark.createDataFrame(_KINDS, "doc_id int, file_name string, text string")
-    return parse_questions(rows).groupBy("doc_id", F.coalesce("extraction_method", F.lit("adaptive")).alias("method")).agg(F.count("*").alias("n"))
+    """Which way each file's records are found: the best pattern, else the line parser, else the last resort."""
+    return parse_questions(_kinds(spark, sf_dir)).groupBy("doc_id", F.coalesce("extraction_method", F.lit("adaptive")).alias("method")).agg(F.count("*").alias("n"))
 
 
 # statistics over numbers, answers and records of any table
@@ -523,7 +559,12 @@ def section_report(spark, sf_dir):
     return stats.section_report(_document_records(spark, sf_dir)).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
-@query(f"WITH {_RECORDS}, i AS (SELECT doc_id, question_number, unnest([CASE WHEN confidence < 50 THEN '信頼度が低い' END, CASE WHEN length(question) < 20 THEN '問題文が短い' END]) AS issue FROM d) SELECT * FROM i WHERE issue IS NOT NULL")
+@query(f"WITH {_RECORDS} SELECT count(*) AS total, count(*) FILTER (WHERE answer = '〇') AS correct, count(*) FILTER (WHERE answer = '×') AS incorrect, round(sum(confidence) / count(*), 1) AS average_confidence, count(*) FILTER (WHERE confidence < 70) AS attention, greatest(count(*) FILTER (WHERE confidence < 70) - 10, 0) AS not_listed FROM d")
+def report_totals(spark, sf_dir):
+    return stats.report_totals(_document_records(spark, sf_dir))
+
+
+@query(f"WITH {_RECORDS}, i AS (SELECT doc_id, question_number, unnest([CASE WHEN confidence < 50 THEN '問' || question_number || ': 信頼度が低い (' || confidence::INT || '%)' END, CASE WHEN length(question) < 20 THEN '問' || question_number || ': 問題文が短い' END]) AS issue FROM d) SELECT * FROM i WHERE issue IS NOT NULL")
 def record_issues(spark, sf_dir):
     return stats.quality_issues(_document_records(spark, sf_dir))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_FILE_BYTES
 from ..functions import compat as C
-from ..functions.cleaning import clean, text_quality
+from ..functions.cleaning import clean, quality_issues, text_quality
 
 #: (doc_id, name, content) -> pages as (page_no, text or None, error or None)
 PdfReader = Callable[[bytes], list[tuple[int, str | None, str | None]]]
@@ -63,10 +63,31 @@ def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_no int, success boolean, text string, error string")
 
 
-def metadata_defaults(meta: DataFrame) -> DataFrame:
-    """Document attributes with their defaults."""
-    texts = ["title", "author", "subject", "keywords", "creator", "producer", "creation_date", "modification_date"]
-    return meta.withColumns({**{c: F.coalesce(c, F.lit("")) for c in texts}, "version": F.coalesce("version", F.lit("unknown")), "page_count": F.coalesce("page_count", F.lit(0))})
+#: content -> (number of pages, encrypted or None, attributes by their name in the document)
+MetadataReader = Callable[[bytes], tuple[int, bool | None, dict[str, str | None]]]
+#: Attribute -> its name in the document, and its default.
+METADATA = {"title": ("Title", ""), "author": ("Author", ""), "subject": ("Subject", ""), "creator": ("Creator", ""), "producer": ("Producer", ""), "creation_date": ("CreationDate", None), "modification_date": ("ModDate", None), "pdf_version": ("pdf:PDFVersion", None)}
+
+
+def read_metadata(files: DataFrame, reader: MetadataReader) -> DataFrame:
+    """doc_id and ten attributes of each file, by a reader that the caller brings. A reader that fails on the attributes
+    raises with the number of pages as its first argument, and only that and `encrypted` are set; any other error leaves
+    the number of pages null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                try:
+                    n, encrypted, info = reader(bytes(content))
+                    rows.append((doc_id, *(info.get(name) or default for name, default in METADATA.values()), n, bool(encrypted)))
+                except Exception as e:  # noqa: BLE001  errors are data here
+                    n = e.args[0] if e.args and isinstance(e.args[0], int) else None
+                    rows.append((doc_id, *[None] * len(METADATA), n, False))
+            out = pd.DataFrame(rows, columns=["doc_id", *METADATA, "page_count", "encrypted"])
+            yield out.astype({"page_count": "Int64"})
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, " + ", ".join(f"{c} string" for c in METADATA) + ", page_count long, encrypted boolean")
 
 
 def assemble(pages: DataFrame, max_pages: int = 0, normalise: bool = True) -> DataFrame:
@@ -82,7 +103,7 @@ def file_results(pages: DataFrame, method: str = "simple", max_pages: int = 0, n
     docs = assemble(pages, max_pages, normalise)
     ok = pages.groupBy("doc_id").agg(F.max("success").alias("success"), F.min("error").alias("error"))
     q = text_quality(F.col("text"))
-    return docs.join(ok, "doc_id").select("doc_id", "success", F.when(F.col("success"), F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"), "text", "page_count", C.length(F.col("text")).alias("text_length"), q["score"].cast("double").alias("quality"), F.lit(method).alias("method"), F.lit(0.0).alias("processing_time"))
+    return docs.join(ok, "doc_id").select("doc_id", "success", F.when(F.col("success"), F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"), "text", "page_count", C.length(F.col("text")).alias("text_length"), q["score"].cast("double").alias("quality"), F.lit(method).alias("method"), F.lit(0.0).alias("processing_time"), quality_issues(q).alias("issues"))
 
 
 def first_text(*columns: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.questions import parse_questions
+from ..plans.questions import parse_questions, release
 
 
 def text_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -19,6 +19,10 @@ def parse_stream(texts: DataFrame, table_path: str, checkpoint: str, **options)
     """Records of every new file as Parquet below table_path, a folder a batch, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parse_questions(batch, **options).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        records = parse_questions(batch, **options)
+        try:
+            records.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        finally:
+            release(records)
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
