@@ -503,6 +503,29 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_profiles_by_counting(spark):
+    """Profiles hold the most frequent n-grams of all rows that may be learned from, however many languages there are."""
+    rng = random.Random(77)
+    rows = language_rows(80, 4) + [(5000 + i, words(rng, 6), f"l{i:03}") for i in range(120)]
+    docs = spark.createDataFrame([(i, t, g, 1.0) for i, t, g in rows], "doc_id long, text string, lang string, score double")
+    model = langid.fit(docs, profile_size=30)
+    code = lambda g: sum((0 if c == " " else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g)) | ((1 << 62) if len(g) == 2 else 0)
+    counts = defaultdict(lambda: defaultdict(int))
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            s = " " + re.sub(r"[^a-zé]+", " ", text.lower()) + " "
+            for n in (1, 2, 3):
+                for k in range(len(s) - n + 1):
+                    g = s[k : k + n]
+                    if g != " " and not (n == 3 and g[1] == " "):
+                        counts[lang][code(g)] += 1
+    assert model.languages == sorted(counts) and len(counts) > 80
+    for k, lang in enumerate(model.languages):
+        want = sorted(counts[lang], key=lambda g: (-counts[lang][g], g))[:30]
+        own = {int(model.grams[j]): int(r) for j, r in enumerate(model.ranks[k][:-1]) if r >= 0}
+        assert [g for g, _ in sorted(own.items(), key=lambda x: x[1])] == want
+
+
 def test_rank_order_distance():
     rng = random.Random(8)
     text, profiles = words(rng, 80), {"x": words(rng, 200), "y": words(rng, 150)}
