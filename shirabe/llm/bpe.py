@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,6 +80,8 @@ class Bpe:
         self.sizes = np.array([len(t) for t in table], np.int64)
         self._pair_ok: dict[tuple[int, int], bool] = {}
         self.cut, self.safe = regex.compile(PATTERN), regex.compile(SAFE_CUT)
+        #: Without such a run no piece is longer than LEAF_BYTES (a code point has four bytes at most, a piece one blank more).
+        self.run = re.compile(rf"\S{{{LEAF_BYTES // 4}}}|\s{{{LEAF_BYTES // 4}}}")
         #: Texts' and pieces' joins made so far, and the characters of text encoded again for them.
         self.text_joins = self.piece_joins = self.again = 0
 
@@ -175,7 +178,7 @@ class Bpe:
 
     def _plain(self, text: str) -> list[int]:
         """Text without special tokens' strings."""
-        if len(text) <= LEAF_BYTES:
+        if len(text) <= LEAF_BYTES or not self.run.search(text):  # every piece is short
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for m in self.cut.finditer(text):
