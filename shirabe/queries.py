@@ -14,7 +14,7 @@ from .functions import compat as C
 from .operators import adaptive, hierarchy, layout, lines, records, segment, stats
 from .plans.questions import parse_questions, raw_questions
 from .sources import files as files_
-from .sources.sinks import csv_rows
+from .sources.sinks import csv_rows, hierarchy_csv_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,6 +201,13 @@ def file_manifest(spark, sf_dir):
     return files_.check_inputs(files_.add_files(new.limit(0).withColumn("id", F.lit("")), new))
 
 
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size > 25")
+def remaining_files(spark, sf_dir):
+    """A manifest without the files named for removal."""
+    manifest = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size")
+    return files_.remove_files(manifest, manifest.where("p_size <= 25")).select("id", "name")
+
+
 def _pages(spark, sf_dir):
     t = A.table(spark, sf_dir, "conversations")
     ok = F.col("turn") % 7 != 6
@@ -238,6 +245,12 @@ def extraction_methods(spark, sf_dir):
     return stats.histogram(files_.file_results(_pages(spark, sf_dir)).where("success"), "method", "unknown")
 
 
+@query(f"WITH {_DOCS} SELECT doc_id, success, page_count, length(text)::INT AS text_length, 'simple' AS method, CASE WHEN NOT success THEN error END AS error FROM d")
+def extraction_debug(spark, sf_dir):
+    shown, _ = stats.debug_info(files_.file_results(_pages(spark, sf_dir)))
+    return shown.drop("quality")
+
+
 _CHAIN = [("one", "two", "three"), (None, " ", "three"), ("", "two", None), (None, None, " ")]
 
 
@@ -323,15 +336,25 @@ def answers(spark, sf_dir):
 _CHOICES, _CHOICES_SQL = _spread(["次のうち\n1. 最初の選択肢\n2. 二番目の選択肢\n3. 短い", "次\nア. 権利の移転\nイ. 義務の発生", "1. 一つだけの選択肢", "①甲の場合\n続きの行\n②乙の場合", "(1) 括弧の一番\n(2) 括弧の二番", "なし", "1. ab\n2. cd"])
 
 
-@query(rf"""WITH {_CHOICES_SQL}, w AS (SELECT id, s, unnest([('数字選択肢', '[1-9]\.', 1), ('アイウエ選択肢', '[アイウエオカキクケコ]\.', 2)]::STRUCT(n VARCHAR, p VARCHAR, k INT)[]) AS f FROM t),
+_FORMS = rf"""w AS (SELECT id, s, unnest([('数字選択肢', '[1-9]\.', 1), ('アイウエ選択肢', '[アイウエオカキクケコ]\.', 2)]::STRUCT(n VARCHAR, p VARCHAR, k INT)[]) AS f FROM t),
 h AS (SELECT id, f.k AS k, f.n AS format, regexp_extract_all(s, '(?m)^' || f.p || '[{_WS}]*.+$', 0) AS whole, regexp_extract_all(s, '(?m)^' || f.p || '[{_WS}]*(.+)$', 1) AS body FROM w),
-g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS nth FROM h WHERE len(whole) >= 2 AND len(list_filter(body, lambda b: length({_trim('b')}) > 3)) > 0)
+g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS nth FROM h WHERE len(whole) >= 2 AND len(list_filter(body, lambda b: length({_trim('b')}) > 3)) > 0)"""
+
+
+@query(rf"""WITH {_CHOICES_SQL}, {_FORMS}
 SELECT id, format, u.number AS number, u.body AS text FROM (SELECT id, format, unnest(list_filter(list_transform(whole, lambda x, i: {{'number': substr(x, 1, 1), 'body': {_trim('body[i]')}}}), lambda r: length(r.body) > 3)) AS u FROM g WHERE nth = 1)""")
 def choices(spark, sf_dir):
     rows = _CHOICES(spark, sf_dir).select("id", F.explode(detect.choices(F.col("s"))).alias("c"))
     return rows.select("id", "c.format", "c.number", "c.text")
 
 
+@query(rf"""WITH {_CHOICES_SQL}, {_FORMS}, k AS (SELECT id, list_filter(list_transform(body, lambda b: length({_trim('b')})), lambda n: n > 3) AS n FROM g WHERE nth = 1), c AS (SELECT id, coalesce(n, []) AS n FROM t LEFT JOIN k USING (id))
+SELECT id, CASE WHEN len(n) = 0 THEN 0.5 WHEN len(n) = 1 THEN 0.3 WHEN len(n) <= 5 THEN 1.0 ELSE 0.2 END::DOUBLE AS count_score, CASE WHEN len(n) = 0 THEN 0.5 ELSE round(list_sum(list_transform(n, lambda x: CASE WHEN x > 15 THEN 0.8 WHEN x > 5 THEN 0.5 ELSE 0.0 END)) / len(n), 6) END::DOUBLE AS quality_score FROM c""")
+def choice_scores(spark, sf_dir):
+    c = detect.choices(F.col("s"))
+    return _CHOICES(spark, sf_dir).select("id", scoring.choice_count_score(c).alias("count_score"), F.round(scoring.choice_quality_score(c), 6).alias("quality_score"))
+
+
 @query()
 def all_choices(spark, sf_dir):
     rows = _CHOICES(spark, sf_dir).select("id", F.explode(detect.all_choices(F.col("s"))).alias("c"))
@@ -447,9 +470,10 @@ def quiz_attention_list(spark, sf_dir):
     return stats.attention_list(_quiz(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT p_brand AS doc_id, count(*) AS numbers, 0::BIGINT AS answers, 0::BIGINT AS explanations, 0.4::DOUBLE AS reliability, '番号付き問題' AS formats FROM part GROUP BY p_brand")
+@query("WITH p AS (SELECT p_brand AS doc_id, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 1) AS yes FROM part GROUP BY p_brand) SELECT doc_id, n AS numbers, n AS answers, 0::BIGINT AS explanations, 0.7::DOUBLE AS reliability, '番号付き問題,○×問題' || CASE WHEN abs(2 * yes - n) / n < 0.3 THEN ',バランス型' ELSE '' END AS formats FROM p")
 def quiz_pattern_reliability(spark, sf_dir):
-    return stats.pattern_reliability(raw_questions(A.quiz_texts(spark, sf_dir))[0])
+    found = stats.pattern_reliability(raw_questions(A.quiz_texts(spark, sf_dir), answer_aware=True)[0])
+    return found.withColumn("reliability", F.round("reliability", 6))
 
 
 _EXPLANATION = K.EXPLANATIONS["宅建業法"][0] + K.EXPLANATION_HINTS[2][1]
@@ -606,6 +630,11 @@ def hierarchy_records(spark, sf_dir):
     return rows.withColumnsRenamed(names).select("doc_id", "level1", "level2", "number", "year", "question", "explanation", "answer")
 
 
+@query(f"WITH {_HIER} SELECT concat_ws(',', level1, level2, '', '', s_suppkey % 1000 + 1, 'R' || (s_suppkey % 6 + 1), '業者は届け出をする。', '】期間は短い', CASE WHEN s_acctbal > 5000 THEN '〇' ELSE '×' END) AS value FROM h")
+def hierarchy_csv(spark, sf_dir):
+    return hierarchy_csv_rows(hierarchy.parse_texts(_hierarchy_texts(spark, sf_dir))).toDF("value")
+
+
 @query(f"WITH {_HIER} SELECT level1, count(*) AS total, count(*) FILTER (WHERE s_acctbal > 5000) AS correct, count(*) FILTER (WHERE s_acctbal <= 5000) AS incorrect FROM h GROUP BY level1")
 def hierarchy_summary(spark, sf_dir):
     return stats.hierarchy_summary(hierarchy.parse_texts(_hierarchy_texts(spark, sf_dir)))
