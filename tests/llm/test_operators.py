@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, covertree, fingerprint, htmltext, langid, licenses, linededup, minhash, packing, queries, toxicity
+from shirabe.llm import bpe, common, covertree, fingerprint, htmltext, langid, licenses, linededup, minhash, packing, queries, toxicity
 from shirabe.llm.graph import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -65,6 +65,29 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_intermediate_tables_are_deleted(spark):
+    import glob
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    held = lambda: set(glob.glob(f"{folder}/cut-*"))
+    docs, before = frame(spark, corpus()[:40]), held()
+    for f in (lambda: minhash.near_duplicates(docs), lambda: packing.pack(docs, PATH), lambda: linededup.dedup_lines(docs), lambda: covertree.near_vectors(vectors(spark, [(1, [1.0, 2.0]), (2, [2.0, 4.0])]))):
+        out = f()
+        made = held() - before
+        assert len(made) == 1 and out.count() > 0
+        before = held()
+    langid.fit(docs)
+    toxicity.fit(docs, spark.createDataFrame([(11, 1), (12, 0)], "doc_id long, toxic int"))
+    assert held() == before
+    with common.scratch() as keep:
+        inner = common.cut(docs)
+        with common.scratch() as deeper:
+            given = deeper(inner.where("doc_id = 11"))
+        last = keep(given.select("doc_id"))
+        assert len(held() - before) == 3
+    assert len(held() - before) == 1 and last.count() == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(500)]
