@@ -121,12 +121,13 @@ class CoverTree:
                     fresh.append(i)
                     free &= near[i] < close
             new = block[fresh]
-            for k in range(0, len(new), _BLOCK):
-                got = self.points[own[a:]] @ self.points[own[new[k : k + _BLOCK]]].T
+            for i in range(a, len(own), 4 * _BLOCK):  # of the points from this block on
+                z = min(len(own), i + 4 * _BLOCK)
+                got = self.points[own[i:z]] @ self.points[own[new]].T
                 top = got.argmax(1)
                 value = got[np.arange(len(top)), top]
-                better = value > best[a:]
-                best[a:][better], nearest[a:][better] = value[better], top[better] + len(chosen) + k
+                better = value > best[i:z]
+                best[i:z][better], nearest[i:z][better] = value[better], top[better] + len(chosen)
             chosen += new.tolist()
         # points of earlier blocks may have a nearer center among later ones; any center within reach will do
         centers = own[chosen]
@@ -364,12 +365,13 @@ class Top:
 
 
 def _each_size(batch: pa.RecordBatch, tops: dict[int, Top]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Top]]:
-    """(vector length, rows, vectors, leaves) of a batch; a length the sample did not hold has one leaf."""
+    """(vector length, rows, vectors, leaves) of a batch, some rows at a time; a length the sample did not hold has one leaf."""
     sizes = batch.column("size").to_numpy(zero_copy_only=False)
     for n in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == n)
-        points = _matrix(batch.column("unit") if len(own) == len(sizes) else batch.column("unit").take(pa.array(own)), n)
-        yield n, own, points, tops.get(n) or Top(np.eye(1, n), np.array([2.0]))
+        rows, top = np.flatnonzero(sizes == n), tops.get(n) or Top(np.eye(1, n), np.array([2.0]))
+        for k in range(0, len(rows), 2 * _BLOCK):
+            own = rows[k : k + 2 * _BLOCK]
+            yield n, own, _matrix(batch.column("unit").take(pa.array(own)), n), top
 
 
 def near_vectors(vectors: DataFrame, cosine: float = THRESHOLD, sample: int = SAMPLE, max_leaves: int = LEAVES, part: int = PART, populous: int = POPULOUS) -> DataFrame:
