@@ -37,7 +37,7 @@ SAFE_CUT = r"""(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=\p{L})(?=\
 #: The longest leaves of a text and of a piece, and the characters on both sides of a join that a window begins with.
 LEAF_CHARS, LEAF_BYTES, WINDOW = 4096, 512, 64
 #: Bytes of text whose different pieces are encoded together.
-BPE_SLICE_BYTES = 8 << 20
+BPE_SLICE_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

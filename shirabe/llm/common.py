@@ -116,6 +116,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
             stop = max(start + 1, int(size.searchsorted(base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on after the partition
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
