@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 5- and 6-grams
+Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 4- to 6-grams
 within words, present or not; of those in at least `SUPPORT` of the positives, and `RATIO` times as frequent there as in
 unlabelled texts, the `features` that tell the two apart best are kept. Linear numpy classifiers then minimise the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the
 logistic loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
@@ -30,8 +30,8 @@ from .langid import _letters
 from .words import MULTIPLIER
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
-FEATURES, BITS = 128, 21
-SPANS = (5, 6)
+FEATURES, BITS = 256, 21
+SPANS = (4, 5, 6)
 SUPPORT, RATIO = 0.02, 4.0
 
 
