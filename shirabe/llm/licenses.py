@@ -27,7 +27,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import text_slices, texts_of
@@ -71,31 +71,34 @@ def _norm(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode())
-
-
 class Index:
     """Templates' words and the inverted indexes of their n-grams and, for short ones, of single words."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> None:
         self.names = sorted(templates)
         self.words = [[w for x in templates[n].split() if (w := _norm(x))] for n in self.names]
+        self.vocabulary = sorted({w for words in self.words for w in words})
+        #: Each template as numbers of its words (from 1 on; 0 is any other word), and which numbers it holds.
+        self.codes = [self.code(words) for words in self.words]
+        self.holds = [np.isin(np.arange(len(self.vocabulary) + 1), codes) for codes in self.codes]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.word_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.hashes = [np.array([_hash(w) for w in words], np.uint64) for words in self.words]
         for t, words in enumerate(self.words):
-            hashes = self.hashes[t].tolist()
             if len(words) < SHORT:
                 spare = len(words) - math.ceil(min_coverage * len(words))
                 for p in sorted(range(len(words)), key=lambda p: (words[p].isalpha(), -len(words[p]), p))[: spare + 1]:
-                    self.word_at[hashes[p]].append((t, p))
+                    self.word_at[int(self.codes[t][p])].append((t, p))
                 continue
-            grams, _ = gram_hashes(self.hashes[t], np.array([0, len(words)]), GRAM)
+            grams, _ = gram_hashes(self.codes[t], np.array([0, len(words)]), GRAM)
             for p, g in enumerate(grams.tolist()):
                 self.at[g].append((t, p))
         self.keys, self.word_keys = (np.array(sorted(x), np.uint64) for x in (self.at, self.word_at))
 
+    def code(self, words: list[str] | pa.Array) -> np.ndarray:
+        """Numbers of normalised words."""
+        found = pc.index_in(pa.array(words, pa.string()), value_set=pa.array(self.vocabulary, pa.string()))
+        return (pc.fill_null(found, -1).to_numpy(zero_copy_only=False) + 1).astype(np.uint64)
+
     def hits(self, grams: np.ndarray, single: bool = False) -> np.ndarray:
         """Places of grams, or single words, that the index holds."""
         keys = self.word_keys if single else self.keys
@@ -142,10 +145,14 @@ def align(template: np.ndarray, text: np.ndarray, shifts: np.ndarray, least: flo
     return alive, most, begin + first[row, lane], begin + past[row, lane]
 
 
-def template_matches(template: np.ndarray, words: np.ndarray, shifts: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+def template_matches(template: np.ndarray, holds: np.ndarray, words: np.ndarray, shifts: np.ndarray, least: float) -> list[tuple[int, int, int]]:
     """(matched, first, past last) of a template's matches: the best first, then those in what it leaves free."""
     n, found, taken = len(template), [], np.zeros(len(words) + 1, bool)
     low, high = np.maximum(0, shifts - BAND), np.minimum(len(words), shifts + n + BAND)
+    # where too few of the template's words stand, no alignment helps
+    there = np.concatenate([[0], np.cumsum(holds[words])])
+    may = there[high] - there[low] >= least
+    shifts, low, high = shifts[may], low[may], high[may]
     which, matched, first, past = align(template, words, shifts, least, low, high)
     heap = list(zip((-matched).tolist(), (past - first).tolist(), first.tolist(), past.tolist(), shifts[which].tolist(), low[which].tolist(), high[which].tolist(), strict=True))
     heapq.heapify(heap)
@@ -156,7 +163,7 @@ def template_matches(template: np.ndarray, words: np.ndarray, shifts: np.ndarray
             taken[f:p] = True
         edges = [a - 1, *(np.flatnonzero(taken[a:z]) + a).tolist(), z]
         for e, g in pairwise(edges):
-            if g - e - 1 >= least:
+            if g - e - 1 >= least and there[g] - there[e + 1] >= least:
                 _, m, start, stop = align(template, words, np.array([shift]), least, e + 1, g)
                 if len(m):
                     heapq.heappush(heap, (-int(m[0]), int(stop[0] - start[0]), int(start[0]), int(stop[0]), shift, e + 1, g))
@@ -164,17 +171,17 @@ def template_matches(template: np.ndarray, words: np.ndarray, shifts: np.ndarray
 
 
 def scan_words(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float]]:
-    """(first word, past last word, template, coverage) of each match; words by their hashes; hits: (place, template, place in template)."""
+    """(first word, past last word, template, coverage) of each match; words by their numbers; hits: (place, template, place in template)."""
     places = defaultdict(set)
     for place, t, p in hits:
         places[t].add(place - p)
     found = []
     for t, own in places.items():
-        template = index.hashes[t]
+        template = index.codes[t]
         shifts = np.array(sorted(own), np.int64)
         if len(template) < SHORT:
             shifts = np.unique((shifts[:, None] + np.arange(-BAND, BAND + 1)).ravel())
-        found += [(*m, t) for m in template_matches(template, words, shifts, min_coverage * len(template))]
+        found += [(*m, t) for m in template_matches(template, index.holds[t], words, shifts, min_coverage * len(template))]
     # matches of several templates: most words first, then the shorter template
     out: list[tuple[int, int, int, float]] = []
     taken = np.zeros(len(words) + 1, bool)
@@ -194,21 +201,23 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
             texts = texts_of(part)
             words, ends = split_words(texts, lower=False)
             coded = words.dictionary_encode()
-            normal = [_norm(w) for w in coded.dictionary.to_pylist()]
-            table = np.fromiter((_hash(w) if w else 0 for w in normal), np.uint64, len(normal))
+            normal = pc.utf8_lower(pc.utf8_trim(coded.dictionary.cast(pa.string()), characters=_EDGE))
+            table, full = index.code(normal), pc.greater(pc.binary_length(normal), 0).to_numpy(zero_copy_only=False)
             which = coded.indices.to_numpy(zero_copy_only=False)
-            seen = np.flatnonzero(table[which] != 0) if len(which) else np.zeros(0, np.int64)
+            seen = np.flatnonzero(full[which]) if len(which) else np.zeros(0, np.int64)
             own = np.searchsorted(seen, ends)  # words of punctuation alone don't count
-            grams, starts = gram_hashes(table[which[seen]], own, GRAM)
+            codes = table[which[seen]] if len(which) else np.zeros(0, np.uint64)
+            grams, starts = gram_hashes(codes, own, GRAM)
             hits = index.hits(grams)
-            single = index.hits(table[which[seen]], single=True)
+            single = index.hits(codes, single=True)
             rows = []
-            doc, single_doc = np.searchsorted(starts, hits, side="right") - 1, np.searchsorted(own, single, side="right") - 1
-            for d in np.union1d(doc, single_doc).tolist():
+            n = np.arange(part.num_rows + 1)
+            at_hit, at_single = np.searchsorted(hits, starts[n]), np.searchsorted(single, own[n])
+            for d in np.flatnonzero((np.diff(at_hit) > 0) | (np.diff(at_single) > 0)).tolist():
                 a, z = own[d], own[d + 1]
-                mine = [(int(h - starts[d]), t, p) for h in hits[doc == d] for t, p in index.at[int(grams[h])]]
-                mine += [(int(h - own[d]), t, p) for h in single[single_doc == d] for t, p in index.word_at[int(table[which[seen[h]]])]]
-                matches = scan_words(table[which[seen[a:z]]], mine, index, min_coverage)
+                mine = [(int(h - starts[d]), t, p) for h in hits[at_hit[d] : at_hit[d + 1]].tolist() for t, p in index.at[int(grams[h])]]
+                mine += [(int(h - a), t, p) for h in single[at_single[d] : at_single[d + 1]].tolist() for t, p in index.word_at[int(codes[h])]]
+                matches = scan_words(codes[a:z], mine, index, min_coverage)
                 if matches:
                     text = texts[d].as_py()
                     spans = [m.span() for m in _WORD.finditer(text)]
