@@ -230,12 +230,13 @@ def extraction_totals(spark, sf_dir):
     return stats.extraction_stats(files_.file_results(_pages(spark, sf_dir))).select("total_files", "successful_files", "failed_files", "total_pages", "total_text_length")
 
 
-_ISSUES = rf"list_filter([CASE WHEN length(text) < 10 THEN 'テキストが短すぎる' END, CASE WHEN (length(text) - length(regexp_replace(text, '[あ-んア-ヶ一-龠]', '', 'g'))) / length(text) < 0.3 THEN '日本語文字の比率が低い' END], lambda x: x IS NOT NULL)"
+_ISSUES = rf"list_filter([CASE WHEN length(text) < 10 THEN 'テキストが短すぎる' END, CASE WHEN (length(text) - length(regexp_replace(text, '[あ-んア-ヶ一-龠]', '', 'g'))) / length(text) < 0.3 THEN '日本語文字の比率が低い' END, '連続する同じ文字: ' || runs], lambda x: x IS NOT NULL)"
+_RUNS_OF = "ch AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda x, i: {'c': x, 'i': i})) AS u FROM f WHERE text <> ''), gr AS (SELECT doc_id, u.c AS c, u.i AS i, u.i - row_number() OVER (PARTITION BY doc_id, u.c ORDER BY u.i) AS k FROM ch WHERE u.c <> chr(10) AND u.c <> chr(13)), ru AS (SELECT doc_id, string_agg(repeat(c, n::INT), ', ' ORDER BY i) AS runs FROM (SELECT doc_id, c, count(*) AS n, min(i) AS i FROM gr GROUP BY doc_id, c, k HAVING count(*) >= 5) GROUP BY doc_id)"
 
 
-@query(f"WITH {_RESULTS}, e AS (SELECT doc_id, CASE WHEN NOT success THEN 'page failed' WHEN text = '' THEN 'テキストが空' ELSE array_to_string({_ISSUES}, ' / ') END AS issues FROM f) SELECT * FROM e WHERE issues <> ''")
+@query(f"WITH {_RESULTS}, {_RUNS_OF}, e AS (SELECT doc_id, CASE WHEN NOT success THEN 'page failed' WHEN text = '' THEN 'テキストが空' ELSE array_to_string({_ISSUES}, ' / ') END AS issues FROM f LEFT JOIN ru USING (doc_id)) SELECT * FROM e WHERE issues <> ''")
 def extraction_issues(spark, sf_dir):
-    """Issues of conversations as files; cleaned text holds no garbled or control characters, and none of these has runs."""
+    """Issues of conversations as files; cleaned text holds no garbled or control characters."""
     found = stats.extraction_issues(files_.file_results(_pages(spark, sf_dir)))
     return found.select("doc_id", F.array_join("issues", " / ").alias("issues"))
 
