@@ -92,8 +92,6 @@ LEADING_MARKS = r"^[　\s]*[・●○▲△□■◆]+[　\s]*"
 LEADING_EXPLANATION = r"^(?:解説|説明|補足|理由|根拠)[:：]?\s*"
 LEADING_NOTE = r"^[　\s]*[※注意]"
 RUN = r"(.)\1{4,}"
-#: A character outside the blocks that NFC never changes: Latin, Cyrillic, punctuation, kana, ideographs, Hangul, full-width forms.
-MAY_CHANGE = r"[^\x00-\u02FF\u0400-\u0482\u048A-\u052F\u2002-\u20CF\u3000-\u3029\u3030-\u3098\u309B-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3\uFF00-\uFFEF]"
 JAPANESE_LETTERS = "[あ-んア-ヶ一-龠]"
 #: Number, text and mark of a printed record.
 ANCHORED = r"(\d{5})([\s\S]*?)([×〇○])"

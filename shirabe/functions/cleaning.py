@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import CONTROL, ENCODING_FIXES, HIER_KEEP, JAPANESE_LETTERS, LEADING_EXPLANATION, LEADING_MARKS, LEADING_NOTE, LEADING_NUMBER, MAY_CHANGE, NORMALIZATIONS, RUN
+from ..constants import CONTROL, ENCODING_FIXES, HIER_KEEP, JAPANESE_LETTERS, LEADING_EXPLANATION, LEADING_MARKS, LEADING_NOTE, LEADING_NUMBER, NORMALIZATIONS, RUN
 from . import compat as C
 
 
@@ -15,10 +15,9 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; Spark has no such function, so this is the one Arrow UDF of the library. Only texts with a character
-    that NFC may change go through it, the others are sent as null."""
-    odd = c.rlike(MAY_CHANGE)
-    return F.when(odd, F.pandas_udf(_nfc, "string")(F.when(odd, c))).otherwise(c)
+    """Unicode NFC; Spark has no such function, so this is the one Arrow UDF of the library. Looking for texts that may change
+    by a regular expression first takes longer than sending all."""
+    return F.pandas_udf(_nfc, "string")(c)
 
 
 def fix_encoding(c: Column, normalise: bool = True) -> Column:
