@@ -70,10 +70,11 @@ def text_improved(items: DataFrame, normalise: bool = True) -> DataFrame:
 
 def complexity(items: DataFrame) -> DataFrame:
     """L4: (doc_id, page_no, n_items, y_variation, fonts, dx_variance, short_ratio, score); items without text don't count."""
-    before = Window.partitionBy(*_PAGE).orderBy("item_idx").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.coalesce(C.trim(F.col("str")) != "", F.lit(False))
-    own = lambda c: F.when(full, c)
-    rows = items.withColumn("dx", own(F.abs(F.col("x") - F.last(own(F.struct("x")), ignorenulls=True).over(before)["x"])))
+    own = lambda c: F.when(F.col("full"), c)
+    # items with and without text are windows of their own, so the item before is one with text
+    alike = Window.partitionBy(*_PAGE, "full").orderBy("item_idx")
+    rows = items.withColumn("full", F.coalesce(C.trim(F.col("str")) != "", F.lit(False)))
+    rows = rows.withColumn("dx", own(F.abs(F.col("x") - F.lag("x").over(alike))))
     n = F.count(own(F.lit(1)))
     font = F.when(F.coalesce("font_size", F.lit(0.0)) == 0, F.lit(12.0)).otherwise(F.col("font_size"))
     out = rows.groupBy(*_PAGE).agg(
