@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,52 +52,83 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Tables that the operators at work have cut, a list for each scratch() entered.
-_open_cuts: list[list[DataFrame]] = []
+#: Folders that the operator at work has made: of each thread and task its own.
+_open: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_open", default=None)
+#: Result tables that outlive their operators, and their sessions.
+_results: dict[str, SparkSession] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the operator at work ends."""
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    own = _open.get()
+    if own is not None:
+        own.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    if _open_cuts:
-        _open_cuts[-1].append(out)
     return out
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables cut inside are deleted at the end, but for those written by the function given, which outlive it."""
-    own: list[DataFrame] = []
-    kept: list[DataFrame] = []
+    """Tables cut inside are deleted at the end, but for those written by the function given, which outlive it: they go
+    with the operator around this one, else by `drop_results`."""
+    own: list[tuple[SparkSession, str]] = []
+    kept: list[tuple[SparkSession, str]] = []
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.append(cut(df))
-        return kept[-1]
+        out = cut(df)
+        kept.append((out.sparkSession, out._cut_path))
+        return out
 
-    _open_cuts.append(own)
+    before = _open.get()
+    token = _open.set(own)
     try:
         yield keep
     finally:
-        _open_cuts.pop()
-        for df in own:
-            if all(df is not k for k in kept):
-                drop_cut(df)
-        if _open_cuts:
-            _open_cuts[-1].extend(kept)
+        _open.reset(token)
+        paths = {path for _, path in kept}
+        for spark, path in own:
+            if path not in paths:
+                delete(spark, path)
+        if before is not None:
+            before.extend(kept)
+        else:
+            _results.update((path, spark) for spark, path in kept)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark reaches."""
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        with contextlib.suppress(Exception):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+        _results.pop(path, None)
+
+
+def drop_results() -> None:
+    """Delete the result tables of all operators that ended; whoever has read or written the results elsewhere calls this.
+    What is left goes when the driver ends."""
+    while _results:
+        path, spark = _results.popitem()
+        delete(spark, path)
+
+
+atexit.register(drop_results)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, fingerprint, htmltext, langid, licenses, linededup, minhash, packing, toxicity
+from . import bpe, covertree, fingerprint, htmltext, langid, licenses, linededup, merkle, minhash, packing, toxicity, warc, whitening
 from .common import bound_batches, documents, read_table
 
 
@@ -62,6 +62,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_of(documents(spark, sf_dir))
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,9 +91,20 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _bounded(f)
-    for f in (op1_embedding_near_dedup, op2_language_id, op3_bpe_round_trip, op4_html_extraction, op5_best_fit_packing, op6_minhash_near_dedup, op7_line_dedup, op8_license_scan, op9_toxicity, op10_document_fingerprints, pipeline)
+    for f in (
+        op1_embedding_near_dedup, op2_language_id, op3_bpe_round_trip, op4_html_extraction, op5_best_fit_packing, op6_minhash_near_dedup, op7_line_dedup,
+        op8_license_scan, op9_toxicity, op10_document_fingerprints, op11_embedding_whitening, op12_merkle_manifest, op13_warc_round_trip, pipeline,
+    )
 }
 
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: Whether the CRC-32 of a decimal number is even: its bits one by one, before the last inversion.
+_EVEN = "list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) & 1 = 1"
+#: A step of a proof: what stands left and right of the node with place p in its run.
+_STEP = "array_to_string(nodes[p - p % 3 + 1 : p], '') || '|' || array_to_string(nodes[p + 2 : p - p % 3 + 3], '')"
+_ABOVE = "list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], '')))"
+
 #: DuckDB SQL for what SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": """
@@ -104,5 +127,32 @@ WITH l AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE f.low < doc_id)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.low IS NULL OR f.low >= doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN f USING (k) GROUP BY doc_id
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE r AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_number() OVER () AS rid FROM (
+    SELECT doc_id, coalesce('=' || source, '') AS g, {_LEAF.format(text="text")} AS leaf,
+      CASE WHEN {_EVEN} THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS now FROM documents)
+), up(g, l, nodes) AS (
+  SELECT g, 0, list(leaf ORDER BY place) FROM r GROUP BY g UNION ALL SELECT g, l + 1, {_ABOVE} FROM up WHERE len(nodes) > 1
+), groups AS (
+  SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS k FROM up WHERE len(nodes) = 1
+), top(l, nodes) AS (
+  SELECT 0, list(subroot ORDER BY k) FROM groups UNION ALL SELECT l + 1, {_ABOVE} FROM top WHERE len(nodes) > 1
+), steps AS (
+  SELECT rid, l, {_STEP} AS step FROM (SELECT rid, l, nodes, place // (3 ** l)::BIGINT AS p FROM r JOIN up USING (g) WHERE len(nodes) > 1)
+  UNION ALL SELECT rid, 100 + l, {_STEP} FROM (SELECT rid, l, nodes, k // (3 ** l)::BIGINT AS p FROM r JOIN groups USING (g) CROSS JOIN top WHERE len(nodes) > 1)
+), ways AS (SELECT rid, list(step ORDER BY l) AS steps FROM steps GROUP BY rid),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, sha256(replace(array_to_string(coalesce(steps, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(now, coalesce(steps, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM r JOIN groups USING (g) LEFT JOIN ways USING (rid))
+SELECT *, folded_root = root AS verified FROM f
+""",
+    "op13_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS original, sha1(h) AS s FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to FROM d
 """,
 }

@@ -859,7 +859,7 @@ def test_licenses_short_and_alike(spark):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf).select(*want.columns)
