@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; everything else is unlabelled. Features are hashed letter 4- to 6-grams
-within words, present or not; of those in at least `SUPPORT` of the positives, and `RATIO` times as frequent there as in
-unlabelled texts, the `features` that tell the two apart best are kept. Linear numpy classifiers then minimise the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the
-logistic loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
+within words; of those in at least `SUPPORT` of the positives, and `RATIO` times as frequent there as in unlabelled texts,
+the `features` that tell the two apart best are kept. A feature's value is log(1 + DENSITY * its share of the text's n-grams),
+so that a long text which holds a word once is not like a short one that does. Linear numpy classifiers then minimise the
+class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the logistic loss: where the second part falls below zero its gradient is reversed, so that it can't be driven below.
 Several classifiers of different parts of the rows are averaged. The prior is the toxic share of the labelled rows, which
 is right where rows were chosen for labelling without regard to their content.
 
@@ -30,9 +31,9 @@ from .langid import _letters
 from .words import MULTIPLIER
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
-FEATURES, BITS = 256, 21
+FEATURES, BITS = 512, 21
 SPANS = (4, 5, 6)
-SUPPORT, RATIO = 0.02, 4.0
+SUPPORT, RATIO, DENSITY = 0.02, 4.0, 1000.0
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -42,21 +43,26 @@ def gram_buckets(text: str) -> np.ndarray:
     points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
     codes, letter = points.astype(np.uint64), points != 0
     out = []
-    for span in SPANS:
+    # each span's hash goes on from the shorter one's
+    h, inner = codes.copy(), np.ones(len(codes), bool)
+    for span in range(2, SPANS[-1] + 1):
         n = len(codes) - span + 1
         if n <= 0:
-            continue
-        h = np.full(n, span, np.uint64)
-        inner = np.ones(n, bool)
-        for i in range(span):
-            h = h * np.uint64(0x100000001B3) + codes[i : i + n]
-            if 0 < i < span - 1:
-                inner &= letter[i : i + n]
-        h ^= h >> np.uint64(29)
-        out.append(((h[inner] * MULTIPLIER) >> np.uint64(64 - BITS)).astype(np.int64))
+            break
+        h = h[:n] * np.uint64(0x100000001B3) + codes[span - 1 :]
+        inner = inner[:n] & letter[span - 2 : span - 2 + n] if span > 2 else inner[:n]
+        if span in SPANS:
+            own = h[inner] + np.uint64(span)
+            own ^= own >> np.uint64(29)
+            out.append(((own * MULTIPLIER) >> np.uint64(64 - BITS)).astype(np.int64))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def density(counts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Values of features that stand counts times among a text's n n-grams."""
+    return np.log1p(DENSITY * counts / np.maximum(n, 1))
+
+
 def nnpu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
     """The prior-corrected risk  prior * R_p(+) + max(0, rest),  rest = R_u(-) - prior * R_p(-), with the logistic loss; rest;
     and the step's gradient: the risk's, or where rest is below zero that of -rest, which drives it back up."""
@@ -95,8 +101,8 @@ class Model:
         if not len(self.weights):
             return 0.0
         got = self.slot[gram_buckets(text or "")]
-        here = np.unique(got[got >= 0])
-        z = self.weights[:, here].sum(1) + self.weights[:, -1]
+        here, counts = np.unique(got[got >= 0], return_counts=True)
+        z = self.weights[:, here] @ density(counts, len(got)) + self.weights[:, -1]
         return float((1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean())
 
 
@@ -118,15 +124,25 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     total = own.select("doc_id").count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 20)) / (1 << 20)
     marked = own.join(F.broadcast(toxic.withColumn("p", F.lit(True))), "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"), (chance < max_unlabelled / max(1, total)).alias("u"))
-    sample = cut(marked.where("p or u"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            found = [np.unique(gram_buckets(t), return_counts=True) for t in part.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[i] for f in found]).astype(np.int32))) for i in (0, 1)]
+            yield pa.record_batch([part.column("p"), part.column("u"), *lists], names=["p", "u", "buckets", "counts"])
+
+    # every sampled text is read and hashed once
+    sample = cut(marked.where("p or u").mapInArrow(grams, "p boolean, u boolean, buckets array<int>, counts array<int>"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
-        for part in text_slices(batches):
-            for text, p, u in zip(*(part.column(c).to_pylist() for c in ("text", "p", "u")), strict=True):
-                here = np.unique(gram_buckets(text))
-                sums[0, here] += p
-                sums[1, here] += u
+        for part in batches:
+            lists = part.column("buckets")
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            for row, mark in enumerate(("p", "u")):
+                np.add.at(sums[row], flat[np.repeat(part.column(mark).to_numpy(zero_copy_only=False), size)], 1)
         some = np.flatnonzero(sums.any(0))
         yield pa.record_batch([pa.array(some), pa.array(sums[0, some].astype(np.int64)), pa.array(sums[1, some].astype(np.int64))], names=["bucket", "np", "nu"])
 
@@ -140,15 +156,22 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     slot[best] = np.arange(len(best))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            got = [slot[gram_buckets(t)] for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("p"), part.column("u"), pa.array([np.unique(x[x >= 0]).tolist() for x in got], pa.list_(pa.int16()))], names=["p", "u", "slots"])
+        for part in batches:
+            lists = [part.column(c) for c in ("buckets", "counts")]
+            ends = lists[0].offsets.to_numpy()
+            flat, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            ends = ends - ends[0]
+            here, who = slot[flat], np.repeat(np.arange(part.num_rows), np.diff(ends))
+            known = here >= 0
+            values = density(counts[known], np.bincount(who, counts, part.num_rows)[who[known]])
+            stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who[known], minlength=part.num_rows))]).astype(np.int32))
+            yield pa.record_batch([part.column("p"), part.column("u"), pa.ListArray.from_arrays(stops, pa.array(here[known])), pa.ListArray.from_arrays(stops, pa.array(values.astype(np.float32)))], names=["p", "u", "slots", "values"])
 
     # a bounded sample's known features
-    taken = sample.mapInArrow(rows, "p boolean, u boolean, slots array<short>").toArrow()
+    taken = sample.mapInArrow(rows, "p boolean, u boolean, slots array<short>, values array<float>").toArrow()
     x = np.zeros((taken.num_rows, len(best)), np.float32)
-    for i, own_slots in enumerate(taken["slots"].to_pylist()):
-        x[i, own_slots] = 1
+    for i, (own_slots, values) in enumerate(zip(taken["slots"].to_pylist(), taken["values"].to_pylist(), strict=True)):
+        x[i, own_slots] = values
     is_p, is_u = taken["p"].to_numpy(), taken["u"].to_numpy()
     order = np.lexsort([*x[:, :8].T, x.sum(1)])  # whatever order the rows came in
     x, is_p, is_u = x[order], is_p[order], is_u[order]
