@@ -36,6 +36,8 @@ MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
 #: Shared keys that a shard's filter is made for.
 SHARD_KEYS = 8192
+#: Postings that one task holds against one filter; a shard with more of them has copies of its filter.
+TASK_POSTINGS = 32768
 #: A key is hot from this part (one in so many) of all postings on, so 1000 keys are hot at most.
 HOT_PART = 1000
 SLOTS = 4
@@ -232,13 +234,14 @@ class LineIndex:
         return self._changed(changed, added=new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Without the documents named in doc_ids.doc_id. Only their keys are counted again."""
+        """Without the documents named in doc_ids.doc_id."""
         ids = cut(doc_ids.select("doc_id").where("doc_id is not null").distinct())
-        keys = cut(self.postings.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct())
-        stay = self.postings.join(keys, ["k1", "k2"], "left_semi").join(ids, "doc_id", "left_anti")
-        again = stay.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-        was = self.refs.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", F.col("n").alias("was"))
-        changed = cut(was.join(again, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "low", "was"))
+        gone = cut(self.postings.join(ids, "doc_id", "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("dn"), F.min("doc_id").alias("dlow")))
+        left = cut(self.refs.join(gone, ["k1", "k2"]).select("k1", "k2", (F.col("n") - F.col("dn")).alias("n"), "low", F.col("n").alias("was"), (F.col("low") == F.col("dlow")).alias("lost")))
+        # the counts follow from the reference counts; only keys that lose their smallest document look for the next one
+        seek = left.where("lost and n > 0").select("k1", "k2")
+        lows = self.postings.join(seek, ["k1", "k2"], "left_semi").join(ids, "doc_id", "left_anti").groupBy("k1", "k2").agg(F.min("doc_id").alias("next"))
+        changed = cut(left.join(lows, ["k1", "k2"], "left").select("k1", "k2", "n", F.when(F.col("lost"), F.col("next")).otherwise(F.col("low")).alias("low"), "was"))
         return self._changed(changed, gone=ids)
 
     def _changed(self, changed: DataFrame, added: DataFrame | None = None, gone: DataFrame | None = None) -> LineIndex:
@@ -261,16 +264,24 @@ class LineIndex:
         out = LineIndex(self.spark, self.added + mark(added), self.gone + mark(gone), self.counts + mark(changed.drop("was")), self.cells + mark(cells), self.shards, self.shared + up - down, version, self.min_chars, shard_keys)
         return out.compact() if out.shared > 2 * shard_keys * self.shards else out
 
-    def may_be_shared(self, postings: DataFrame) -> DataFrame:
-        """The rows (doc_id, k1, k2) whose shard's filter may hold the key; rows stream past one filter at a time."""
+    def may_be_shared(self, postings: DataFrame, total: int | None = None, task_postings: int = TASK_POSTINGS) -> DataFrame:
+        """The rows (doc_id, k1, k2) whose shard's filter may hold the key; rows stream past one filter at a time.
+
+        A shard is split by its keys into as many parts as its postings need, each with a copy of the filter, so that
+        the work is dealt by the number of postings and not by that of shared keys."""
+        total = postings.count() if total is None else total
+        parts = max(1, -(-total // (task_postings * self.shards)))
         shard = F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
-        rows = postings.select(shard, F.lit(1).alias("kind"), "doc_id", "k1", "k2", F.lit(None).cast("binary").alias("cells"))
-        asked = self.filters.select("shard", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "k1", "k2")), "cells").unionByName(rows)
+        part = F.pmod("k2", F.lit(parts)).cast("int").alias("part")
+        rows = postings.select(shard, part, F.lit(1).alias("kind"), "doc_id", "k1", "k2", F.lit(None).cast("binary").alias("cells"))
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "k1", "k2")), "cells")
+        asked = copies.unionByName(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = None, None
             for batch in batches:
-                shards, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+                kind = batch.column("kind").to_numpy()
+                shards = (batch.column("shard").to_numpy().astype(np.int64) << 32) | batch.column("part").to_numpy()
                 edges = np.flatnonzero(np.concatenate([[True], (np.diff(shards) != 0) | (kind[1:] == 0), [True]]))
                 for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if kind[a] == 0:
@@ -280,7 +291,7 @@ class LineIndex:
                         part = batch.slice(a, z - a).select(["doc_id", "k1", "k2"])
                         yield part.filter(pa.array(held.may_hold(part.column("k1").to_numpy(), part.column("k2").to_numpy())))
 
-        return asked.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "doc_id long, k1 long, k2 long")
+        return asked.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(run, "doc_id long, k1 long, k2 long")
 
     def drops(self, hot_part: int = HOT_PART) -> DataFrame:
         """(doc_id, k1, k2): the keys whose lines each indexed document loses."""
@@ -289,7 +300,7 @@ class LineIndex:
         # at most hot_part keys can hold a hot_part-th of the postings each; with 0 no key counts as hot
         hot = self.spark.createDataFrame(shared.where(F.col("n") * hot_part >= max(total, 1)).collect(), shared.schema).drop("n")
         rest = self.postings.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-        few = self.may_be_shared(rest).join(shared.drop("n").join(F.broadcast(hot), ["k1", "k2"], "left_anti"), ["k1", "k2"])
+        few = self.may_be_shared(rest, total).join(shared.drop("n").join(F.broadcast(hot), ["k1", "k2"], "left_anti"), ["k1", "k2"])
         many = self.postings.join(F.broadcast(hot), ["k1", "k2"])
         return few.unionByName(many).where("doc_id <> low").select("doc_id", "k1", "k2")
 

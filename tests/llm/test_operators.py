@@ -183,6 +183,24 @@ def test_line_dedup_by_filters_alone(spark):
     assert blind.drops(hot_part=0).count() == 0 < index.drops(hot_part=0).count()
 
 
+def test_filters_are_dealt_by_postings(spark):
+    """One shard of few shared keys and many postings: no task holds more than its share, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(2**62), 2**62, (20000, 2))
+    docs = [(1, "\n".join(["a line that stands in both", *(f"line number {i} of the first" for i in range(3))])), (2, "a line that stands in both")]
+    index = linededup.LineIndex.build(frame(spark, docs))
+    assert index.shards == 1
+    many = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(keys)], "doc_id long, k1 long, k2 long").unionByName(index.postings)
+    got = index.may_be_shared(many, task_postings=500)
+    read = index.may_be_shared(many.where("doc_id > 2"), task_postings=500)._jdf.queryExecution().analyzed().toString()
+    assert "explode(sequence(0, " in read
+    shared = {tuple(r) for r in index.postings.join(index.refs.where("n >= 2"), ["k1", "k2"]).select("doc_id", "k1", "k2").collect()}
+    found = {tuple(r) for r in got.collect()}
+    assert shared <= found and len(found) < 400 and len(shared) == 2
+    parts = many.select(F.pmod("k2", F.lit(-(-many.count() // 500))).alias("p")).groupBy("p").count()
+    assert parts.agg(F.max("count")).first()[0] < 650
+
+
 def test_line_index_increments(spark):
     """Increments write their own rows only, filters hold what filters made anew hold, and former versions stay."""
     rows = [r for r in corpus() if r[0] is not None]
