@@ -1,13 +1,17 @@
-"""License scans: indexed n-grams and words pick candidates, banded alignment reports coverage and spans.
+"""License scans: winnowed n-grams and words pick candidates, banded alignment reports coverage and spans.
 
-Templates are cut into words without case and outer punctuation. All word n-grams of a template go into an inverted
-index (hash -> template, place). A text's n-grams are looked up there; every diagonal (text place less template place) of
-a hit is a candidate, whose words are aligned to the template's within a band. All candidates of a template in a text are
-aligned together, a template word a step; those that can't reach the coverage any more leave. Matched template words
-over all template words is the coverage. Templates of fewer than `SHORT` words, which can match without a common n-gram,
-are indexed by single words, as many of their longest as a match can't miss all of; there every diagonal of the band is
-aligned, so that every match is found. Longer ones are found by any three template words that follow each other in the
-text, which every fifth word changed or missing leaves; only words inserted between all of them hide a match.
+Templates are cut into words without case and outer punctuation. Of every `w` word n-grams of a template that follow each
+other the one with the smallest hash is a fingerprint, and the fingerprints go into an inverted index (hash -> template,
+place). A text's n-grams are looked up there; every diagonal (text place less template place) of a hit is a candidate,
+whose words are aligned to the template's within a band. All candidates of a template in a text are aligned together, a
+template word a step; those that can't reach the coverage any more leave. Matched template words over all template words
+is the coverage.
+
+The guarantee: any w + n - 1 template words that follow each other in the text share a fingerprint with it. w is the largest
+with which a match cannot miss that: a template of m words of which at most c may be changed or missing keeps a run of
+(m - c) / (c + 1), rounded up (`kept_run`), 4 for a coverage of 0.8. Templates too short for that, or of fewer than `SHORT`
+words, are indexed by single words, as many of their longest as a match can't miss all of; there every diagonal of the band is aligned, so that
+every match is found. Only words inserted into every run hide a match of a longer template.
 
 Of a template's matches the one with most words stays first, then those in what it leaves free.
 
@@ -23,6 +27,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib.resources import files
 from itertools import pairwise
 
 import numpy as np
@@ -67,33 +72,57 @@ TEMPLATES = {
 }
 
 
+#: Whole licenses, as they are published.
+BODIES = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+ALL_TEMPLATES = {**TEMPLATES, **BODIES}
+
+
 def _norm(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+def kept_run(n: int, min_coverage: float = MIN_COVERAGE) -> int:
+    """Words that follow each other unchanged at least in a match of n words of which some are changed or missing."""
+    lost = n - math.ceil(min_coverage * n)
+    return -(-(n - lost) // (lost + 1))
+
+
+def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash, the last of equal ones, of every `window` hashes that follow each other; of fewer, of all."""
+    if len(hashes) <= window:
+        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
+    return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
+
+
 class Index:
-    """Templates' words and the inverted indexes of their n-grams and, for short ones, of single words."""
+    """Templates' words and the inverted indexes of their fingerprints and, for short ones, of single words."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> None:
+    def __init__(self, templates: dict[str, str] = ALL_TEMPLATES, min_coverage: float = MIN_COVERAGE) -> None:
         self.names = sorted(templates)
         self.words = [[w for x in templates[n].split() if (w := _norm(x))] for n in self.names]
         self.vocabulary = sorted({w for words in self.words for w in words})
         #: Each template as numbers of its words (from 1 on; 0 is any other word), and which numbers it holds.
         self.codes = [self.code(words) for words in self.words]
         self.holds = [np.isin(np.arange(len(self.vocabulary) + 1), codes) for codes in self.codes]
+        self.windows = [kept_run(len(words), min_coverage) - GRAM + 1 for words in self.words]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.word_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
-            if len(words) < SHORT:
+            if self.is_short(t):
                 spare = len(words) - math.ceil(min_coverage * len(words))
                 for p in sorted(range(len(words)), key=lambda p: (words[p].isalpha(), -len(words[p]), p))[: spare + 1]:
                     self.word_at[int(self.codes[t][p])].append((t, p))
                 continue
             grams, _ = gram_hashes(self.codes[t], np.array([0, len(words)]), GRAM)
-            for p, g in enumerate(grams.tolist()):
-                self.at[g].append((t, p))
+            for p in winnow(grams, self.windows[t]).tolist():
+                self.at[int(grams[p])].append((t, p))
         self.keys, self.word_keys = (np.array(sorted(x), np.uint64) for x in (self.at, self.word_at))
 
+    def is_short(self, t: int) -> bool:
+        """Whether the template is short, or a match of it may keep no run that a fingerprint is sure to come from."""
+        return len(self.words[t]) < SHORT or self.windows[t] < 2
+
     def code(self, words: list[str] | pa.Array) -> np.ndarray:
         """Numbers of normalised words."""
         found = pc.index_in(pa.array(words, pa.string()), value_set=pa.array(self.vocabulary, pa.string()))
@@ -179,7 +208,7 @@ def scan_words(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index
     for t, own in places.items():
         template = index.codes[t]
         shifts = np.array(sorted(own), np.int64)
-        if len(template) < SHORT:
+        if index.is_short(t):
             shifts = np.unique((shifts[:, None] + np.arange(-BAND, BAND + 1)).ravel())
         found += [(*m, t) for m in template_matches(template, index.holds[t], words, shifts, min_coverage * len(template))]
     # matches of several templates: most words first, then the shorter template
@@ -192,7 +221,7 @@ def scan_words(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index
     return sorted(out)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start and end (code points) and the matched text, of every occurrence."""
     index = Index(templates, min_coverage)
 

@@ -854,8 +854,46 @@ def test_licenses_without_index():
             assert [round(c * n) for _, _, u, c in licenses.scan_words(text, only, index) if u == t] == [best], index.names[t]
 
 
+def test_winnowing():
+    """Every window holds a chosen place, the last smallest one; runs that matches keep, by counting."""
+    rng = np.random.default_rng(3)
+    for n, window in ((1, 2), (2, 2), (30, 2), (30, 5), (200, 7), (5, 9), (0, 3)):
+        hashes = rng.integers(0, 6, n, dtype=np.uint64)
+        want = {a + window - 1 - int(np.argmin(hashes[a : a + window][::-1])) for a in range(max(0, n - window + 1))} if n > window else {n - 1 - int(np.argmin(hashes[::-1]))} if n else set()
+        assert set(licenses.winnow(hashes, window).tolist()) == want
+    for n in (5, 15, 16, 23):
+        lost = n - -(-8 * n // 10)
+        longest = min(max(len(r) for r in "".join("x" if p in gone else "." for p in range(n)).split("x")) for gone in map(set, itertools.combinations(range(n), lost)))
+        assert licenses.kept_run(n) == longest
+    index = licenses.Index()
+    held = sum(map(len, index.at.values()))
+    assert held < 0.75 * sum(len(w) - 2 for t, w in enumerate(index.words) if not index.is_short(t))
+
+
+def test_license_recall():
+    """Edited licenses of every length: those at 0.8 of coverage that alignment at every place finds, the index finds too."""
+    rng = random.Random(31)
+    index = licenses.Index({k: v for k, v in licenses.ALL_TEMPLATES.items() if len(v) < 20000})
+    found = asked = 0
+    for t, words in enumerate(index.words):
+        for _ in range(8 if len(words) < 500 else 1):
+            rate, out = rng.choice([0.05, 0.1, 0.15, 0.19]), []
+            for w in words:
+                act = rng.random()
+                out += [] if act < rate / 2 else ["changed"] if act < rate else [w, "inserted"] if act < rate * 1.3 else [w]
+            text = index.code(["before"] * 12 + out + ["after"] * 12)
+            shifts = np.arange(-8, len(text))
+            if not len(licenses.align(index.codes[t], text, shifts, 0.8 * len(words))[0]):
+                continue
+            asked += 1
+            grams, _ = licenses.gram_hashes(text, np.array([0, len(text)]), licenses.GRAM)
+            hits = [(int(k), u, p) for k in index.hits(grams) for u, p in index.at[int(grams[k])]] + [(k, u, p) for k in index.hits(text, single=True).tolist() for u, p in index.word_at[int(text[k])]]
+            found += bool(licenses.scan_words(text, [h for h in hits if h[1] == t], index))
+    assert asked > 100 and found >= 0.99 * asked
+
+
 def test_license_files_and_repeated_phrases(spark):
-    whole = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("-license")}
+    whole = {k: v for k, v in licenses.ALL_TEMPLATES.items() if k.endswith("-license")}
     rows = [(i, "Copyright (c) 2020 Somebody\n\n" + v + "\nend of file") for i, v in enumerate(whole.values())]
     rows += [(100, " ".join(whole.values())), (101, " ".join([licenses.TEMPLATES["MIT-text"]] * 3))]
     got = sorted((r["doc_id"], r["license"], r["coverage"]) for r in licenses.scan(frame(spark, rows)).collect())
