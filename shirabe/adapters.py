@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cleaning import nfc
@@ -34,13 +34,36 @@ def layout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The sentence around a part's name, and the marks for odd and even sizes.
+#: The sentence around a part's name, for files of one kind.
 QUIZ_HEAD, QUIZ_TAIL = "宅建業者は免許を受けた場合に", "について重要な説明をする義務がある。"
+#: How a quiz file's sentences begin, by section, and end, by size; every fourth size has two choices.
+QUIZ_HEADS = ("民法の契約により債権を持つ者は、", QUIZ_HEAD, "都市計画法と農地法の許可を得た者は、", "固定資産税と印紙税と所得税につき、")
+QUIZ_TAILS = (QUIZ_TAIL, "については登記をしてはならず禁止される。", "について期限までに手続きをすることができるので必要な書類を早めに揃えておき窓口に提出しておくこと。")
+QUIZ_CHOICES = ("選択肢の一つ目は", "選択肢の二つ目は"), "に関する長い説明の文である"
+#: Parts whose keys lie in one span of this size and whose brand is the same are one file, so that files stay small.
+QUIZ_SPAN = 1000
+
+
+def quiz_body() -> Column:
+    """The sentence of a part; its section goes by the brand's number, its end by the part's size."""
+    pick = lambda texts, i: F.element_at(F.array(*map(F.lit, texts)), (i + 1).cast("int"))
+    return F.concat(pick(QUIZ_HEADS, F.substring("p_brand", 7, 9).cast("int") % 4), "p_name", pick(QUIZ_TAILS, F.col("p_size") % 3))
+
+
+def quiz_text() -> Column:
+    """The sentence of a part and, for every fourth size, its choices."""
+    first, end = QUIZ_CHOICES
+    choices = F.concat(*(x for i, text in enumerate(first, 1) for x in (F.lit(f"\n{i}. {text}"), F.col("p_type"), F.lit(end))))
+    return F.concat(quiz_body(), F.when(F.col("p_size") % 4 == 0, choices).otherwise(F.lit("")))
+
+
+def quiz_file() -> Column:
+    return F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / QUIZ_SPAN).cast("string"))
 
 
 def quiz_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as quiz files, one a brand: number, sentence with the part's name, mark."""
+    """Parts as quiz files: number, sentence with the part's name and choices, mark."""
     parts = table(spark, sf_dir, "part")
-    line = F.concat((F.col("p_partkey") + 10000).cast("string"), F.lit(" " + QUIZ_HEAD), F.col("p_name"), F.lit(QUIZ_TAIL), F.when(F.col("p_size") % 2 == 1, F.lit("〇")).otherwise(F.lit("×")))
-    rows = parts.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"))
-    return rows.select(F.col("p_brand").alias("doc_id"), F.concat(F.lit("R5_"), F.col("p_brand"), F.lit(".pdf")).alias("file_name"), "text")
+    line = F.concat((F.col("p_partkey") + 10000).cast("string"), F.lit(" "), quiz_text(), F.when(F.col("p_size") % 2 == 1, F.lit("〇")).otherwise(F.lit("×")))
+    rows = parts.groupBy(quiz_file().alias("doc_id"), "p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    return rows.select("doc_id", F.concat(F.lit("R5_"), F.col("p_brand"), F.lit(".pdf")).alias("file_name"), "text")

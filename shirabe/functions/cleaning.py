@@ -43,9 +43,12 @@ def clean_question(c: Column, normalise: bool = True) -> Column:
     c = clean(c, normalise)
     c = F.regexp_replace(c, C.to_java(LEADING_NUMBER, "m"), "")
     c = F.regexp_replace(c, C.to_java(LEADING_MARKS, "m"), "")
-    lines = F.filter(F.split(c, "\n"), lambda x: C.trim(x) != "")
-    glued = F.aggregate(lines, F.lit(""), lambda acc, x: F.when(acc == "", x).when(C.length(x) < 20, F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x)))
-    return C.trim(F.when(F.size(lines) > 1, glued).otherwise(c))
+    def glue(text: Column) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda x: C.trim(x) != "")
+        parts = F.transform(lines, lambda x, i: F.when((i == 0) | (C.length(x) < 20), x).otherwise(F.concat(F.lit(" "), x)))
+        return C.let(parts, lambda p: C.trim(F.when(F.size(p) > 1, F.array_join(p, "")).otherwise(text)))
+
+    return C.let(c, glue)
 
 
 def clean_explanation(c: Column, normalise: bool = True) -> Column:
@@ -127,7 +130,7 @@ def format_file_size(b: Column) -> Column:
     step = sum((F.when(b >= 1024**i, 1).otherwise(0) for i in range(2, 5)), F.when(b >= 1024, 1).otherwise(0))
     unit = F.element_at(F.array(*map(F.lit, ("Bytes", "KB", "MB", "GB", "TB"))), step + 1)
     digits = F.regexp_replace(F.format_string("%.2f", b / F.pow(F.lit(1024.0), step)), r"\.?0+$", "")
-    return F.when(b == 0, F.lit("0 Bytes")).otherwise(F.concat(digits, F.lit(" "), unit))
+    return F.when(b == 0, F.lit("0 Bytes")).when(b.isNotNull(), F.concat(digits, F.lit(" "), unit))
 
 
 def percentage(part: Column, total: Column, precision: int = 1) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FULL_DIGITS, HALF_DIGITS
@@ -46,6 +48,11 @@ def length(c: Column) -> Column:
     return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def first_units(c: Column, n: int) -> Column:
+    """The first n UTF-16 code units, as bytes: a surrogate pair counts two, and half of one at the cut stays a half."""
+    return F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n)
+
+
 def group(c: Column, pattern: str, n: int = 1, flags: str = "") -> Column:
     """Group n of the first match, null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(c, to_java(pattern, flags), n), F.lit(""))
@@ -67,3 +74,15 @@ def half_digits(c: Column) -> Column:
 def number(c: Column) -> Column:
     """An int, null if the digits are too many."""
     return c.try_cast("int")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def where_once(df: DataFrame, condition: Callable[[Column], Column]) -> DataFrame:
+    """The rows that meet condition(row), a struct of the columns. Unlike a filter it isn't pushed below the projections that
+    made the columns, which would compute all of them a second time."""
+    rows = F.filter(F.array(F.struct(*df.columns)), condition)
+    return df.select(F.inline(rows))

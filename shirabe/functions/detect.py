@@ -56,19 +56,21 @@ def all_choices(text: Column) -> Column:
     """array<struct(number, symbol, text, pattern, confidence)> of the first form that occurs at all."""
     kind = "array<struct<number:int,symbol:string,text:string,pattern:string,confidence:double>>"
     name, confidence, _ = CHOICE_PATTERNS[0]
-    # a circled number opens a choice; later lines of text continue it
-    lines = F.transform(F.split(text, "\n"), C.trim)
-    start = f"^([{CIRCLED}])"
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = C.matches(x, start + r"\s*(.+)")
-        fresh = F.struct(F.position(F.substring(x, 1, 1), F.lit(CIRCLED)).alias("number"), F.substring(x, 1, 1).alias("symbol"), F.regexp_extract(x, C.to_java(start + r"\s*(.+)"), 2).alias("text"), F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence"))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(last.withField("text", F.concat(last["text"], F.lit(" "), x))))
-        return F.when(opens, F.concat(acc, F.array(fresh))).when((F.size(acc) > 0) & (x != ""), longer).otherwise(acc)
-
-    out = None
-    forms = []
+    # a circled number opens a choice; later lines of text continue it. Each line says by itself how it goes on, so that one
+    # join and one split at the openings give the choices; the characters that mark them are escaped in the lines.
+    lines = F.filter(F.transform(F.split(text, "\n"), C.trim), lambda x: x != "")
+    start = rf"^([{CIRCLED}])\s*(.+)"
+    escape = lambda x: F.replace(F.replace(x, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
+    clear = lambda x: F.replace(F.replace(x, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02"))
+    opened = lambda x: F.concat(F.lit("\x01"), F.substring(x, 1, 1), F.regexp_extract(x, C.to_java(start), 2))
+    joined = F.array_join(F.transform(lines, lambda x: C.let(escape(x), lambda e: F.when(C.matches(e, start), opened(e)).otherwise(F.concat(F.lit(" "), e)))), "")
+    pieces = F.split(joined, "\x01")
+
+    def choice(piece: Column) -> Column:
+        symbol = F.substring(piece, 1, 1)
+        return F.struct(F.position(symbol, F.lit(CIRCLED)).alias("number"), symbol.alias("symbol"), clear(F.substring(piece, F.lit(2), F.length(piece))).alias("text"), F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence"))
+
+    circled = C.let(pieces, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), choice)).cast(kind)
 
     def form(name: str, confidence: float, pattern: str, bracket: bool) -> Column:
         java = F.lit(C.to_java(pattern, "m"))
@@ -83,10 +85,9 @@ def all_choices(text: Column) -> Column:
         return F.transform(pairs, row).cast(kind)
 
     forms = [form(n, c, p, i == 2) for i, (n, c, p) in enumerate(CHOICE_PATTERNS[1:])]
-    circled = F.aggregate(lines, F.array().cast(kind), lambda acc, x: step(acc, x).cast(kind))
-    for f in [circled, *forms][::-1]:
-        out = F.when(F.size(f) > 0, f).otherwise(out if out is not None else F.array().cast(kind))
-    return out
+    none = F.array().cast(kind)
+    either = lambda rest: lambda own: F.when(F.size(own) > 0, own).otherwise(rest)
+    return F.coalesce(reduce(lambda rest, f: C.let(f, either(rest)), [circled, *forms][::-1], none), none)
 
 
 def is_valid_basic(number: Column, text: Column) -> Column:

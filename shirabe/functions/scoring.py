@@ -31,7 +31,7 @@ def generate_explanation(text: Column, answer: Column, section: Column) -> Colum
 
 
 def _steps(n: Column, steps: list[tuple[int, float]], rest: float) -> Column:
-    return reduce(lambda out, s: F.when(n < s[0], F.lit(s[1])).otherwise(out), reversed(steps), F.lit(rest))
+    return C.let(n, lambda n: reduce(lambda out, s: F.when(n < s[0], F.lit(s[1])).otherwise(out), reversed(steps), F.lit(rest)))
 
 
 def question_length_score(text: Column) -> Column:

@@ -28,35 +28,38 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         own = Window.partitionBy("doc_id", f"g{k - 1}").orderBy("line_no")
         rows = rows.withColumn(f"v{k}", F.coalesce(F.last(F.when(F.col("h.level") == k, F.col("h.value")), ignorenulls=True).over(own), F.lit("")))
         rows = rows.withColumn(f"g{k}", F.coalesce(F.sum((F.col("h.level") <= k).cast("int")).over(doc), F.lit(0)))
-    # what an explanation that starts on a line would take from the lines after it
+    # an explanation takes the lines after it up to the next question, answer or blank line, which are its stretch
     stop = (F.col("line") == "") | F.col("q0").isNotNull() | F.col("a0").isNotNull()
     rows = rows.withColumn("stretch", F.sum(stop.cast("int")).over(doc))
-    whole = Window.partitionBy("doc_id", "stretch")
     says = F.col("line").contains("解説")
-    taken = F.struct("line_no", F.when(is_ignorable(F.col("line"), plain=True), F.lit("")).otherwise(F.col("line")).alias("t"))
-    rows = rows.withColumn("ahead", F.collect_list(taken).over(whole))
-    after = F.transform(F.array_sort(F.filter("ahead", lambda p: (p["line_no"] > F.col("line_no")) & (p["t"] != ""))), lambda p: p["t"])
+    rows = rows.withColumn("t", F.when(~is_ignorable(F.col("line"), plain=True) & (F.col("line") != ""), F.col("line")))
+    later = Window.partitionBy("doc_id", "stretch").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     rest = F.trim(F.expr("substring(line, instr(line, '解説') + 2)"))
-    own_part = F.when(rest.isin("", "】", "】："), F.array().cast("array<string>")).otherwise(F.array(rest))
-    rows = rows.withColumn("e", F.when(says, F.nullif(F.trim(F.array_join(F.concat(own_part, after), " ")), F.lit("")))).drop("ahead")
+    own_part = F.when(~rest.isin("", "】", "】："), rest)
+    rows = rows.withColumn("e", F.when(says & (own_part.isNotNull() | (F.count("t").over(later) > 0)), F.struct("line_no", "stretch", own_part.alias("own"))))
     rows = rows.withColumn("q", F.when(F.col("h").isNull() & (F.col("line") != ""), F.col("q0")))
-    rows = rows.withColumn("island", F.sum(F.col("q").isNotNull().cast("int")).over(doc)).where("island > 0 and (h is null) and line <> ''")
+    rows = rows.withColumn("island", F.sum(F.col("q").isNotNull().cast("int")).over(doc)).where("island > 0")
+    plain = F.col("h").isNull() & (F.col("line") != "")  # headings and blank lines count for explanations only
     within = Window.partitionBy("doc_id", "island").orderBy("line_no")
     first = lambda c: c & (F.sum(c.cast("int")).over(within) == 1)
-    rows = rows.withColumn("y", F.when(F.col("q").isNull(), line_year(F.col("line"))))
+    rows = rows.withColumn("y", F.when(plain & F.col("q").isNull(), line_year(F.col("line"))))
     rows = rows.withColumn("is_year", first(F.col("y").isNotNull()))
-    rows = rows.withColumn("a", F.when(F.col("q").isNull() & ~F.col("is_year"), F.col("a0")))
+    rows = rows.withColumn("a", F.when(plain & F.col("q").isNull() & ~F.col("is_year"), F.col("a0")))
     rows = rows.withColumn("is_answer", first(F.col("a").isNotNull()))
-    other = F.col("q").isNull() & ~F.col("is_year") & ~F.col("is_answer") & ~is_ignorable(F.col("line"), plain=True)
+    other = plain & F.col("q").isNull() & ~F.col("is_year") & ~F.col("is_answer") & ~is_ignorable(F.col("line"), plain=True)
     made = rows.groupBy("doc_id", "island").agg(
         F.max(F.when(F.col("q").isNotNull(), F.struct("q.number", "q.text", *(f"v{k}" for k in range(1, LEVELS + 1))))).alias("q"),
         F.max(F.when(F.col("is_year"), F.col("y"))).alias("year"),
         F.max(F.when(F.col("is_answer"), F.col("a"))).alias("answer"),
-        F.max(F.when(other & F.col("e").isNotNull(), F.struct("line_no", "e"))).alias("e"),
+        F.max(F.when(other, F.col("e"))).alias("e"),
+        F.collect_list(F.when(F.col("t").isNotNull(), F.struct("line_no", "stretch", "t"))).alias("lines"),
         F.array_sort(F.collect_list(F.when(other & ~says, F.struct("line_no", "line")))).alias("parts"),
     )
+    # of the island's lines those that the last explanation takes
+    taken = F.transform(F.array_sort(F.filter("lines", lambda p: (p["stretch"] == F.col("e.stretch")) & (p["line_no"] > F.col("e.line_no")))), lambda p: p["t"])
+    explained = F.trim(F.array_join(F.concat(F.array_compact(F.array("e.own")), taken), " "))
     text = append_lines(F.col("q.text"), F.transform("parts", lambda p: p["line"]), open_ends=("。",))
-    values = [*(F.col(f"q.v{k}") for k in range(1, LEVELS + 1)), F.col("q.number"), F.coalesce("year", F.lit(DEFAULT_YEAR)), text, F.coalesce("e.e", F.lit("")), F.coalesce("answer", F.lit("×"))]
+    values = [*(F.col(f"q.v{k}") for k in range(1, LEVELS + 1)), F.col("q.number"), F.coalesce("year", F.lit(DEFAULT_YEAR)), text, F.when(F.col("e").isNull(), F.lit("")).otherwise(explained), F.coalesce("answer", F.lit("×"))]
     out = made.select("doc_id", F.col("island").cast("int").alias("seq"), *(v.alias(n) for v, n in zip(values, HIERARCHY_HEADERS, strict=True)))
     return out.where(F.col("問題") != "")
 

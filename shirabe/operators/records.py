@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PREVIEW_ROWS
+from ..functions.compat import first_units
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -15,8 +16,8 @@ def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str
 
 
 def dedup_questions(questions: DataFrame) -> DataFrame:
-    """O1: one record a file, number and first 50 characters of text; the smallest id stays."""
-    return keep_first(questions, ["doc_id", "question_number", F.substring("question", 1, 50)], ["id"])
+    """O1: one record a file, number and first 50 UTF-16 units of text; the smallest id stays."""
+    return keep_first(questions, ["doc_id", "question_number", first_units(F.col("question"), 50)], ["id"])
 
 
 def sort_questions(questions: DataFrame) -> DataFrame:

@@ -19,9 +19,13 @@ NO_CHOICES = "array<struct<number:string,text:string,format:string>>"
 
 
 def append_lines(first: Column, lines: Column, open_ends: tuple[str, ...] = ("。", " ")) -> Column:
-    """C11: lines joined to a text; a blank goes between unless what stands there is empty or ends openly."""
-    closed = lambda acc: reduce(lambda a, b: a | b, [acc.endswith(e) for e in open_ends], acc == "")
-    return F.aggregate(lines, first, lambda acc, x: F.when(closed(acc), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x)))
+    """C11: lines, none of them empty, joined to a text; a blank goes between unless what stands there is empty or ends openly.
+
+    What stands before a line ends as the line before it does, so each line finds its separator by itself and all are joined
+    at once."""
+    closed = lambda before: reduce(lambda a, b: a | b, [before.endswith(e) for e in open_ends], before == "")
+    joined = lambda all_: F.array_join(F.transform(all_, lambda x, i: F.when((i == 0) | closed(F.get(all_, i - 1)), x).otherwise(F.concat(F.lit(" "), x))), "")
+    return C.let(F.concat(F.array(first), lines), joined)
 
 
 def fallback_questions(lines: DataFrame, min_confidence: float = 0) -> DataFrame:
@@ -54,7 +58,7 @@ def fallback_questions(lines: DataFrame, min_confidence: float = 0) -> DataFrame
         F.lit("pattern_match").alias("extraction_method"),
         F.col("q.line_index").cast("int").alias("line_index"),
     )
-    return out.where(is_valid_relaxed(F.col("question_number"), F.col("question"), F.col("confidence"), min_confidence))
+    return C.where_once(out, lambda r: is_valid_relaxed(r["question_number"], r["question"], r["confidence"], min_confidence))
 
 
 def emergency_questions(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean
+from ..functions.compat import where_once
 from ..functions.detect import file_year, is_valid, section
 from ..functions.scoring import finalize
 from ..operators.adaptive import adaptive_questions, answer_anchored
@@ -53,7 +54,7 @@ def release(records: DataFrame) -> None:
 def post_process(raw: DataFrame, files: DataFrame, min_confidence: float = 0) -> DataFrame:
     """Finalise, filter, dedup. Rows carry (doc_id, question_number, id) to be sorted by."""
     done = finalize(raw.join(files, "doc_id"), normalise=False)
-    valid = done.where(is_valid(F.col("question_number"), F.col("question"), F.col("confidence"), min_confidence))
+    valid = where_once(done, lambda r: is_valid(r["question_number"], r["question"], r["confidence"], min_confidence))
     out = dedup_questions(valid).select(RESULT_COLUMNS)
     out._kept = getattr(raw, "_kept", [])
     return out

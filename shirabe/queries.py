@@ -157,14 +157,14 @@ def text_scalars(spark, sf_dir):
     return docs.select("doc_id", cleaning.truncate(t, 50).alias("excerpt"), cleaning.escape_html(t).alias("html"), cleaning.escape_csv(t).alias("csv"), cleaning.clamp(F.col("n_chars"), 100, 1000).cast("long").alias("clamped"), cleaning.chunk_of(F.col("doc_id"), 7).alias("chunk"))
 
 
-_SIZES = [0, 1, 512, 1023, 1024, 1536, 1048576, 1100000, 104857600, 5 * 1024**3, 1024**4]
-
-
-@query(f"""WITH {_values('t', [(b,) for b in _SIZES], 'b')}, u AS (SELECT b::BIGINT AS b, CASE WHEN b >= 1099511627776 THEN 4 WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM t)
-SELECT b AS bytes, CASE WHEN b = 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', b / pow(1024, i)), '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1] END AS label, CASE WHEN b = 0 THEN 0 ELSE round(512 * 100.0 / b, 1) END::DOUBLE AS percent FROM u""")
+@query("""WITH u AS (SELECT doc_id, b, CASE WHEN b >= 1099511627776 THEN 4 WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM (SELECT doc_id, (CASE WHEN doc_id % 6 = 5 THEN 0 ELSE n_chars * (1024 ** (doc_id % 6))::BIGINT END)::BIGINT AS b FROM documents))
+SELECT doc_id, b AS bytes, CASE WHEN b = 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', b / pow(1024, i)), '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1] END AS label, CASE WHEN b = 0 THEN 0 ELSE round(512 * 100.0 / b, 1) END::DOUBLE AS percent FROM u""")
 def file_sizes(spark, sf_dir):
+    """Documents' lengths as sizes of every unit."""
+    k = (F.col("doc_id") % 6).cast("int")
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.when(k == 5, F.lit(0)).otherwise(F.col("n_chars") * F.pow(F.lit(1024), k).cast("long")).cast("long").alias("bytes"))
     b = F.col("bytes")
-    return spark.createDataFrame([(x,) for x in _SIZES], "bytes long").select("bytes", cleaning.format_file_size(b).alias("label"), cleaning.percentage(F.lit(512), b).alias("percent"))
+    return docs.select("doc_id", "bytes", cleaning.format_file_size(b).alias("label"), cleaning.percentage(F.lit(512), b).alias("percent"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS label, regexp_extract(lower(o_orderpriority || '.Old.PDF'), '\\.([^.]+)$', 1) AS extension FROM orders")
@@ -187,17 +187,24 @@ def similar_names(spark, sf_dir):
 
 # files and pages
 
-_FILES = [("a.pdf", "application/pdf", 10), ("b.PDF", None, 20), ("c.txt", "text/plain", 30), ("d", "application/pdf", K.MAX_FILE_BYTES), ("e.pdf", None, K.MAX_FILE_BYTES + 1), ("f.pdf.exe", None, 5)]
+_PAGE_FILES = "t AS (SELECT page_id, 'page' || page_id || ['.pdf', '.PDF', '.txt', '', '.pdf.exe'][(page_id % 5)::INT + 1] AS name, [NULL, 'application/pdf', 'text/plain'][(page_id % 3)::INT + 1] AS mime, (strlen(html) * 10000 * (page_id % 7))::BIGINT AS size FROM pages)"
+
+
+def _page_files(spark, sf_dir):
+    """Pages as files of several names, types and sizes, some beyond the limit."""
+    key = F.col("page_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    return A.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page"), key.cast("string"), pick([".pdf", ".PDF", ".txt", "", ".pdf.exe"])).alias("name"), pick([None, "application/pdf", "text/plain"]).alias("mime"), (F.octet_length("html") * 10000 * (key % 7)).cast("long").alias("size"))
 
 
-@query(f"WITH {_values('t', _FILES, 'name, mime, size')} SELECT name, coalesce(mime = 'application/pdf', false) OR lower(name) LIKE '%.pdf' AS is_pdf, size <= 104857600 AS small_enough FROM t")
+@query(f"WITH {_PAGE_FILES} SELECT name, coalesce(mime = 'application/pdf', false) OR lower(name) LIKE '%.pdf' AS is_pdf, size <= 104857600 AS small_enough FROM t")
 def file_validation(spark, sf_dir):
-    return spark.createDataFrame(_FILES, "name string, mime string, size long").select("name", files_.is_pdf(F.col("name"), F.col("mime")).alias("is_pdf"), files_.is_small_enough(F.col("size")).alias("small_enough"))
+    return _page_files(spark, sf_dir).select("name", files_.is_pdf(F.col("name"), F.col("mime")).alias("is_pdf"), files_.is_small_enough(F.col("size")).alias("small_enough"))
 
 
-@query(f"WITH {_values('t', _FILES, 'name, mime, size')}, v AS (SELECT * FROM t WHERE (coalesce(mime = 'application/pdf', false) OR lower(name) LIKE '%.pdf') AND size <= 104857600) SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) > 0 AND sum(size) <= count(*) * 104857600 AS valid FROM v")
+@query(f"WITH {_PAGE_FILES}, v AS (SELECT * FROM t WHERE (coalesce(mime = 'application/pdf', false) OR lower(name) LIKE '%.pdf') AND size <= 104857600) SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) > 0 AND sum(size) <= count(*) * 104857600 AS valid FROM v")
 def file_manifest(spark, sf_dir):
-    new = spark.createDataFrame(_FILES, "name string, mime string, size long")
+    new = _page_files(spark, sf_dir)
     return files_.check_inputs(files_.add_files(new.limit(0).withColumn("id", F.lit("")), new))
 
 
@@ -246,19 +253,25 @@ def extraction_methods(spark, sf_dir):
     return stats.histogram(files_.file_results(_pages(spark, sf_dir)).where("success"), "method", "unknown")
 
 
-@query(f"WITH {_DOCS} SELECT doc_id, success, page_count, length(text)::INT AS text_length, 'simple' AS method, CASE WHEN NOT success THEN error END AS error FROM d")
+@query(f"""WITH {_RESULTS}, {_RUNS_OF}, n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM gr GROUP BY doc_id, c, k HAVING count(*) >= 5) GROUP BY doc_id), b AS (SELECT conv_id AS doc_id, sum(strlen(text))::BIGINT AS size FROM conversations GROUP BY conv_id),
+o AS (SELECT doc_id, (length(text) - length(regexp_replace(text, '[あ-んア-ヶ一-龠]', '', 'g'))) / length(text) < 0.3 AS foreign_text FROM f WHERE text <> '')
+SELECT 'conversation ' || doc_id || '.pdf' AS name, CASE WHEN size >= 1024 THEN regexp_replace(printf('%.2f', size / 1024), '\\.?0+$', '') || ' KB' ELSE size || ' Bytes' END AS size, f.success, f.page_count, length(text)::INT AS text_length,
+CASE WHEN text = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN length(text) < 10 THEN 30 ELSE 0 END - CASE WHEN foreign_text THEN 20 ELSE 0 END - 10 * coalesce(n, 0)) END::DOUBLE AS quality, 'simple' AS method, 0.0::DOUBLE AS processing_time,
+CASE WHEN text = '' THEN 'テキストが空' ELSE array_to_string({_ISSUES}, ' / ') END AS issues, CASE WHEN NOT f.success THEN d.error END AS error FROM f JOIN (SELECT doc_id, error FROM d) d USING (doc_id) JOIN b USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN ru USING (doc_id)""")
 def extraction_debug(spark, sf_dir):
-    shown, _ = stats.debug_info(files_.file_results(_pages(spark, sf_dir)))
-    return shown.drop("quality")
+    """All fields of a file in the debug report; conversations are the files."""
+    name = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"), F.lit(".pdf"))
+    manifest = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), name.alias("name")).agg(F.sum(F.octet_length("text")).alias("size"))
+    shown, _ = stats.debug_info(files_.file_results(_pages(spark, sf_dir)), manifest)
+    return shown.withColumn("issues", F.array_join("issues", " / "))
 
 
-_CHAIN = [("one", "two", "three"), (None, " ", "three"), ("", "two", None), (None, None, " ")]
-
-
-@query(f"WITH {_values('t', _CHAIN, 'a, b, c')} SELECT a, b, c, coalesce(CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(b) <> '' THEN b END, CASE WHEN trim(c) <> '' THEN c END) AS text FROM t")
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN text END, CASE WHEN doc_id % 3 = 1 AND trim(lang) <> '' THEN lang END, CASE WHEN doc_id % 6 <> 5 THEN source END) AS text FROM documents")
 def first_text(spark, sf_dir):
-    rows = spark.createDataFrame(_CHAIN, "a string, b string, c string")
-    return rows.select("a", "b", "c", files_.first_text(*map(F.col, "abc")).alias("text"))
+    """A text, else blanks or a language, else a source or nothing."""
+    k = F.col("doc_id") % 3
+    chain = [F.when(k == 0, F.col("text")).when(k == 1, F.lit(" ")), F.when(k == 1, F.col("lang")).otherwise(F.lit("")), F.when(F.col("doc_id") % 6 != 5, F.col("source"))]
+    return A.table(spark, sf_dir, "documents").select("doc_id", files_.first_text(*chain).alias("text"))
 
 
 # layout
@@ -309,15 +322,21 @@ def layout_blocks(spark, sf_dir):
 
 # detectors
 
-_LINE = f"(p_partkey + 10000)::VARCHAR || ' {A.QUIZ_HEAD}' || p_name || '{A.QUIZ_TAIL}' || CASE WHEN p_size % 2 = 1 THEN '〇' ELSE '×' END"
-_BODY = f"'{A.QUIZ_HEAD}' || p_name || '{A.QUIZ_TAIL}'"
+def _pick(texts, i: str) -> str:
+    return "[" + ", ".join(map(_q, texts)) + f"][({i})::INT + 1]"
+
+
+_BODY = f"({_pick(A.QUIZ_HEADS, 'substr(p_brand, 7)::INT % 4')} || p_name || {_pick(A.QUIZ_TAILS, 'p_size % 3')})"
+_OWN = [f"'{text}' || p_type || '{A.QUIZ_CHOICES[1]}'" for text in A.QUIZ_CHOICES[0]]
+_FILE = f"p_brand || '/' || (p_partkey // {A.QUIZ_SPAN})"
+_MARK = "CASE WHEN p_size % 2 = 1 THEN '〇' ELSE '×' END"
 
 
 def _quiz_lines(spark, sf_dir):
     return A.quiz_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-@query(f"SELECT (p_partkey + 10000)::INT AS number, substr({_LINE}, 7) AS text, '番号のみ形式' AS pattern FROM part")
+@query(f"SELECT (p_partkey + 10000)::INT AS number, {_BODY} || CASE WHEN p_size % 4 = 0 THEN '' ELSE {_MARK} END AS text, '番号のみ形式' AS pattern FROM part UNION ALL SELECT 1, {_OWN[0]}, '番号のみ形式' FROM part WHERE p_size % 4 = 0 UNION ALL SELECT 2, {_OWN[1]} || {_MARK}, '番号のみ形式' FROM part WHERE p_size % 4 = 0")
 def question_numbers(spark, sf_dir):
     return _quiz_lines(spark, sf_dir).select(detect.question_number(F.col("line")).alias("q")).select("q.*")
 
@@ -356,7 +375,16 @@ def choice_scores(spark, sf_dir):
     return _CHOICES(spark, sf_dir).select("id", scoring.choice_count_score(c).alias("count_score"), F.round(scoring.choice_quality_score(c), 6).alias("quality_score"))
 
 
-@query()
+_EVERY_FORM = rf"""l AS (SELECT id, u.i AS i, {_trim('u.l')} AS l FROM (SELECT id, unnest(list_transform(string_split(s, chr(10)), lambda x, i: {{'l': x, 'i': i}})) AS u FROM t)),
+o AS (SELECT *, nullif(regexp_extract(l, '^([{K.CIRCLED}])[{_WS}]*(.+)', 1), '') AS symbol FROM l WHERE l <> ''),
+n AS (SELECT *, count(symbol) OVER (PARTITION BY id ORDER BY i) AS island FROM o),
+c AS (SELECT id, 0 AS k, '丸数字選択肢' AS pattern, max(symbol) AS symbol, string_agg(CASE WHEN symbol IS NULL THEN l ELSE regexp_extract(l, '^([{K.CIRCLED}])[{_WS}]*(.+)', 2) END, ' ' ORDER BY i) AS text FROM n WHERE island > 0 GROUP BY id, island),
+w AS (SELECT id, s, unnest([('数字選択肢', '^([1-9])\.[{_WS}]*(.+)$', 1), ('アイウエ選択肢', '^([アイウエオカキクケコ])\.[{_WS}]*(.+)$', 2), ('括弧数字選択肢', '^\(([1-9])\)[{_WS}]*(.+)$', 3)]::STRUCT(n VARCHAR, p VARCHAR, k INT)[]) AS f FROM t),
+b AS (SELECT id, f.k AS k, f.n AS pattern, unnest(regexp_extract_all(s, '(?m)' || f.p, 1)) AS symbol, unnest(regexp_extract_all(s, '(?m)' || f.p, 2)) AS text FROM w),
+a AS (SELECT id, k, pattern, instr('{K.CIRCLED}', symbol) AS number, symbol, text FROM c UNION ALL SELECT id, k, pattern, coalesce(try_cast(symbol AS INT), instr('{K.KATAKANA_NUMBERS}', symbol)), CASE WHEN k = 3 THEN '(' || symbol || ')' ELSE symbol END, {_trim('text')} FROM b)"""
+
+
+@query(f"WITH {_CHOICES_SQL}, {_EVERY_FORM} SELECT id, number::INT AS number, symbol, text, pattern FROM (SELECT *, min(k) OVER (PARTITION BY id) AS first FROM a) WHERE k = first")
 def all_choices(spark, sf_dir):
     rows = _CHOICES(spark, sf_dir).select("id", F.explode(detect.all_choices(F.col("s"))).alias("c"))
     return rows.select("id", "c.number", "c.symbol", "c.text", "c.pattern")
@@ -422,7 +450,18 @@ def normalised_answers(spark, sf_dir):
 
 # records
 
-_QUIZ = f"q AS (SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS id, '宅建業法' AS section, 'R5' AS year, (p_partkey + 10000)::INT AS question_number, {_BODY} AS question, '〇' AS answer, 'R5_' || p_brand || '.pdf' AS source, p_size, p_partkey, CASE WHEN length({_BODY}) < 50 THEN 0.7 WHEN length({_BODY}) < 200 THEN 1.0 ELSE 0.9 END AS len_score FROM part), z AS (SELECT *, len_score * 0.25 + 0.5 * 0.2 + 0.5 * 0.15 + 0.2 + 0.8 * 0.1 + 0.4 * 0.1 AS total FROM q), s AS (SELECT *, 75 * (0.5 + total * 0.5) AS confidence FROM z)"
+_STEPS = lambda n, steps, rest: "CASE " + " ".join(f"WHEN {n} < {k} THEN {v}" for k, v in steps) + f" ELSE {rest} END"
+_TEXTS = " ".join(f"WHEN section = '{n}' THEN CASE WHEN answer = '〇' THEN '{yes}' ELSE '{no}' END" for n, (yes, no) in K.EXPLANATIONS.items())
+_HINTS = " ".join(f"WHEN contains(s, '{k}') THEN '{v}'" for k, v in K.EXPLANATION_HINTS)
+_OWN_CHOICES = f"{_OWN[0]} || '|' || {_OWN[1]}"
+#: Records as the rules make them: answer by keywords, section by the file's words, explanation by template, scores by lengths.
+_QUIZ = f"""pt AS (SELECT *, {_FILE} AS doc_id, {_BODY} || CASE WHEN p_size % 4 = 0 THEN ' ' || {_OWN[0]} || ' ' || {_OWN[1]} ELSE '' END AS s FROM part),
+ct AS (SELECT doc_id, unnest([{_SECTIONS_SQL}]::STRUCT(i INT, n VARCHAR, c INT)[]) AS u FROM (SELECT doc_id, string_agg(s, ' ') AS s FROM pt GROUP BY doc_id)),
+sec AS (SELECT doc_id, CASE WHEN u.c > 0 THEN u.n ELSE 'その他' END AS section FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u.c DESC, u.i DESC) AS k FROM ct) WHERE k = 1),
+q AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey))::INT AS id, section, 'R5' AS year, (p_partkey + 10000)::INT AS question_number, s AS question, s, CASE WHEN {_UP} > {_DOWN} THEN '〇' ELSE '×' END AS answer, 'R5_' || p_brand || '.pdf' AS source, p_size, p_partkey, p_size % 4 = 0 AS chosen FROM pt JOIN sec USING (doc_id)),
+e AS (SELECT *, CASE {_TEXTS} END || CASE {_HINTS} ELSE '' END AS explanation FROM q),
+z AS (SELECT *, ({_STEPS('length(question)', [(1, 0.0), (10, 0.1), (20, 0.3), (50, 0.7), (200, 1.0), (500, 0.9)], 0.6)}) * 0.25 + CASE WHEN chosen THEN 1.0 ELSE 0.5 END * 0.2 + CASE WHEN chosen THEN 0.8 ELSE 0.5 END * 0.15 + 0.2 + ({_STEPS('length(explanation)', [(1, 0.0), (10, 0.2), (30, 0.5), (100, 0.8), (300, 1.0)], 0.9)}) * 0.1 + (CASE WHEN question_number <= 100 THEN 0.3 ELSE 0 END + CASE WHEN chosen THEN 0.2 ELSE 0.4 END) * 0.1 AS total FROM e),
+s AS (SELECT * EXCLUDE (s), least(greatest(least(greatest(75 * (0.5 + total * 0.5), 75 * 0.7), 75 * 1.3), 0), 95)::DOUBLE AS confidence FROM z)"""
 
 
 def _quiz(spark, sf_dir):
@@ -439,29 +478,29 @@ def quiz_section_report(spark, sf_dir):
     return stats.section_report(_quiz(spark, sf_dir)).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
-@query(f"SELECT p_brand AS doc_id, (p_partkey + 10000)::INT AS question_number, {_BODY} AS question, CASE WHEN p_size % 2 = 1 THEN '〇' ELSE '×' END AS answer, 95.0::DOUBLE AS confidence FROM part")
+@query(f"SELECT {_FILE} AS doc_id, (p_partkey + 10000)::INT AS question_number, {_BODY} || CASE WHEN p_size % 4 = 0 THEN chr(10) || '1. ' || {_OWN[0]} || chr(10) || '2. ' || {_OWN[1]} ELSE '' END AS question, {_MARK} AS answer, 95.0::DOUBLE AS confidence FROM part")
 def quiz_printed_answers(spark, sf_dir):
     return adaptive.answer_anchored(A.quiz_texts(spark, sf_dir)).select("doc_id", "question_number", "question", "answer", "confidence")
 
 
-@query(f"SELECT p_brand AS doc_id, (p_partkey + 10000)::INT AS question_number, 'R5' AS year, {_BODY} AS question, CASE WHEN p_size % 2 = 1 THEN '〇' ELSE '×' END AS answer FROM part")
+@query(f"SELECT {_FILE} AS doc_id, (p_partkey + 10000)::INT AS question_number, 'R5' AS year, {_BODY} AS question, {_MARK} AS answer FROM part")
 def quiz_complete_records(spark, sf_dir):
-    texts = A.quiz_texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?m)^(\d{5}) ", "$1 R5 "))
+    texts = A.quiz_texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?m)^(\d{5,}) ", "$1 R5 "))
     return adaptive.complete_records(texts).select("doc_id", "question_number", "year", "question", "answer")
 
 
-@query(f"WITH {_QUIZ} SELECT doc_id, count(*) AS total_questions, round(avg(confidence), 6) AS average_confidence, count(*) FILTER (WHERE confidence >= 80) AS high, count(*) FILTER (WHERE confidence >= 50 AND confidence < 80) AS medium, count(*) FILTER (WHERE confidence < 50) AS low, count(*) AS correct, 0::BIGINT AS incorrect, count(*) AS has_explanation, round(avg(length(question)), 6) AS average_question_length FROM s GROUP BY doc_id")
+@query(f"WITH {_QUIZ} SELECT doc_id, count(*) AS total_questions, round(avg(confidence), 6) AS average_confidence, count(*) FILTER (WHERE confidence >= 80) AS high, count(*) FILTER (WHERE confidence >= 50 AND confidence < 80) AS medium, count(*) FILTER (WHERE confidence < 50) AS low, count(*) FILTER (WHERE answer = '〇') AS correct, count(*) FILTER (WHERE answer <> '〇') AS incorrect, count(*) FILTER (WHERE length(explanation) > 10) AS has_explanation, round(avg(length(question)), 6) AS average_question_length FROM s GROUP BY doc_id")
 def quiz_parsing_stats(spark, sf_dir):
     out = stats.parsing_stats(_quiz(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in ("average_confidence", "average_question_length")})
 
 
-@query(f"WITH {_QUIZ} SELECT count(*) AS total, count(*) AS correct, 0::BIGINT AS incorrect, count(DISTINCT section) AS sections, round(avg(confidence), 6) AS average_confidence, 100 AS correct_percent, '宅建業法' AS main_section FROM s")
+@query(f"WITH {_QUIZ} SELECT count(*) AS total, count(*) FILTER (WHERE answer = '〇') AS correct, count(*) FILTER (WHERE answer = '×') AS incorrect, count(DISTINCT section) AS sections, round(avg(confidence), 6) AS average_confidence, floor(count(*) FILTER (WHERE answer = '〇') / count(*) * 100 + 0.5)::INT AS correct_percent, (SELECT section FROM s GROUP BY section ORDER BY count(*) DESC, min(doc_id) DESC LIMIT 1) AS main_section FROM s")
 def quiz_overview(spark, sf_dir):
     return stats.overview(_quiz(spark, sf_dir)).select("total", "correct", "incorrect", "sections", F.round("average_confidence", 6).alias("average_confidence"), "correct_percent", "main_section")
 
 
-@query(f"WITH {_QUIZ} SELECT section, doc_id, id, question_number, r::INT AS rank, greatest((SELECT count(*) FROM s) - 20, 0) AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY doc_id, id) AS r FROM s) WHERE r <= 20")
+@query(f"WITH {_QUIZ} SELECT section, doc_id, id, question_number, r::INT AS rank, greatest(n - 20, 0) AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY doc_id, id) AS r, count(*) OVER (PARTITION BY section) AS n FROM s) WHERE r <= 20")
 def quiz_preview(spark, sf_dir):
     return records.preview(_quiz(spark, sf_dir)).select("section", "doc_id", "id", "question_number", "rank", F.col("overflow").cast("long").alias("overflow"))
 
@@ -471,16 +510,13 @@ def quiz_attention_list(spark, sf_dir):
     return stats.attention_list(_quiz(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("WITH p AS (SELECT p_brand AS doc_id, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 1) AS yes FROM part GROUP BY p_brand) SELECT doc_id, n AS numbers, n AS answers, 0::BIGINT AS explanations, 0.7::DOUBLE AS reliability, '番号付き問題,○×問題' || CASE WHEN abs(2 * yes - n) / n < 0.3 THEN ',バランス型' ELSE '' END AS formats FROM p")
+@query(f"WITH p AS (SELECT {_FILE} AS doc_id, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 1) AS yes FROM part GROUP BY ALL) SELECT doc_id, n AS numbers, n AS answers, 0::BIGINT AS explanations, 0.7::DOUBLE AS reliability, '番号付き問題,○×問題' || CASE WHEN abs(2 * yes - n) / n < 0.3 THEN ',バランス型' ELSE '' END AS formats FROM p")
 def quiz_pattern_reliability(spark, sf_dir):
     found = stats.pattern_reliability(raw_questions(A.quiz_texts(spark, sf_dir), answer_aware=True)[0])
     return found.withColumn("reliability", F.round("reliability", 6))
 
 
-_EXPLANATION = K.EXPLANATIONS["宅建業法"][0] + K.EXPLANATION_HINTS[2][1]
-
-
-@query(f"""WITH {_QUIZ} SELECT id || ',' || section || ',' || year || ',' || question_number || ',' || question || ',' || answer || ',' || '{_EXPLANATION}' || ',' || source || ',unknown,' || round(confidence, 2) || ',' AS value FROM s""")
+@query(f"""WITH {_QUIZ} SELECT id || ',' || section || ',' || year || ',' || question_number || ',' || question || ',' || answer || ',' || explanation || ',' || source || ',unknown,' || regexp_replace(round(confidence, 2)::VARCHAR, '\\.0$', '') || ',' AS value FROM s""")
 def quiz_csv(spark, sf_dir):
     return csv_rows(_quiz(spark, sf_dir).withColumns({"created_at": F.lit(None).cast("timestamp"), "confidence": F.round("confidence", 2)}))
 
@@ -530,7 +566,8 @@ def _kinds(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select(key.alias("doc_id"), F.concat(F.lit("f"), key.cast("string"), F.lit(".pdf")).alias("file_name"), texts.alias("text"))
 
 
-@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 2 THEN 'pattern_match' ELSE 'adaptive' END AS method, [3, 1, 2][(p_partkey % 4)::INT + 1]::BIGINT AS n FROM part WHERE p_partkey % 4 < 3")
+@query(r"""WITH f AS (SELECT p_partkey AS doc_id, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN concat_ws(chr(10), (p_partkey * 3 % 80000 + 10000) || ' 〇', (p_partkey * 3 % 80000 + 10001) || ' 〇', (p_partkey * 3 % 80000 + 10002) || ' 〇') WHEN 1 THEN '問3 この規定は' || p_name || 'に有効である' WHEN 2 THEN '3: short English line on ' || p_name || chr(10) || '(4) another English line' || chr(10) || 'no number' ELSE 'nothing at all' END AS s FROM part)
+SELECT doc_id, CASE WHEN k = 2 THEN 'pattern_match' ELSE 'adaptive' END AS method, CASE k WHEN 0 THEN len(regexp_extract_all(s, '[0-9]{5}[^〇×○]*[〇×○]')) WHEN 1 THEN len(regexp_extract_all(s, '^問[0-9]+')) ELSE len(regexp_extract_all(s, '(?m)^(?:[0-9]+[:：]|\([0-9]+\))')) END::BIGINT AS n FROM f WHERE regexp_matches(s, '[0-9]')""")
 def orchestration(spark, sf_dir):
     """Which way each file's records are found: the best pattern, else the line parser, else the last resort."""
     return parse_questions(_kinds(spark, sf_dir)).groupBy("doc_id", F.coalesce("extraction_method", F.lit("adaptive")).alias("method")).agg(F.count("*").alias("n"))
@@ -599,29 +636,31 @@ def record_overview(spark, sf_dir):
     return stats.overview(_document_records(spark, sf_dir)).select("total", "correct", "sections", "high", "medium", "low", "correct_percent", "main_section")
 
 
-_RUNS = [(3, 0, 10), (2, 1, 5), (1, 4, 5), (0, 2, 0), (0, 0, 0)]
-
-
-@query(f"WITH {_values('t', _RUNS, 's, f, q')} SELECT s AS successful_files, f AS failed_files, q AS questions, CASE WHEN s + f > 0 THEN round(s * 100.0 / (s + f), 6) ELSE 0 END::DOUBLE AS success_rate, CASE WHEN q = 0 THEN 'error' WHEN f = 0 THEN 'success' ELSE 'warning' END AS status FROM t")
+@query("""WITH t AS (SELECT conv_id, count(*) FILTER (WHERE turn % 7 <> 6) AS s, count(*) FILTER (WHERE turn % 7 = 6) AS f, count(*) FILTER (WHERE contains(text, '?')) AS q FROM conversations GROUP BY conv_id)
+SELECT conv_id, s AS successful_files, f AS failed_files, q AS questions, CASE WHEN s + f > 0 THEN round(s * 100.0 / (s + f), 6) ELSE 0 END::DOUBLE AS success_rate, CASE WHEN q = 0 THEN 'error' WHEN f = 0 THEN 'success' ELSE 'warning' END AS status FROM t""")
 def extraction_status(spark, sf_dir):
-    rows = spark.createDataFrame(_RUNS, "successful_files int, failed_files int, questions int")
-    return stats.extraction_status(rows).withColumn("success_rate", F.round(F.col("success_rate").cast("double"), 6))
+    """Conversations as runs, their turns as files."""
+    lost = F.col("turn") % 7 == 6
+    runs = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(~lost).alias("successful_files"), F.count_if(lost).alias("failed_files"), F.count_if(F.contains("text", F.lit("?"))).alias("questions"))
+    return stats.extraction_status(runs).withColumn("success_rate", F.round(F.col("success_rate").cast("double"), 6))
 
 
 # hierarchy
 
 def _hierarchy_texts(spark, sf_dir):
-    """A region a document: chapter, a section a nation, a question with year and answer a supplier."""
-    s = A.table(spark, sf_dir, "supplier").join(A.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(A.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    name = F.regexp_replace("n_name", "_", "")
-    rows = s.groupBy("r_regionkey", "r_name", "n_nationkey", name.alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("rows"))
-    item = lambda r: F.concat((r["s_suppkey"] % 1000 + 1).cast("string"), F.lit(" 業者は届け出をする。\nR"), (r["s_suppkey"] % 6 + 1).cast("string"), F.when(r["s_acctbal"] > 5000, F.lit("\n〇")).otherwise(F.lit("\n×")), F.lit("\n【解説】期間は短い\n"))
-    nation = F.concat(F.lit("Section "), F.col("n_nationkey").cast("string"), F.lit(" "), "nation", F.lit("\n"), F.array_join(F.transform("rows", item), "\n"))
-    docs = rows.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", nation.alias("t")))).alias("nations"))
-    return docs.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("第"), (F.col("r_regionkey") + 1).cast("string"), F.lit("章："), F.regexp_replace("r_name", "_", ""), F.lit("\n"), F.array_join(F.transform("nations", lambda n: n["t"]), "\n")).alias("text"))
+    """A nation's suppliers of a thousand keys a document: the region's chapter, the nation's section, a question with year and
+    answer a supplier; documents stay small whatever the table's size."""
+    nations = A.table(spark, sf_dir, "nation").join(A.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = A.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    bare = lambda c: F.regexp_replace(c, "_", "")
+    item = F.concat((F.col("s_suppkey") % 1000 + 1).cast("string"), F.lit(" 業者は届け出をする。\nR"), (F.col("s_suppkey") % 6 + 1).cast("string"), F.when(F.col("s_acctbal") > 5000, F.lit("\n〇")).otherwise(F.lit("\n×")), F.lit("\n【解説】期間は短い\n"))
+    doc = (F.col("n_nationkey") * 1000000 + F.floor(F.col("s_suppkey") / 1000)).cast("long").alias("doc_id")
+    head = F.concat(F.lit("第"), (F.col("r_regionkey") + 1).cast("string"), F.lit("章："), bare("r_name"), F.lit("\nSection "), F.col("n_nationkey").cast("string"), F.lit(" "), bare("n_name"), F.lit("\n"))
+    rows = s.groupBy(doc, head.alias("head")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("t")))).alias("items"))
+    return rows.select("doc_id", F.concat("head", F.array_join(F.transform("items", lambda r: r["t"]), "\n")).alias("text"))
 
 
-_HIER = "h AS (SELECT r_regionkey AS doc_id, replace(r_name, '_', '') AS level1, replace(n_name, '_', '') AS level2, s_suppkey, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_HIER = "h AS (SELECT (n_nationkey * 1000000 + s_suppkey // 1000)::BIGINT AS doc_id, replace(r_name, '_', '') AS level1, replace(n_name, '_', '') AS level2, s_suppkey, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(f"""WITH {_HIER} SELECT doc_id, level1, level2, (s_suppkey % 1000 + 1)::VARCHAR AS number, 'R' || (s_suppkey % 6 + 1) AS year, '業者は届け出をする。' AS question, '】期間は短い' AS explanation, CASE WHEN s_acctbal > 5000 THEN '〇' ELSE '×' END AS answer FROM h""")
@@ -641,7 +680,9 @@ def hierarchy_summary(spark, sf_dir):
     return stats.hierarchy_summary(hierarchy.parse_texts(_hierarchy_texts(spark, sf_dir)))
 
 
-@query("SELECT CAST(NULL AS INT) AS doc_id WHERE false")
+@query("SELECT p_partkey AS doc_id, (p_partkey % 1000 + 1)::VARCHAR AS number, 'R6' AS year, 'about ' || p_name || '。 ' || p_type AS question, '×' AS answer FROM part WHERE p_size % 3 > 0")
 def hierarchy_literal(spark, sf_dir):
-    """With all lines joined first, any heading swallows the text: no rows."""
-    return hierarchy.parse_texts(_hierarchy_texts(spark, sf_dir), literal=True).select(F.col("doc_id").cast("int"))
+    """With all lines joined first, a text is one record, or none where it has a heading."""
+    text = F.concat(F.when(F.col("p_size") % 3 == 0, F.lit("第1章：総則\n")).otherwise(F.lit("")), (F.col("p_partkey") % 1000 + 1).cast("string"), F.lit(" about "), "p_name", F.lit("。\n"), "p_type")
+    rows = hierarchy.parse_texts(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), literal=True)
+    return rows.select("doc_id", F.col("問題番号").alias("number"), F.col("出題年度").alias("year"), F.col("問題").alias("question"), F.col("回答").alias("answer"))

@@ -1,6 +1,7 @@
 """Golden cases of the engine's operators, and every query against its SQL."""
 
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -36,7 +37,7 @@ def con():
 def test_query(spark, con, name):
     got = queries.QUERIES[name](spark, SF)
     if name not in queries.ORACLE_SQL:  # these have a mirror below
-        assert name in ("document_candidates", "all_choices") and got.count() > 0
+        assert name == "document_candidates" and got.count() > 0
         return
     want = con.sql(queries.ORACLE_SQL[name])
     cols = sorted(want.columns)
@@ -70,6 +71,47 @@ def test_patterns_agree_with_a_mirror(spark):
         assert found == [[(m[2] or "").strip() for m in rx.finditer(t)] for t in [*texts, "12345 a\x02b\n"]], name
 
 
+def test_patterns_take_time_linear_in_the_text(spark):
+    """Numbers without a mark behind them, marks alone, quiz lines: every pattern over 10 MB of text."""
+    texts = {"numbers": "12345 abc def " * 700_000, "digits": "1" * 10_000_000, "marks": "あ〇" * 1_700_000, "quiz": "10001 宅建業者は免許を受けた場合に、説明をする義務がある。×\n" * 120_000}
+    for name, text in texts.items():
+        rows = spark.createDataFrame([(text,)], "text string")
+        began = time.perf_counter()
+        counts = rows.select(*(F.size(adaptive._found(F.col("text"), p, f)).alias(f"c{i}") for i, (_, _, p, f) in enumerate(K.QUESTION_PATTERNS))).first()
+        assert time.perf_counter() - began < 90, name
+        assert (counts["c11"], counts["c12"]) == ((120_000, 120_000) if name == "quiz" else (0, 0))
+
+
+def test_folds_take_time_linear_in_the_lines(spark):
+    lines_ = [f"行の続き{i}" + ("。" if i % 3 == 0 else "") for i in range(100_000)]
+    rows = spark.createDataFrame([("問い", lines_)], "first string, lines array<string>")
+    want, now = ["問い"], "問い"
+    for x in lines_:
+        want.append(x if now.endswith("。") else " " + x)
+        now = x
+    began = time.perf_counter()
+    assert rows.select(segment.append_lines(F.col("first"), F.col("lines"))).first()[0] == "".join(want)
+    text = "\n".join(f"{'①②③'[i % 3]}選択肢{i}\n\x01続き\x02a{i}" for i in range(50_000))
+    got = column(spark, [text], detect.all_choices)[0]
+    assert len(got) == 50_000 and tuple(got[1])[:3] == (2, "②", "選択肢1 \x01続き\x02a1") and time.perf_counter() - began < 60
+    spoken = "1 本文の一行です。\n" + "解説 説明の行\n続く行です\n" * 20_000
+    one = hierarchy.parse_texts(spark.createDataFrame([(1, spoken)], "doc_id int, text string")).first()
+    assert one["解説"] == "説明の行 続く行です" and one["問題"].count("続く行です") == 20_000
+
+
+def test_dedup_counts_utf16_units(spark):
+    head = "あ" * 49
+    texts = [head + "😀x", head + "😁y", head + "い1", head + "い2", "😀" * 25 + "a", "😀" * 25 + "b", "😀" * 24 + "ab"]
+    rows = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id int, question_number int, id int, question string")
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        cut = t.encode("utf-16-be")[:100]
+        if cut not in seen:
+            seen.add(cut)
+            want.append(i)
+    assert sorted(r["id"] for r in records.dedup_questions(rows).collect()) == want == [0, 2, 4, 6]
+
+
 def test_candidates_agree_with_a_mirror(spark):
     """Matches, valid rows and scores of every pattern on whole documents and quiz texts."""
     units = lambda s: len(s.encode("utf-16-le")) // 2
@@ -210,7 +252,7 @@ def test_invariants(spark):
     assert rows.where("confidence < 0 or confidence > 95").count() == 0
     assert records.dedup_questions(rows).count() == rows.count()
     assert stats.section_report(rows).agg(F.sum("total")).first()[0] == rows.count()
-    assert [r["question_number"] for r in records.sort_questions(rows.where("doc_id = 'Brand#1'")).collect()] == sorted(r["question_number"] for r in rows.where("doc_id = 'Brand#1'").collect())
+    assert [r["question_number"] for r in records.sort_questions(rows.where("doc_id = 'Brand#1/0'")).collect()] == sorted(r["question_number"] for r in rows.where("doc_id = 'Brand#1/0'").collect())
     empty = spark.createDataFrame([], "doc_id int, file_name string, text string")
     assert parse_questions(empty).count() == 0
     assert parse_questions(spark.createDataFrame([(1, None, None), (2, "a", "")], "doc_id int, file_name string, text string")).count() == 0
@@ -285,8 +327,12 @@ def test_issues_and_reports(spark):
     assert {r["doc_id"]: r["issues"] for r in stats.extraction_issues(files_).collect()} == {"a": ["x", "y"], "c": ["bad"], "d": ["不明なエラー"]}
     s = stats.extraction_stats(files_).first()
     assert (s["successful_files"], s["failed_files"], s["total_pages"], s["total_text_length"], s["average_quality"], s["high"], s["medium"], s["low"], s["processing_time"]) == (2, 2, 4, 15, 75.0, 1, 1, 0, 3.0)
-    shown, totals = stats.debug_info(files_)
-    assert shown.columns == ["doc_id", "success", "page_count", "text_length", "quality", "method", "error"] and shown.count() == 4 and totals.first() == s
+    manifest = spark.createDataFrame([("a", "a.pdf", 2048), ("b", "b.pdf", 5)], "doc_id string, name string, size long")
+    shown, totals = stats.debug_info(files_, manifest, {"extractionMode": "simple", "debugMode": True})
+    assert shown.columns == ["name", "size", "success", "page_count", "text_length", "quality", "method", "processing_time", "issues", "error"]
+    assert {tuple(r)[:3] for r in shown.collect()} == {("a.pdf", "2 KB", True), ("b.pdf", "5 Bytes", True), (None, None, False)}
+    assert [r["issues"] for r in stats.debug_info(files_)[0].where("name = 'd'").collect()] == [[]]
+    assert totals.first()["config"] == {"extractionMode": "simple", "debugMode": "True"} and totals.drop("config").first() == s
 
 
 def test_metadata_and_manifest(spark, tmp_path):
