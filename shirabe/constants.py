@@ -119,3 +119,5 @@ HIER_YEAR_PATTERNS = [("R", r"[Rr]([0-9０-９]+)"), ("R", r"令和([0-9０-９]
 HIER_KEEP = r"[^\w\s\n\r\t。、．，：；！？「」『』（）〈〉【】○×〇▲△□■◆●・\-=]"
 #: Byte-order mark that opens a CSV file.
 BOM = "\uFEFF"
+#: What an export is named before its day.
+EXPORT_NAME = "宅建問題集"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 from ..constants import MAX_FILE_BYTES
 from ..functions import compat as C
 from ..functions.cleaning import clean, quality_issues, text_quality
+from .formats import register
 
 #: (doc_id, name, content) -> pages as (page_no, text or None, error or None)
 PdfReader = Callable[[bytes], list[tuple[int, str | None, str | None]]]
 
 
-def scan_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """A manifest of files with their content; the pattern and the size limit apply before any content is decoded."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.where(F.col("length") <= MAX_FILE_BYTES).select(F.col("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("added_at"), "content")
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """The documents below a folder, by name or type and size, with their place in the order of names and their
+    content; the files are chosen and dealt to tasks before any is opened."""
+    register(spark)
+    return spark.read.format("document_files").load(path)
 
 
 def is_pdf(name: Column, mime: Column) -> Column:
@@ -48,19 +51,23 @@ def check_inputs(manifest: DataFrame) -> DataFrame:
 
 
 def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
-    """Pages of files by a reader that the caller brings (no PDF library is bundled); failures are rows."""
+    """Pages of files by a reader that the caller brings (no PDF library is bundled), each with the milliseconds that
+    its file took; failures are rows, with the whole error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                began, own = time.perf_counter(), []
                 try:
-                    rows += [(doc_id, n, error is None, text, error) for n, text, error in reader(bytes(content))]
+                    own = [(doc_id, n, error is None, text, error) for n, text, error in reader(bytes(content))]
                 except Exception as e:  # noqa: BLE001  errors are data here
-                    rows.append((doc_id, 0, False, None, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "success", "text", "error"])
+                    own = [(doc_id, 0, False, None, str(e))]
+                took = (time.perf_counter() - began) * 1000
+                rows += [(*r, took) for r in own]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "success", "text", "error", "processing_time"])
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_no int, success boolean, text string, error string")
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_no int, success boolean, text string, error string, processing_time double")
 
 
 #: content -> (number of pages, encrypted or None, attributes by their name in the document)
@@ -101,9 +108,10 @@ def assemble(pages: DataFrame, max_pages: int = 0, normalise: bool = True) -> Da
 def file_results(pages: DataFrame, method: str = "simple", max_pages: int = 0, normalise: bool = True) -> DataFrame:
     """One result row a file, with quality; a file without any successful page is a failure row."""
     docs = assemble(pages, max_pages, normalise)
-    ok = pages.groupBy("doc_id").agg(F.max("success").alias("success"), F.min("error").alias("error"))
+    took = F.max("processing_time") if "processing_time" in pages.columns else F.lit(0.0)
+    ok = pages.groupBy("doc_id").agg(F.max("success").alias("success"), F.min("error").alias("error"), took.alias("processing_time"))
     q = text_quality(F.col("text"))
-    return docs.join(ok, "doc_id").select("doc_id", "success", F.when(F.col("success"), F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"), "text", "page_count", C.length(F.col("text")).alias("text_length"), q["score"].cast("double").alias("quality"), F.lit(method).alias("method"), F.lit(0.0).alias("processing_time"), quality_issues(q).alias("issues"))
+    return docs.join(ok, "doc_id").select("doc_id", "success", F.when(F.col("success"), F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"), "text", "page_count", C.length(F.col("text")).alias("text_length"), q["score"].cast("double").alias("quality"), F.lit(method).alias("method"), "processing_time", quality_issues(q).alias("issues"))
 
 
 def first_text(*columns: Column) -> Column:

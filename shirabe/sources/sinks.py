@@ -1,17 +1,16 @@
-"""Exports: CSV with a byte-order mark, XLSX where a writer is installed, JSON, logs and options."""
+"""Exports: CSV with a byte-order mark, XLSX, JSON, logs and options."""
 
 from __future__ import annotations
 
 import json
-import warnings
-from collections.abc import Iterator
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BOM, CSV_HEADERS, HIERARCHY_HEADERS
+from ..constants import CSV_HEADERS, EXPORT_NAME, HIERARCHY_HEADERS
 from ..functions.cleaning import escape_csv
+from .formats import SHEET_ROWS, register
 
 
 def csv_rows(questions: DataFrame) -> DataFrame:
@@ -23,19 +22,15 @@ def csv_rows(questions: DataFrame) -> DataFrame:
     return questions.select(F.concat_ws(",", *fields).alias("value"))
 
 
-def write_csv(lines: DataFrame, path: str, headers: list[str] = CSV_HEADERS) -> None:
-    """Write lines (value) as CSV part files, each with a byte-order mark and a header, on the executors."""
-    head = BOM + ",".join(headers)
+def write_csv(lines: DataFrame, folder: str, headers: list[str] = CSV_HEADERS, prefix: str = EXPORT_NAME, day: date | None = None) -> None:
+    """Lines (value) as one dated file with one byte-order mark and header, also if there are none; in the rows' order
+    where they are sorted."""
+    register(lines.sparkSession)
+    lines.select("value").write.format("single_csv").mode("append").options(prefix=prefix, header=",".join(headers), **_day(day)).save(folder)
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        started = False
-        for pdf in batches:
-            yield pdf if started else pd.concat([pd.DataFrame({"value": [head]}), pdf])
-            started = True
-
-    lines.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+def _day(day: date | None) -> dict[str, str]:
+    return {"day": day.isoformat()} if day else {}
 
 
 def hierarchy_csv_rows(rows: DataFrame) -> DataFrame:
@@ -43,23 +38,11 @@ def hierarchy_csv_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", *(escape_csv(F.coalesce(F.col(c), F.lit(""))) for c in HIERARCHY_HEADERS)).alias("value"))
 
 
-def export_name(prefix: str, day: date) -> str:
-    return f"{prefix}_{day:%Y%m%d}.csv"
-
-
-def write_excel(rows: DataFrame, path: str, max_rows: int = 1_000_000) -> bool:
-    """One sheet; false with a warning if no writer is installed or the rows don't fit into a sheet."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        warnings.warn("no XLSX writer is installed; nothing written", stacklevel=2)
-        return False
-    pdf = rows.limit(max_rows + 1).toPandas()  # a sheet's size bounds what is gathered
-    if len(pdf) > max_rows:
-        warnings.warn("too many rows for a sheet; nothing written", stacklevel=2)
-        return False
-    pdf.to_excel(path, index=False)
-    return True
+def write_excel(rows: DataFrame, folder: str, prefix: str = EXPORT_NAME, day: date | None = None, sheet_rows: int = SHEET_ROWS) -> None:
+    """Rows as one dated workbook, as many sheets as they need; columns other than numbers and booleans as text."""
+    register(rows.sparkSession)
+    plain = [F.col(c) if kind in ("string", "boolean", "double", "float", "tinyint", "smallint", "int", "bigint") else F.col(c).cast("string") if not kind.startswith(("array", "struct", "map")) else F.to_json(c) for c, kind in rows.dtypes]
+    rows.select(*(v.alias(c) for v, c in zip(plain, rows.columns, strict=True))).write.format("single_xlsx").mode("append").options(prefix=prefix, sheetRows=sheet_rows, **_day(day)).save(folder)
 
 
 def write_json(questions: DataFrame, path: str, metadata: bool = True) -> None:

@@ -1,8 +1,11 @@
 """Golden cases of the engine's operators, and every query against its SQL."""
 
+import datetime
 import re
 import time
 import unicodedata
+import zipfile
+from xml.etree import ElementTree
 
 import duckdb
 import pytest
@@ -13,7 +16,7 @@ from shirabe import queries
 from shirabe.functions import cleaning, compat, detect, scoring
 from shirabe.operators import adaptive, hierarchy, layout, lines, records, segment, stats
 from shirabe.plans.questions import parse_questions
-from shirabe.sources import files, sinks
+from shirabe.sources import files, formats, sinks
 from shirabe.streaming.files import parse_stream, text_files
 
 SF = "/root/testdata/sf0.001"
@@ -354,16 +357,58 @@ def test_metadata_and_manifest(spark, tmp_path):
     assert [r["x"] for r in files.in_order(order).collect()] == ["c", "a", "b"]
 
 
-def test_excel_without_a_writer(spark, tmp_path, monkeypatch):
-    rows = spark.createDataFrame([(1,), (2,)], "x int")
-    with pytest.warns(UserWarning):
-        assert not sinks.write_excel(rows, str(tmp_path / "a.xlsx"))  # no writer is installed here
-    monkeypatch.setitem(__import__("sys").modules, "openpyxl", __import__("types").ModuleType("openpyxl"))
-    with pytest.warns(UserWarning):
-        assert not sinks.write_excel(rows, str(tmp_path / "a.xlsx"), max_rows=1)
-    wrote = []
-    monkeypatch.setattr(__import__("pandas").DataFrame, "to_excel", lambda self, path, index: wrote.append((len(self), path, index)))
-    assert sinks.write_excel(rows, "p") and wrote == [(2, "p", False)]
+def test_planned_files(spark, tmp_path):
+    """Names of any case, sizes and order are settled before a file is opened; partitions are bounded."""
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    for name, content in {"b.PDF": b"two", "a.pdf": b"one", "c.txt": b"no", "deep/d.Pdf": b"four", "e.pdf.exe": b"no"}.items():
+        (folder / name).write_bytes(content)
+    with open(folder / "z.pdf", "wb") as f:
+        f.truncate(101 * 1024 * 1024)  # sparse; were it read, so would be the next, which can't be
+    got = files.scan_files(spark, str(folder)).collect()
+    assert [(r["file_idx"], r["name"], r["size"], bytes(r["content"])) for r in files.in_order(spark.createDataFrame(got)).collect()] == [(0, "a.pdf", 3, b"one"), (1, "b.PDF", 3, b"two"), (2, "d.Pdf", 4, b"four")]
+    read = spark.read.format("document_files")
+    assert read.option("partitionBytes", 4).load(str(folder)).rdd.getNumPartitions() == 3 and read.option("partitionBytes", 7).load(str(folder)).rdd.getNumPartitions() == 2
+    assert {r["name"] for r in read.option("maxFileBytes", 3).load("file://" + str(folder)).collect()} == {"a.pdf", "b.PDF"}
+    reader = formats.FileReader({"path": str(folder)})
+    opened = []
+    reader_fs, path = formats.file_system(str(folder))
+    assert [f[1].rsplit("/", 1)[-1] for p in reader.partitions() for f in p.files] == ["a.pdf", "b.PDF", "d.Pdf"] and not opened and path
+    (tmp_path / "none").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_file_exports(spark, tmp_path):
+    day = datetime.date(2024, 3, 5)
+    rows = spark.range(0, 1000, 1, 7).select(F.concat(F.lit("行"), F.col("id").cast("string")).alias("value"))
+    sinks.write_csv(rows, str(tmp_path / "csv"), ["a"], "x", day)
+    sinks.write_csv(rows.limit(0), str(tmp_path / "csv"), ["a", "b"], "none", day)
+    assert sorted(f.name for f in (tmp_path / "csv").iterdir()) == ["none_2024-03-05.csv", "x_2024-03-05.csv"]
+    assert (tmp_path / "csv" / "x_2024-03-05.csv").read_text(encoding="utf-8") == "\ufeffa\n" + "".join(f"行{i}\n" for i in range(1000))
+    assert (tmp_path / "csv" / "none_2024-03-05.csv").read_text(encoding="utf-8") == "\ufeffa,b\n"
+    bad = rows.select(F.when(F.col("value") == "行999", F.raise_error(F.lit("stop"))).otherwise(F.col("value")).alias("value"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_csv(bad, str(tmp_path / "csv"), ["a"], "bad", day)
+    assert len(list((tmp_path / "csv").iterdir())) == 2
+
+    table = spark.createDataFrame([(1, "a<b>&\n\x01", 1.5, True, datetime.date(2024, 1, 2), [1, 2]), (None, None, None, None, None, None), (3, "  日本 ", float("nan"), False, None, [])], "i int, s string, d double, b boolean, day date, l array<int>").orderBy(F.col("i").asc_nulls_last())
+    sinks.write_excel(table, str(tmp_path / "xlsx"), "x", day)
+    sinks.write_excel(table.limit(0), str(tmp_path / "xlsx"), "none", day)
+    sinks.write_excel(spark.range(0, 25, 1, 3), str(tmp_path / "xlsx"), "many", day, sheet_rows=11)
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+
+    def sheets(name):
+        with zipfile.ZipFile(tmp_path / "xlsx" / f"{name}_2024-03-05.xlsx") as book:
+            assert book.testzip() is None
+            for part in book.namelist():
+                ElementTree.fromstring(book.read(part))
+            own = sorted((n for n in book.namelist() if "/sheet" in n), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+            assert len(ElementTree.fromstring(book.read("xl/workbook.xml")).findall(".//m:sheet", ns)) == len(own)
+            return [[["".join(c.itertext()) for c in row.findall("m:c", ns)] for row in ElementTree.fromstring(book.read(n)).findall(".//m:row", ns)] for n in own]
+
+    assert sheets("x") == [[["i", "s", "d", "b", "day", "l"], ["1", "a<b>&\n_x0001_", "1.5", "1", "2024-01-02", "[1,2]"], ["3", "  日本 ", "nan", "0", "", "[]"], ["", "", "", "", "", ""]]]
+    assert sheets("none") == [[["i", "s", "d", "b", "day", "l"]]]
+    assert [[r[0] for r in s] for s in sheets("many")] == [["id", *map(str, range(10))], ["id", *map(str, range(10, 20))], ["id", *map(str, range(20, 25))]]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -374,19 +419,19 @@ def test_sources_and_sinks(spark, tmp_path):
 
     def reader(content):
         if content == b"broken":
-            raise ValueError("not a document")
+            raise ValueError("not a document" * 100)
         return [(i, t, None) for i, t in enumerate(content.decode().split("|"), 1)]
 
     pages = files.read_pages(files.scan_files(spark, str(tmp_path / "in")), reader)
     got = {r["doc_id"].rsplit("/", 1)[-1]: r for r in files.file_results(pages).collect()}
     assert (got["a.pdf"]["success"], got["a.pdf"]["text"], got["a.pdf"]["page_count"]) == (True, "page one\npage two", 2)
-    assert (got["b.pdf"]["success"], got["b.pdf"]["error"]) == (False, "not a document")
+    assert (got["b.pdf"]["success"], got["b.pdf"]["error"]) == (False, "not a document" * 100) and got["a.pdf"]["processing_time"] > 0
     assert {r["doc_id"][-5:]: r["text"] for r in files.assemble(pages, max_pages=1).collect()} == {"a.pdf": "page one", "b.pdf": ""}
 
     texts = spark.createDataFrame([(1, 'R5_"q",x.pdf', QUIZ)], "doc_id int, file_name string, text string")
     rows = parse_questions(texts).withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
-    sinks.write_csv(sinks.csv_rows(rows.orderBy("id")).coalesce(1), str(tmp_path / "csv"))
-    raw = next((tmp_path / "csv").glob("part-*")).read_text(encoding="utf-8")
+    sinks.write_csv(sinks.csv_rows(rows.orderBy("id")), str(tmp_path / "csv"))
+    raw = next((tmp_path / "csv").glob("*.csv")).read_text(encoding="utf-8")
     assert raw.startswith("﻿" + ",".join(K.CSV_HEADERS) + "\n1,") and '"R5_""q"",x.pdf",unknown,62.62' in raw and "2024-01-02 03:04:05" in raw
     sinks.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
