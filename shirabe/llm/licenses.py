@@ -40,6 +40,8 @@ from .words import gram_hashes, split_words
 
 GRAM, SHORT, BAND = 3, 15, 8
 MIN_COVERAGE = 0.8
+#: From this length on counting a window's words costs less than aligning it.
+LONG = 64
 _EDGE = "!\"#$%&'()*,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -182,6 +184,13 @@ def template_matches(template: np.ndarray, holds: np.ndarray, words: np.ndarray,
     there = np.concatenate([[0], np.cumsum(holds[words])])
     may = there[high] - there[low] >= least
     shifts, low, high = shifts[may], low[may], high[may]
+    if n >= LONG and len(shifts):
+        # no more words can match in order than the window has of each
+        need = np.bincount(template.astype(np.int64), minlength=len(holds))
+        may = np.array([np.minimum(np.bincount(words[a:z].astype(np.int64), minlength=len(holds)), need).sum() >= least for a, z in zip(low.tolist(), high.tolist(), strict=True)])
+        shifts, low, high = shifts[may], low[may], high[may]
+    if not len(shifts):
+        return found
     which, matched, first, past = align(template, words, shifts, least, low, high)
     heap = list(zip((-matched).tolist(), (past - first).tolist(), first.tolist(), past.tolist(), shifts[which].tolist(), low[which].tolist(), high[which].tolist(), strict=True))
     heapq.heapify(heap)
