@@ -28,6 +28,11 @@ def append_lines(first: Column, lines: Column, open_ends: tuple[str, ...] = ("
     return C.let(F.concat(F.array(first), lines), joined)
 
 
+def line_kinds(line: Column) -> list[Column]:
+    """What a line may be for the fallback parser: a number (q), an answer (a), an explanation (e), or text unless ignorable."""
+    return [question_number(line).alias("q"), answer(line).alias("a"), explanation(line).alias("e"), is_ignorable(line).alias("ignorable")]
+
+
 def fallback_questions(lines: DataFrame, min_confidence: float = 0) -> DataFrame:
     """Raw records; every line is, in this order, a number, the record's first answer, an explanation or text."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -45,13 +50,18 @@ def fallback_questions(lines: DataFrame, min_confidence: float = 0) -> DataFrame
         F.count("e").alias("n_e"),
         F.array_sort(F.collect_list(F.when(is_text, F.struct("line_no", "line")))).alias("parts"),
     )
+    return finished(made.withColumns({"e": F.col("e.e"), "parts": F.transform("parts", lambda p: p["line"])}), min_confidence)
+
+
+def finished(made: DataFrame, min_confidence: float = 0) -> DataFrame:
+    """Raw records from what lines gave them: doc_id, id, q(number, text, pattern, line_index), answer, e, n_e, parts."""
     out = made.select(
         "doc_id",
         F.col("id").cast("int"),
         F.col("q.number").alias("question_number"),
-        append_lines(F.col("q.text"), F.transform("parts", lambda p: p["line"])).alias("question"),
+        append_lines(F.col("q.text"), F.col("parts")).alias("question"),
         "answer",
-        F.coalesce("e.e", F.lit("")).alias("explanation"),
+        F.coalesce("e", F.lit("")).alias("explanation"),
         (70.0 + F.when(F.col("answer").isNotNull(), 20).otherwise(0) + F.col("n_e") * 10).alias("confidence"),
         F.array().cast(NO_CHOICES).alias("choices"),
         F.col("q.pattern").alias("pattern"),

@@ -11,7 +11,7 @@ from . import adapters as A
 from . import constants as K
 from .functions import cleaning, detect, scoring
 from .functions import compat as C
-from .operators import adaptive, hierarchy, layout, lines, records, segment, stats
+from .operators import adaptive, hierarchy, layout, lines, records, segment, similar, stats
 from .plans.questions import parse_questions, raw_questions
 from .sources import files as files_
 from .sources.sinks import csv_rows, hierarchy_csv_rows
@@ -185,6 +185,15 @@ def similar_names(spark, sf_dir):
     return rows.where(near >= 0.5).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(near, 6).alias("similarity"))
 
 
+@query("""WITH n AS (SELECT p_name || ' ' || p_type AS s, min(p_partkey) AS class_id, count(*) AS c FROM part GROUP BY s),
+l AS (SELECT a.s AS s, sum(b.c) AS c FROM n a JOIN n b ON a.s <> b.s AND 100 * levenshtein(a.s, b.s) <= 20 * greatest(length(a.s), length(b.s)) GROUP BY a.s)
+SELECT p_partkey, class_id, (n.c - 1 + coalesce(l.c, 0))::BIGINT AS n_links FROM part JOIN n ON p_name || ' ' || p_type = n.s LEFT JOIN l USING (s)""")
+def near_names(spark, sf_dir):
+    """Names and types alike to 80 percent, without any block: one row a part."""
+    rows = A.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return similar.links(rows, "p_partkey", "name", 80)
+
+
 # files and pages
 
 _PAGE_FILES = "t AS (SELECT page_id, 'page' || page_id || ['.pdf', '.PDF', '.txt', '', '.pdf.exe'][(page_id % 5)::INT + 1] AS name, [NULL, 'application/pdf', 'text/plain'][(page_id % 3)::INT + 1] AS mime, (strlen(html) * 10000 * (page_id % 7))::BIGINT AS size FROM pages)"
@@ -534,10 +543,10 @@ def _fallback_texts(spark, sf_dir):
     body = F.concat(F.lit(A.QUIZ_HEAD), "p_name", F.lit(A.QUIZ_TAIL))
     n = F.col("p_partkey") % 999 + 1
     line = F.array(F.concat(F.lit("問"), n.cast("string"), F.lit(" "), body), F.concat(F.lit("答え："), F.when(F.col("p_size") % 2 == 1, "○").otherwise("×")), F.concat(F.lit("解説："), "p_type", F.lit("の説明である")), F.concat(F.lit("補足の本文 "), "p_name"))
-    return p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey"), F.posexplode(line).alias("i", "line")).select("doc_id", (F.col("p_partkey") * 4 + F.col("i")).alias("line_no"), "line")
+    return p.select(A.quiz_file().alias("doc_id"), F.col("p_partkey"), F.posexplode(line).alias("i", "line")).select("doc_id", (F.col("p_partkey") * 4 + F.col("i")).alias("line_no"), "line")
 
 
-@query(f"""SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS id, (p_partkey % 999 + 1)::INT AS question_number, {_BODY} || '補足の本文 ' || p_name AS question,
+@query(f"""SELECT {_FILE} AS doc_id, (row_number() OVER (PARTITION BY {_FILE} ORDER BY p_partkey))::INT AS id, (p_partkey % 999 + 1)::INT AS question_number, '{A.QUIZ_HEAD}' || p_name || '{A.QUIZ_TAIL}' || '補足の本文 ' || p_name AS question,
 CASE WHEN p_size % 2 = 1 THEN '○' ELSE '×' END AS answer, p_type || 'の説明である' AS explanation, 100.0::DOUBLE AS confidence, '標準問題形式' AS pattern FROM part""")
 def fallback_records(spark, sf_dir):
     rows = _fallback_texts(spark, sf_dir).withColumn("line", F.regexp_replace("line", "^補足の本文", "本文の補足"))
@@ -545,15 +554,15 @@ def fallback_records(spark, sf_dir):
     return out.select("doc_id", "id", "question_number", F.replace("question", F.lit("本文の補足"), F.lit("補足の本文")).alias("question"), "answer", "explanation", "confidence", "pattern")
 
 
-@query("""WITH l AS (SELECT p_brand AS doc_id, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_name FROM part)
-SELECT doc_id, ((k - 1) % 900 + 1)::INT AS question_number, p_name || ' of ' || doc_id || ' ' || 'more about ' || p_name AS question, 30.0::DOUBLE AS confidence FROM l""")
+@query(f"""WITH l AS (SELECT {_FILE} AS doc_id, p_brand, p_partkey, row_number() OVER (PARTITION BY {_FILE} ORDER BY p_partkey) AS k, p_name FROM part)
+SELECT doc_id, ((k - 1) % 900 + 1)::INT AS question_number, p_name || ' of ' || p_brand || ' ' || 'more about ' || p_name AS question, 30.0::DOUBLE AS confidence FROM l""")
 def emergency_records(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = A.table(spark, sf_dir, "part")
-    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    p = A.table(spark, sf_dir, "part").withColumn("doc_id", A.quiz_file())
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("p_partkey"))
     line = F.array(F.concat(((F.col("k") - 1) % 900 + 1).cast("string"), F.lit(") "), "p_name", F.lit(" of "), "p_brand"), F.concat(F.lit("more about "), "p_name"), F.lit("答え：×"))
-    rows = p.withColumn("k", k).select(F.col("p_brand").alias("doc_id"), "k", F.posexplode(line).alias("i", "line"))
+    rows = p.withColumn("k", k).select("doc_id", "k", F.posexplode(line).alias("i", "line"))
     out = segment.emergency_questions(rows.select("doc_id", (F.col("k") * 3 + F.col("i")).alias("line_no"), "line"))
     return out.select("doc_id", "question_number", "question", "confidence")
 

@@ -1,6 +1,7 @@
 """Golden cases of the engine's operators, and every query against its SQL."""
 
 import datetime
+import random
 import re
 import time
 import unicodedata
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from shirabe import constants as K
 from shirabe import queries
 from shirabe.functions import cleaning, compat, detect, scoring
-from shirabe.operators import adaptive, hierarchy, layout, lines, records, segment, stats
+from shirabe.operators import adaptive, hierarchy, layout, lines, records, segment, similar, stats
 from shirabe.plans.questions import parse_questions
 from shirabe.sources import files, formats, sinks
+from shirabe.streaming import lines as stream_lines
 from shirabe.streaming.files import parse_stream, text_files
 
 SF = "/root/testdata/sf0.001"
@@ -357,6 +359,44 @@ def test_metadata_and_manifest(spark, tmp_path):
     assert [r["x"] for r in files.in_order(order).collect()] == ["c", "a", "b"]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("percent", [51, 67, 80, 95, 100])
+def test_alike_texts_without_blocks(spark, percent):
+    """The pairs of all pairs, found among few of them."""
+    rng = random.Random(percent)
+    texts = {"a", "b", "ab", "日本語", "日本誤", "x" * 30, "x" * 29 + "y"}
+    while len(texts) < 240:
+        base = "".join(rng.choice("abcdefghij") for _ in range(rng.choice([6, 12, 25, 40])))
+        texts.add(base)
+        for _ in range(4):
+            word = list(base)
+            for _ in range(rng.randint(1, 6)):
+                at = rng.randrange(len(word) + 1)
+                word[at : at + rng.randint(0, 1)] = rng.choice([[], ["k"], ["a", "b"]])
+            texts.add("".join(word))
+    texts = sorted(texts - {""})
+    limit = lambda a, b: (100 - percent) * max(len(a), len(b)) // 100
+    want = {(a, b): edit_distance(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if abs(len(a) - len(b)) <= limit(a, b)}
+    want = {frozenset(k): v for k, v in want.items() if v <= limit(*k)}
+    table = spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string")
+    got = similar.alike(table, percent).collect()
+    assert {frozenset((r["a"], r["b"])): r["distance"] for r in got} == want and len(got) == len(want)
+    if percent >= 80:
+        assert similar.candidates(table, percent).count() < 0.05 * len(texts) ** 2 / 2
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[0], None, ""])], "k int, t string")
+    counts = {r["k"]: (r["class_id"], r["n_links"]) for r in similar.links(rows, "k", "t", percent).collect()}
+    near = sum(texts[0] in p for p in want)
+    assert counts[0] == counts[len(texts)] == (0, near + 2) and counts[len(texts) + 2] == (None, 0) and counts[len(texts) + 3] == (len(texts) + 3, 0)
+
+
 def test_planned_files(spark, tmp_path):
     """Names of any case, sizes and order are settled before a file is opened; partitions are bounded."""
     folder = tmp_path / "in"
@@ -451,3 +491,37 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         parse_stream(text_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+def dealt(spark, lines_, folder, rng, ordered):
+    """Lines in files, one a batch: (doc_id, line_no, line) with the last of each document marked."""
+    last = {d: max(n for e, n, _ in lines_ if e == d) for d, _, _ in lines_}
+    rows = sorted(((n, d, x) for d, n, x in lines_), key=lambda r: r[0] if ordered else 0)
+    if not ordered:
+        rng.shuffle(rows)
+    folder.mkdir()
+    cuts = sorted(rng.sample(range(1, len(rows)), 3))
+    for i, (a, z) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        part = rows[a:z] + rows[a : min(a + 2, z - 1)] * ordered  # some come twice
+        spark.createDataFrame([(d, n, x, n == last[d]) for n, d, x in part], "doc_id int, line_no int, line string, last boolean").coalesce(1).write.mode("append").json(str(folder))
+        time.sleep(0.02)
+    return spark.readStream.schema("doc_id int, line_no int, line string, last boolean").option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_line_parsers_over_streams(spark, tmp_path, ordered):
+    """Records of files whose lines come in several batches are those of whole files, and the state goes with them."""
+    stream_lines.use_state_store(spark)
+    rng = random.Random(5 + ordered)
+    kinds = {
+        "fallback": (segment.fallback_questions, stream_lines.stream_fallback, ["問{i} 本文その{i}は何であるか。", "答え：〇", "答え：×", "解説：説明文{i}です", "続きの文{i}", "終わる{i}。", "ab", "12"]),
+        "hierarchy": (hierarchy.parse_lines, stream_lines.stream_hierarchy, ["第{i}章：総則{i}", "Section {i} 免許", "●小さな項目{i}", "{i} 免許は更新する。", "{i}．二つ目の問い", "R5", "令和3年の問題", "〇", "正解：×", "【解説】期間は{i}である", "【解説】", "解説", "続きの文{i}", "終わる{i}。", "", " ", "ab"]),
+    }
+    for name, (whole, stream, shapes) in kinds.items():
+        rows = [(d, n, rng.choice(shapes).format(i=n % 7 + 1)) for d in range(12) for n in range(rng.choice([1, 5, 40]))]
+        want = sorted(map(str, whole(spark.createDataFrame(rows, "doc_id int, line_no int, line string")).collect()))
+        out = stream(dealt(spark, rows, tmp_path / name, rng, ordered))
+        run = out.writeStream.format("memory").queryName(f"{name}_{ordered}").outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start()
+        run.awaitTermination(240)
+        assert run.exception() is None and len(run.recentProgress) >= 4
+        assert sorted(map(str, spark.table(f"{name}_{ordered}").select(whole(spark.createDataFrame(rows[:1], "doc_id int, line_no int, line string")).columns).collect())) == want and len(want) > 10
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
