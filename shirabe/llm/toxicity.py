@@ -33,6 +33,8 @@ from .words import MULTIPLIER
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 FEATURES, BITS = 512, 21
 SPANS = (4, 5, 6)
+#: Bytes of text whose n-grams are held at once; they take some 40 times as much.
+GRAM_SLICE = 256 << 10
 SUPPORT, RATIO, DENSITY = 0.02, 4.0, 1000.0
 
 
@@ -126,7 +128,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     marked = own.join(F.broadcast(toxic.withColumn("p", F.lit(True))), "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"), (chance < max_unlabelled / max(1, total)).alias("u"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_bytes=GRAM_SLICE):
             found = [np.unique(gram_buckets(t), return_counts=True) for t in part.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[i] for f in found]).astype(np.int32))) for i in (0, 1)]
