@@ -171,10 +171,19 @@ class Bpe:
         out: list[int] = []
         at = 0
         for m in self.split_special.finditer(text) if self.split_special else ():
-            out += self._plain(text[at : m.start()])
+            out += self._halved(text[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return np.array(out + self._plain(text[at:]), np.uint32)
+        return np.array(out + self._halved(text[at:]), np.uint32)
+
+    def _halved(self, text: str) -> list[int]:
+        """Text between special tokens' strings, by tree concatenation if it is long."""
+        if len(text) <= LEAF_CHARS:
+            return self._plain(text)
+        parts = [(s, np.array(self._plain(s), np.uint32)) for s in self.halves(text)]
+        while len(parts) > 1:
+            parts = [self.join_texts(parts[k], parts[k + 1]) for k in range(0, len(parts), 2)]
+        return parts[0][1].tolist()
 
     def _plain(self, text: str) -> list[int]:
         """Text without special tokens' strings."""
