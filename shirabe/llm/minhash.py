@@ -198,7 +198,12 @@ def _near_duplicates(own: DataFrame, words: int, percent: int, bands: int, rows:
     members = cut(joined.select("node").distinct())
     hint = F.broadcast if members.count() <= BROADCAST_IDS else lambda df: df.hint("shuffle_hash")
     candidates = own.join(hint(members), own["doc_id"] == members["node"]).select("node", "text")
-    sets = cut(shingle_arrays(candidates, words).distinct())
+    sets = cut(shingle_arrays(candidates, words))
+    # rows of one doc_id give equal sets each time; only theirs are shuffled to leave one
+    repeated = cut(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if times := repeated.count():
+        repeated = F.broadcast(repeated) if times <= BROADCAST_IDS else repeated.hint("shuffle_hash")
+        sets = cut(sets.join(repeated, "node", "left_anti").unionByName(sets.join(repeated, "node", "left_semi").distinct()))
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
