@@ -267,7 +267,7 @@ def test_texts_join_from_halves(tokenizer):
     kinds = ["a", "b", " ", "  ", "\n", "'s", "é", "1", "!", " the", "😀", "don't", "日本", "\t", "x" * 30, " ", "_", "--"]
     mixed = ["".join(rng.choice(kinds) for _ in range(rng.randint(3000, 9000))) for _ in range(25)]
     plain = [words(rng, 6000) for _ in range(3)]
-    odd = ["a" * 20000, "日本語" * 5000, " " * 10000, "'s" * 6000, "\n" * 9000, "ab1!" * 4000, "é" * 9000, "x<|endoftext|>" * 900, "12" * 5000 + " x" * 3000]
+    odd = ["a" * 20000, "日本語" * 5000, " " * 10000, "'s" * 6000, "\n" * 9000, "ab1!" * 4000, "é" * 9000, "x<|endoftext|>" * 900, words(rng, 3000) + "<|endoftext|>" + " " * 5000 + "é" * 6000 + "<|endoftext|>" + "ab " * 4000,  "12" * 5000 + " x" * 3000]
     texts = [*mixed[:10], "", "short", *plain, *odd, *mixed[10:], "last"]
     ids, ends = model.encode_column(bpe.pa.array(texts))
     assert [ids[a:z].tolist() for a, z in itertools.pairwise(ends)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -535,6 +535,10 @@ def test_language_id(spark):
         elif g:
             assert got[i]["lang_pred"] == g
     assert got[1003]["lang_pred"] == "aa"
+    # very long and repeated rows are judged each, by the whole text
+    long = spark.createDataFrame([(2000, "abc abd " * 200_000, None, 1.0), (1003, "abcde edcba", "zz", 1.0), (1003, "abcde edcba", None, 1.0)], docs.schema)
+    more = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(long, langid.fit(docs)).collect())
+    assert more[0] == more[1] == (1003, "aa", got[1003]["score"]) and more[2][:2] == (2000, "aa")
     # labels of held-out rows change nothing
     other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, "zz").otherwise(F.col("lang")))
     again = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(other)).collect()}
@@ -611,6 +615,12 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values()) and len(got) == len(truth) + 3
     wrong = [i for i, t in truth.items() if got[i]["predicted"] != t]
     assert len(wrong) <= 0.02 * len(truth)
+    # very long and repeated rows: a word among very many does not make a text toxic, many do
+    model = toxicity.fit(docs, labels)
+    fine = words(random.Random(8), 4000)
+    long = [(1, "zzidiot qqscum " * 100_000), (2, fine + " zzidiot " + fine), (3, "zzidiot wretchzz"), (3, "zzidiot wretchzz")]
+    more = sorted((r["doc_id"], r["predicted"]) for r in toxicity.score(frame(spark, long), model).collect())
+    assert more == [(1, 1), (2, 0), (3, 1), (3, 1)]
     none = toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0")))
     assert {r["score"] for r in none.collect()} == {0.0}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
@@ -661,7 +671,7 @@ def test_nnpu_risk_corrects_for_the_prior():
         ("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>日本</td><td>c</td></tr></table>", "a  b\n   日本  c"),
         ("<pre>  keep\n   this </pre>after", "  keep\n   this\n\nafter"),
         ("<h1>Head</h1>text<!-- no --><blockquote>q</blockquote>", "Head\n\ntext\n\n> q"),
-        ("<dl><dt>t<dd>d</dl>1 < 2 <notatag", "t\n    d\n\n1 < 2 <notatag"),
+        ("<dl><dt>t<dd>d</dl>1 < 2 <notatag", "t\n    d\n\n1 < 2"),
         ("<a href='x>y'>in</a><input type=hidden value=v><img alt=pic>", "inpic"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<p class=\"a>one<p>two", "one\n\ntwo"),
@@ -723,6 +733,31 @@ def test_html_rules(html, text):
     assert got == text if text is not None else got.split() == ["a"] * 12 + ["end"]
 
 
+def test_html_counters():
+    assert [htmltext.counter(n, "a") for n in (1, 26, 27, 52, 53, 702, 703, 0, -2)] == ["a", "z", "aa", "az", "ba", "zz", "aaa", "0", "-2"]
+    assert [htmltext.counter(n, "I") for n in (1, 4, 9, 14, 40, 1994, 3999, 4000)] == ["I", "IV", "IX", "XIV", "XL", "MCMXCIV", "MMMCMXCIX", "4000"]
+    assert htmltext.html_text("<ol type=a><li>x<li>y<li type=i value=4>z</ol><ol type=A start=28><li>q</ol>") == "a. x\nb. y\niv. z\n\nAB. q"
+
+
+@pytest.mark.parametrize(("html", "text"), [('abc <a href="x', "abc"), ("abc </p", "abc"), ("abc <!-", "abc"), ("a < b", "a < b"), ("1 <2", "1 <2"), ("x <b>y</b> <i", "x y"), ("a < b <c d='>", "a < b")])
+def test_html_tags_cut_off(html, text):
+    assert htmltext.html_text(html) == text
+
+
+def test_html_without_limits():
+    """The exact way: wide tables are aligned, tables within tables too, lists nest without end."""
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    wide = "<table>" + row("a" * 500, "b") + row("c", "d") + "</table>"
+    assert htmltext.html_text(wide, htmltext.EXACT) == "a" * 500 + "  b\n" + "c" + " " * 501 + "d"
+    assert htmltext.html_text(wide) == "a" * 500 + "  b\nc  d"
+    deep = "".join(f"<ul><li>{i}" for i in range(60))
+    assert htmltext.html_text(deep, htmltext.EXACT).split("\n")[-1] == " " * 118 + "- 59" and htmltext.html_text(deep).split("\n")[-1] == " " * 80 + "- 59"
+    nested = "<table>" + row("x", "yy") + row("zzz", "w") + "</table>"
+    for _ in range(10):
+        nested = "<table>" + row(nested, "e") + "</table>"
+    assert htmltext.html_text(nested, htmltext.EXACT) == "x    yy  " + "e  " * 9 + "e\nzzz  w"
+
+
 def test_html_deep_pages_keep_every_word():
     for piece in ("<div>x ", "<ul><li>x ", "<blockquote>x ", "<table><tr><td>x<td>", "<b>x ", "<dl><dd>x ", "<table><tr><td rowspan=9 colspan=3>x "):
         got = htmltext.html_text(piece * 3000)
@@ -762,7 +797,7 @@ def test_html_against_another_parser():
         other = Words()
         other.feed(page or "")
         other.close()
-        plain = lambda ws: sorted(c for w in ws if not re.fullmatch(r"-|>|\d+\.", w) for c in w)
+        plain = lambda ws: "".join(w for w in ws if not re.fullmatch(r"-|>|\d+\.", w))
         assert plain(htmltext.html_text(page).split()) == plain(other.words)
 
 
@@ -777,6 +812,8 @@ def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<title>A\n b</title>x"), (None, "u", None), (1, "u", "<p>")], "page_id long, url string, html string")
     assert sorted(((str(r["page_id"]), r["title"], r["text"]) for r in htmltext.extract(pages).collect()), key=str) == sorted([("1", "A b", "x"), ("None", None, ""), ("1", None, "")], key=str)
     assert htmltext.extract(pages.limit(0)).count() == 0
+    clash = pages.withColumns({"title": F.lit(1), "text": F.lit("other"), "lines": F.lit(2.0)})
+    assert sorted(map(str, htmltext.extract(clash).collect())) == sorted(map(str, htmltext.extract(pages).collect()))
 
 
 def test_licenses(spark):
