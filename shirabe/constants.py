@@ -93,6 +93,10 @@ LEADING_EXPLANATION = r"^(?:解説|説明|補足|理由|根拠)[:：]?\s*"
 LEADING_NOTE = r"^[　\s]*[※注意]"
 RUN = r"(.)\1{4,}"
 JAPANESE_LETTERS = "[あ-んア-ヶ一-龠]"
+#: Lines that say nothing: digits, glyphs, headers and footers alone, or fewer characters than this; the hierarchy parser's own list.
+IGNORABLE_BELOW = 3
+IGNORABLE = [r"^\d+$", r"^[・●○▲△□■◆\-=]+$", r"^(ページ|Page|\d+\/\d+|第\d+章)"]
+HIER_IGNORABLE = [r"^\d+$", r"^[・●○▲△□■◆\-=\s]+$", r"^(ページ|Page|\d+/\d+|第\d+章)", "^表[①②③④⑤]"]
 #: Number, text and mark of a printed record.
 ANCHORED = r"(\d{5})([\s\S]*?)([×〇○])"
 CSV_HEADERS = ["問題ID", "セクション", "年度", "問題番号", "問題文", "答え", "解説", "ソースファイル", "抽出方法", "信頼度", "作成日時"]

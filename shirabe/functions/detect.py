@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import ANSWER_PATTERNS, CHOICE_PATTERNS, CIRCLED, DEFAULT_YEAR, EXPLANATION_PATTERNS, HIER_ANSWER_PATTERNS, HIER_QUESTION_PATTERNS, HIER_YEAR_PATTERNS, HIERARCHY_PATTERNS, KATAKANA_NUMBERS, MAX_NUMBER, NEGATIVE_KEYWORDS, OTHER_SECTION, POSITIVE_KEYWORDS, QUESTION_PATTERNS, SECTIONS, SIMPLE_NUMBER_PATTERNS
+from ..constants import ANSWER_PATTERNS, CHOICE_PATTERNS, CIRCLED, DEFAULT_YEAR, EXPLANATION_PATTERNS, HIER_ANSWER_PATTERNS, HIER_IGNORABLE, HIER_QUESTION_PATTERNS, HIER_YEAR_PATTERNS, HIERARCHY_PATTERNS, IGNORABLE, IGNORABLE_BELOW, KATAKANA_NUMBERS, MAX_NUMBER, NEGATIVE_KEYWORDS, OTHER_SECTION, POSITIVE_KEYWORDS, QUESTION_PATTERNS, SECTIONS, SIMPLE_NUMBER_PATTERNS
 from . import compat as C
 
 _JAPANESE = r"[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FAF]"
@@ -15,13 +15,16 @@ _JAPANESE = r"[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FAF]"
 
 def question_number(line: Column) -> Column:
     """struct(number, text, pattern) of the first pattern that fits the line's start, else null."""
-    options = []
-    for name, pattern, flags in [*((n, "^" + p.removeprefix("^"), "i") for n, _, p, _ in QUESTION_PATTERNS), *(("simple_number", p, "") for p in SIMPLE_NUMBER_PATTERNS)]:
-        java = C.to_java(pattern, flags)
-        n = C.number(F.nullif(F.regexp_extract(line, java, 1), F.lit("")))
-        found = F.struct(n.alias("number"), C.trim(F.regexp_extract(line, java, 2)).alias("text"), F.lit(name).alias("pattern"))
-        options.append(F.when(n.between(1, MAX_NUMBER), found))
-    return F.coalesce(*options)
+    patterns = [*((n, C.to_java("^" + p.removeprefix("^"), "i")) for n, _, p, _ in QUESTION_PATTERNS), *(("simple_number", C.to_java(p)) for p in SIMPLE_NUMBER_PATTERNS)]
+
+    def options(x: Column) -> Column:
+        found = lambda name, java: C.let(
+            C.number(F.nullif(F.regexp_extract(x, java, 1), F.lit(""))),
+            lambda n: F.when(n.between(1, MAX_NUMBER), F.struct(n.alias("number"), C.trim(F.regexp_extract(x, java, 2)).alias("text"), F.lit(name).alias("pattern"))),
+        )
+        return F.coalesce(*(found(*p) for p in patterns))
+
+    return C.let(line, options)
 
 
 def answer(line: Column) -> Column:
@@ -108,8 +111,8 @@ def is_valid_relaxed(number: Column, text: Column, confidence: Column, min_confi
 def is_ignorable(line: Column, plain: bool = False) -> Column:
     """Too short, digits or glyphs alone, headers and footers; plain: the hierarchy parser's rules."""
     if plain:
-        return (F.length(line) < 3) | line.rlike(r"(?U)^\d+$") | line.rlike(r"(?U)^[・●○▲△□■◆\-=\s]+$") | line.rlike(r"(?U)^(ページ|Page|\d+/\d+|第\d+章)") | line.rlike("^表[①②③④⑤]")
-    return (C.length(line) < 3) | C.matches(line, r"^\d+$") | C.matches(line, r"^[・●○▲△□■◆\-=]+$") | C.matches(line, r"^(ページ|Page|\d+\/\d+|第\d+章)")
+        return reduce(lambda a, p: a | line.rlike("(?U)" + p), HIER_IGNORABLE, F.length(line) < IGNORABLE_BELOW)
+    return reduce(lambda a, p: a | C.matches(line, p), IGNORABLE, C.length(line) < IGNORABLE_BELOW)
 
 
 def section_from_file(name: Column) -> Column:

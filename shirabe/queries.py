@@ -350,6 +350,20 @@ def question_numbers(spark, sf_dir):
     return _quiz_lines(spark, sf_dir).select(detect.question_number(F.col("line")).alias("q")).select("q.*")
 
 
+#: How a line may give its question's number, and the pattern that finds it.
+_NUMBER_FORMS = [("問", " ", "標準問題形式"), ("第", "問 ", "第N問形式"), ("", ". ", "番号のみ形式"), ("(", ") ", "括弧番号形式"), ("【", "】", "四角括弧形式"), ("Q", " ", "Q番号形式"), ("", "。", "宅建形式1"), ("", "：", "宅建形式2"), ("12", "", "5桁問題番号"), ("[", "] ", "simple_number"), ("no ", " ", None)]
+_NTH = f"(p_partkey % {len(_NUMBER_FORMS)})::INT + 1"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, {_NTH} AS k, 100 + p_partkey % 900 AS n, p_name || ' of ' || p_type AS body, [{', '.join(_literal(p) for _, _, p in _NUMBER_FORMS)}][{_NTH}] AS pattern FROM part)
+SELECT p_partkey, CASE WHEN pattern = '5桁問題番号' THEN ('12' || n)::INT WHEN pattern IS NOT NULL THEN n::INT END AS number, CASE WHEN pattern IS NOT NULL THEN body END AS text, pattern FROM f""")
+def question_forms(spark, sf_dir):
+    """Numbers in every form that a line may give them in, and none."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(f[i]) for f in _NUMBER_FORMS)), (F.col("p_partkey") % len(_NUMBER_FORMS) + 1).cast("int"))
+    line = F.concat(pick(0), (F.col("p_partkey") % 900 + 100).cast("string"), pick(1), "p_name", F.lit(" of "), "p_type")
+    return A.table(spark, sf_dir, "part").select("p_partkey", detect.question_number(line).alias("q")).select("p_partkey", "q.number", "q.text", "q.pattern")
+
+
 _MARKS, _MARKS_SQL = _spread(["答え：〇", "解答 ○", "×", " ○ ", "正解:③", "選択肢2が正解である", "文中に○がある", "なし", "A:×", "ANSWER ○", "答 ア", "正しい記述は〇である", "解説：理由はこれ", "ポイント: 大事", "解説：", "根拠 民法"])
 
 
