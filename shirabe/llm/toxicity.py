@@ -18,6 +18,7 @@ null doc_id are scored and never learned from; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,17 @@ def gram_buckets(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def pack_grams(buckets: np.ndarray) -> bytes:
+    """A text's different buckets and how often each occurs, about as small as the text."""
+    here, counts = np.unique(buckets, return_counts=True)
+    return zlib.compress(np.concatenate([np.diff(here, prepend=0), counts]).astype("<u4").tobytes(), 1)
+
+
+def unpack_grams(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    return np.cumsum(both[0].astype(np.int64)), both[1].astype(np.int64)
+
+
 def density(counts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """Values of features that stand counts times among a text's n n-grams."""
     return np.log1p(DENSITY * counts / np.maximum(n, 1))
@@ -129,22 +141,19 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, max_bytes=GRAM_SLICE):
-            found = [np.unique(gram_buckets(t), return_counts=True) for t in part.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[i] for f in found]).astype(np.int32))) for i in (0, 1)]
-            yield pa.record_batch([part.column("p"), part.column("u"), *lists], names=["p", "u", "buckets", "counts"])
+            packed = [pack_grams(gram_buckets(t)) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("p"), part.column("u"), pa.array(packed, pa.binary())], names=["p", "u", "grams"])
 
     # every sampled text is read and hashed once
-    sample = cut(marked.where("p or u").mapInArrow(grams, "p boolean, u boolean, buckets array<int>, counts array<int>"))
+    sample = cut(marked.where("p or u").mapInArrow(grams, "p boolean, u boolean, grams binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
         for part in batches:
-            lists = part.column("buckets")
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            for row, mark in enumerate(("p", "u")):
-                np.add.at(sums[row], flat[np.repeat(part.column(mark).to_numpy(zero_copy_only=False), size)], 1)
+            for packed, p, u in zip(*(part.column(c) for c in ("grams", "p", "u")), strict=True):
+                here, _ = unpack_grams(packed.as_py())
+                sums[0, here] += p.as_py()
+                sums[1, here] += u.as_py()
         some = np.flatnonzero(sums.any(0))
         yield pa.record_batch([pa.array(some), pa.array(sums[0, some].astype(np.int64)), pa.array(sums[1, some].astype(np.int64))], names=["bucket", "np", "nu"])
 
@@ -159,15 +168,13 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            lists = [part.column(c) for c in ("buckets", "counts")]
-            ends = lists[0].offsets.to_numpy()
-            flat, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-            ends = ends - ends[0]
-            here, who = slot[flat], np.repeat(np.arange(part.num_rows), np.diff(ends))
-            known = here >= 0
-            values = density(counts[known], np.bincount(who, counts, part.num_rows)[who[known]])
-            stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who[known], minlength=part.num_rows))]).astype(np.int32))
-            yield pa.record_batch([part.column("p"), part.column("u"), pa.ListArray.from_arrays(stops, pa.array(here[known])), pa.ListArray.from_arrays(stops, pa.array(values.astype(np.float32)))], names=["p", "u", "slots", "values"])
+            slots, values = [], []
+            for packed in part.column("grams"):
+                here, counts = unpack_grams(packed.as_py())
+                own = slot[here]
+                slots.append(own[own >= 0].tolist())
+                values.append(density(counts[own >= 0], int(counts.sum())).tolist())
+            yield pa.record_batch([part.column("p"), part.column("u"), pa.array(slots, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], names=["p", "u", "slots", "values"])
 
     # a bounded sample's known features
     taken = sample.mapInArrow(rows, "p boolean, u boolean, slots array<short>, values array<float>").toArrow()

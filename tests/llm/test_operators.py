@@ -626,6 +626,13 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_packed_grams():
+    for text in ("", "a", "some words and words again", "日本語 text " * 50):
+        buckets = toxicity.gram_buckets(text)
+        here, counts = toxicity.unpack_grams(toxicity.pack_grams(buckets))
+        assert np.repeat(here, counts).tolist() == sorted(buckets.tolist())
+
+
 def test_nnpu_risk_and_gradient():
     """The risk by its definition, a row at a time, and its gradient by differences; below zero the rest is driven up."""
     rng = np.random.default_rng(3)
