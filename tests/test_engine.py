@@ -252,6 +252,15 @@ def test_fallback_is_the_line_machine(spark):
     assert got == want
 
 
+def test_records_without_answers_cover_whole_files(spark, tmp_path):
+    """A brand is one file over any span of keys; its numbers begin anew after 900 without taking lines of the next."""
+    duckdb.execute(f"COPY (SELECT i AS p_partkey, 'part ' || i AS p_name, 'Brand#' || (i % 2) AS p_brand FROM range(3700) t(i)) TO '{tmp_path}/part.parquet'")
+    got = sorted(map(tuple, queries.emergency_records(spark, str(tmp_path)).collect()))
+    sql = queries.ORACLE_SQL["emergency_records"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'")
+    assert got == sorted(duckdb.sql(sql).fetchall())
+    assert len(got) == 3700 and {r[0] for r in got} == {"Brand#0", "Brand#1"} and {r[1] for r in got} == set(range(1, 901))
+
+
 def test_invariants(spark):
     rows = parse_questions(queries.A.quiz_texts(spark, SF))
     assert rows.where("confidence < 0 or confidence > 95").count() == 0
