@@ -219,6 +219,21 @@ def test_hierarchy_golden(spark):
     assert [(r["問題"], r["出題年度"], r["回答"]) for r in hierarchy.parse_texts(one, literal=True).collect()] == [("本文の一行。 続き", "R6", "×")]
 
 
+def test_hierarchy_covers_whole_regions(spark, tmp_path):
+    """A region is one document over any span of keys, a section a nation; the headings stay those of each question."""
+    duckdb.execute(f"COPY (SELECT i AS s_suppkey, (i % 25)::INT AS s_nationkey, (i * 37 % 10000)::DOUBLE AS s_acctbal FROM range(5000) t(i)) TO '{tmp_path}/supplier.parquet'")
+    for t in ("nation", "region"):
+        duckdb.execute(f"COPY (FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    texts = queries._hierarchy_texts(spark, str(tmp_path))
+    assert texts.count() == texts.select("doc_id").distinct().count() == 5
+    got = queries.hierarchy_records(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['hierarchy_records']})").fetchall()
+    assert len(want) == 5000 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def line_machine(rows):
     """The fallback parser as a loop, over detectors given by the test."""
     out, now = [], None
