@@ -9,10 +9,10 @@ taken back by visibility:visible); a renderer then emits all visible text: block
 around paragraphs, headings, lists and tables, bullets and numbers with nesting, table cells in aligned columns, white
 space collapsed except in pre.
 
-Neither building nor rendering recurses, and both take time in proportion to the page however deep it nests. So that the
-text does so too, `Limits` say where indentation stops, from which width on tables are not padded, and within how many
-others a table gives a line a row; no text is lost by that. With `EXACT` nothing is limited: every level is indented and
-every table aligned, whatever that adds to the text's size.
+Neither building nor rendering recurses. The table operator, `extract`, limits nothing (`EXACT`): every level is indented
+and every table aligned, however deep or wide a page is, whatever that adds to the text's size. For single pages there are
+`Limits` as well that keep time and text in proportion to the page: they say where indentation stops, from which width on
+tables are not padded, and within how many others a table gives a line a row; no text is lost by that.
 
 Defined results: null and empty pages give the empty text; broken markup never fails, what is no tag is text; a tag that
 the page's end cuts off is dropped; repeated
@@ -28,11 +28,12 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices, texts_of
+from .common import SLICE_BYTES, text_slices, texts_of
 
 
 
@@ -255,6 +256,33 @@ def width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+class _Prefix:
+    """What lines of a level begin with: the prefix around and its own text, put together only where a line is written."""
+
+    __slots__ = ("around", "own", "size", "core", "text")
+
+    def __init__(self, around: _Prefix | None, own: str) -> None:
+        self.around, self.own, self.text = around, own, None if around else own
+        core, before = len(own.rstrip(" ")), around.size if around else 0
+        self.size = before + len(own)
+        #: The length without blanks at the end.
+        self.core = before + core if core or not around else around.core
+
+    def __str__(self) -> str:
+        if self.text is None:
+            parts, at = [], self.around
+            while at.text is None:
+                parts.append(at.own)
+                at = at.around
+            if parts:  # levels within and lines after this one begin with it as well
+                self.around.text = at.text + "".join(reversed(parts))
+            self.text = self.around.text + self.own
+        return self.text
+
+
+_NO_PREFIX = _Prefix(None, "")
+
+
 class _Writer:
     """Lines with collapsed white space; breaks are remembered until text follows, marks until a line does."""
 
@@ -263,10 +291,10 @@ class _Writer:
         self.now: list[str] = []
         self.space = False
         #: What the next line and those after it begin with, what the blank line due before it holds, levels open.
-        self.first: str | None = None
-        self.rest = ""
-        self.gap: str | None = None
-        self.levels: list[tuple[str | None, str, str | None, int]] = []
+        self.first: _Prefix | None = None
+        self.rest = _NO_PREFIX
+        self.gap: _Prefix | None = None
+        self.levels: list[tuple[_Prefix | None, _Prefix, _Prefix | None, int]] = []
         self.grids, self.limits = grids, limits
 
     def text(self, s: str) -> None:
@@ -289,30 +317,38 @@ class _Writer:
 
     def _out(self, s: str) -> None:
         if self.lines and self.gap is not None:
-            self.lines.append(self.gap)
+            self.lines.append(str(self.gap)[: self.gap.core] if self.gap.core else "")
         self.gap = None
-        self.lines.append(((self.rest if self.first is None else self.first) + s).rstrip(" "))
+        self.lines.append((str(self.rest if self.first is None else self.first) + s).rstrip(" "))
         self.first = None
 
     def blank(self) -> None:
         self.line()
         if len(self.lines) > (self.levels[-1][3] if self.levels else 0):  # not before a level's first line
-            if self.gap is None or len(self.gap) > len(self.rest):
-                self.gap = self.rest.rstrip(" ")
+            if self.gap is None or self.gap.core > self.rest.size:
+                self.gap = self.rest
 
     def verbatim(self, lines: list[str]) -> None:
         self.line()
         for s in lines:
             self._out(s)
 
+    def ready(self, lines: list[str]) -> None:
+        """Lines without blanks at their end, at once where nothing goes before them."""
+        self.verbatim(lines[:1])
+        if self.rest.size:
+            self.verbatim(lines[1:])
+        else:
+            self.lines += lines[1:]
+
     def push(self, first: str, rest: str) -> None:
         """A level whose first line begins with a mark and the others with rest, behind what the levels around give."""
         self.line()
         self.levels.append((self.first, self.rest, self.gap, len(self.lines)))
-        deep = len(self.rest) >= self.limits.indent
+        deep = self.rest.size >= self.limits.indent
         before = self.rest if self.first is None else self.first
-        self.first = (before[: int(2 * self.limits.indent)] if deep else before) + first
-        self.rest = self.rest if deep else self.rest + rest
+        self.first = _Prefix(_Prefix(None, str(before)[: int(2 * self.limits.indent)]) if deep else before, first)
+        self.rest = self.rest if deep else _Prefix(self.rest, rest)
 
     def pop(self) -> None:
         self.line()
@@ -412,6 +448,9 @@ def _table(table: Element, out: _Writer, visible: bool) -> Step:
                     joined.append(h)
             held = joined
         grid.append(cells)
+    if len({column for cells in grid for column, _, _ in cells}) < 2:  # nothing to align
+        out.ready([*filter(None, chain.from_iterable(own for cells in grid for _, _, own in cells))])
+        return None
     # a column is as wide as its cells; one that spans further counts where no other cell begins below or above it
     columns = sorted({column for cells in grid for column, _, _ in cells})
     widths = dict.fromkeys(columns, 0)
@@ -569,12 +608,17 @@ def html_text(source: str | None, limits: Limits = LIMITS) -> str:
     return page_text(source, limits)[1]
 
 
-def extract(pages: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def extract(pages: DataFrame, limits: Limits = EXACT) -> DataFrame:
     """page_id, title and the visible text of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
-            got = [page_text(s, limits) for s in texts_of(part, "html").to_pylist()]
-            yield pa.record_batch([part.column("page_id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], names=["page_id", "title", "text"])
+            got, begin, size = [], 0, 0
+            for i, s in enumerate(texts_of(part, "html").to_pylist(), 1):
+                got.append(page_text(s, limits))
+                size += len(got[-1][1])
+                if size >= SLICE_BYTES or i == part.num_rows:  # layout may make a text longer than its page
+                    yield pa.record_batch([part.column("page_id").slice(begin, len(got)), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], names=["page_id", "title", "text"])
+                    got, begin, size = [], i, 0
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, title string, text string")

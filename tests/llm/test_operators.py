@@ -765,6 +765,30 @@ def test_html_without_limits():
     assert htmltext.html_text(nested, htmltext.EXACT) == "x    yy  " + "e  " * 9 + "e\nzzz  w"
 
 
+def test_html_query_has_no_limits(spark, tmp_path):
+    """Wide tables, long indentation and many tables within tables look as narrow and shallow ones do."""
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    wide = "<table>" + row("a" * 500, "b") + row("c", "d") + "</table>"
+    deep = "".join(f"<ul><li>{i}" for i in range(60))
+    nested = "<table>" + row("x", "yy") + row("zzz", "w") + "</table>"
+    for _ in range(20):
+        nested = "<table>" + row(nested, "e") + "</table>"
+    spark.createDataFrame([(1, "u", wide), (2, "u", deep), (3, "u", nested), *((i, "u", "<blockquote>x" * 1500) for i in range(4, 7))], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["text"] for r in queries.op4_html_extraction(spark, str(tmp_path)).collect()}
+    assert got[1] == "a" * 500 + "  b\n" + "c" + " " * 501 + "d"
+    assert got[2].split("\n") == [line for i in range(60) for line in ([""] if i else []) + ["  " * i + f"- {i}"]]
+    quotes = "\n".join(line for i in range(1, 1501) for line in ([("> " * (i - 1)).rstrip(" ")] if i > 1 else []) + ["> " * i + "x"])
+    assert [got[i] == quotes for i in range(4, 7)] == [True] * 3  # each of more than a batch
+    assert got[3] == "x    yy  " + "e  " * 19 + "e\nzzz  w"
+
+
+def test_html_without_limits_is_fast_on_deep_pages():
+    began = __import__("time").perf_counter()
+    assert htmltext.html_text("<ul><li>" * 50000 + "end", htmltext.EXACT) == "- " * 50000 + "end"
+    assert htmltext.html_text("<table><tr><td>x" * 5000, htmltext.EXACT) == "\n".join("x" * 5000)
+    assert __import__("time").perf_counter() - began < 10
+
+
 def test_html_deep_pages_keep_every_word():
     for piece in ("<div>x ", "<ul><li>x ", "<blockquote>x ", "<table><tr><td>x<td>", "<b>x ", "<dl><dd>x ", "<table><tr><td rowspan=9 colspan=3>x "):
         got = htmltext.html_text(piece * 3000)
