@@ -8,6 +8,8 @@ x decides, then item_idx.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,18 @@ def _round(c: Column) -> Column:
 
 
 def usable(items: DataFrame) -> DataFrame:
-    return items.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (C.trim(F.col("str")) != ""))
+    return items.where(F.col("x").isNotNull() & F.col("y").isNotNull() & C.is_full(F.col("str")))
 
 
 def text_width(text: Column, font: Column) -> Column:
     """Full-width characters take one font size, others half of it."""
-    return font * (0.5 * F.length(text) + 0.5 * F.regexp_count(text, F.lit(r"[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FAF\uFF00-\uFFEF]")))
+    wide = r"[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FAF\uFF00-\uFFEF]"
+    return font * (0.5 * F.length(text) + 0.5 * F.when(text.rlike(wide), F.regexp_count(text, F.lit(wide))).otherwise(0))
+
+
+def _fixed(text: Column, normalise: bool) -> Column:
+    """fix_encoding of a column; letters and signs that it leaves alone make up most items and are told by one look."""
+    return F.when(text.rlike(r"^[!->@-~\u00C0-\u024F]*\z"), text).otherwise(fix_encoding(text, normalise))
 
 
 def text_simple(items: DataFrame, normalise: bool = True) -> DataFrame:
@@ -46,26 +54,33 @@ def text_structured(items: DataFrame, normalise: bool = True) -> DataFrame:
     return lines.groupBy(*_PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("gy")).alias("k"), "t"))), lambda p: p["t"]), "\n").alias("text"))
 
 
+def _runs(rows: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """The array cut before every element that opens(element before, element) says so of; no element is looked at twice."""
+    starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.coalesce(opens(F.get(r, i - 1), F.get(r, i)), F.lit(True)))
+    cut = lambda r: C.let(starts(r), lambda s: F.transform(s, lambda k, j: F.slice(r, k + 1, F.coalesce(F.get(s, j + 1), F.size(r)) - k)))
+    return C.let(rows, cut)
+
+
 def text_improved(items: DataFrame, normalise: bool = True) -> DataFrame:
     """L1: new lines where y jumps by more than half a font, blanks where x does.
 
     The expected place of the next item counts the width of the one before twice, as the format's readers do; items that
-    cleaning empties move y but not x."""
-    page = Window.partitionBy(*_PAGE)
-    down = page.orderBy(F.desc("y"), "item_idx")
-    rows = usable(items).withColumn("font", F.when(F.coalesce("font_size", F.lit(0.0)) == 0, F.lit(12.0)).otherwise(F.col("font_size")))
-    rows = rows.withColumn("jump", (F.lag("y").over(down) - F.col("y") > PRECISION).cast("int"))
-    rows = rows.withColumn("band", F.coalesce(F.sum("jump").over(down), F.lit(0)))
-    read = page.orderBy("band", "x", "item_idx")
-    rows = rows.withColumn("t", fix_encoding(F.col("str"), normalise))
-    rows = rows.withColumn("new", F.coalesce((F.abs(F.col("y") - F.lag("y").over(read)) > F.lag("font").over(read) * LINE_GAP).cast("int"), F.lit(0)))
-    rows = rows.withColumns({"line": F.sum("new").over(read), "pos": F.row_number().over(read)}).where(C.trim(F.col("t")) != "")
-    line = Window.partitionBy(*_PAGE, "line").orderBy("pos")
-    rows = rows.withColumn("w", text_width(F.col("t"), F.col("font")))
-    gap = F.col("x") - (F.lag("x").over(line) + 2 * F.lag("w").over(line)) > F.col("font") * CHAR_GAP
-    rows = rows.withColumn("t", F.when(gap, F.concat(F.lit(" "), "t")).otherwise(F.col("t")))
-    lines = rows.groupBy(*_PAGE, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda p: p["t"]), "").alias("t"))
-    return lines.groupBy(*_PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda p: p["t"]), "\n").alias("text"))
+    cleaning empties move y but not x. A page is sorted as one array: windows over the items of pages would hold memory beside
+    the sort that follows them, which a sort that is being filled does not give back."""
+    font = F.when(F.coalesce("font_size", F.lit(0.0)) == 0, F.lit(12.0)).otherwise(F.col("font_size"))
+    rows = usable(items).select(*_PAGE, "y", "x", "item_idx", font.alias("font"), _fixed(F.col("str"), normalise).alias("t"))
+    rows = rows.withColumn("t", F.when(C.is_full(F.col("t")), F.col("t")).otherwise(F.lit("")))
+    rows = rows.withColumn("end", F.col("x") + 2 * text_width(F.col("t"), F.col("font")))
+    item = F.struct("x", "item_idx", "y", "font", "end", "t").alias("item")
+    pages = rows.groupBy(*_PAGE).agg(F.collect_list(F.struct("y", (-F.col("item_idx")).alias("back"), item)).alias("items"))
+    bands = _runs(F.reverse(F.array_sort("items")), lambda before, r: before["y"] - r["y"] > PRECISION)
+    across = F.flatten(F.transform(bands, lambda band: F.array_sort(F.transform(band, lambda r: r["item"]))))
+    lines = _runs(across, lambda before, r: F.abs(r["y"] - before["y"]) > before["font"] * LINE_GAP)
+    gap = lambda before, r: r["x"] - before["end"] > r["font"] * CHAR_GAP
+    spaced = lambda line: F.array_join(F.transform(line, lambda r, i: F.when(gap(F.get(line, i - 1), r), F.concat(F.lit(" "), r["t"])).otherwise(r["t"])), "")
+    texts = F.transform(lines, lambda line: C.let(F.filter(line, lambda r: r["t"] != ""), spaced))
+    out = pages.select(*_PAGE, F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
+    return C.where_once(out, lambda r: r["text"] != "")
 
 
 def complexity(items: DataFrame) -> DataFrame:

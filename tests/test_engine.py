@@ -171,6 +171,38 @@ def test_layout_golden(spark):
     assert {m: layout.page_text(first, m).first()["text"] for m in ("simple", "structured")} == {"simple": "宅建 業法 A 次行 x", "structured": "宅建 業法 A\n次行 x"}
 
 
+def improved_mirror(items):
+    """The improved mode of one page in Python; items: (item_idx, str, x, y, font)."""
+    down = sorted((r for r in items if r[1].strip()), key=lambda r: (-r[3], r[0]))
+    bands = []
+    for i, r in enumerate(down):
+        if i == 0 or down[i - 1][3] - r[3] > layout.PRECISION:
+            bands.append([])
+        bands[-1].append(r)
+    text, before, last, new = "", None, None, False
+    for r in (r for band in bands for r in sorted(band, key=lambda r: (r[2], r[0]))):
+        new |= before is not None and abs(r[3] - before[3]) > before[4] * layout.LINE_GAP
+        t = r[1].replace("?", "")
+        if t.strip():
+            if last is not None:
+                text += "\n" if new else " " if r[2] - (last[2] + last[4] * sum(2 if c > "\u3000" else 1 for c in last[1].replace("?", ""))) > r[4] * layout.CHAR_GAP else ""
+            text, last, new = text + t, r, False
+        before = r
+    return text
+
+
+def test_improved_layout_sorts_pages_without_windows(spark):
+    rng = random.Random(7)
+    pages = {p: [(i, rng.choice(["ab", "業法", "?", " ", "x?y", "longer word"]), float(rng.randint(0, 30) * 10), float(rng.choice([700, 698, 694, 680, 679, 640])), rng.choice([10.0, 12.0, 40.0])) for i in range(rng.choice([1, 3, 20]))] for p in range(200)}
+    pages[200] = [(i, f"w{i}", float(i % 90) * 42, 90000.0 - 14 * (i // 90), 12.0) for i in range(9000)]  # more than a window keeps in memory
+    items = spark.createDataFrame([("d", p, *r, 1.0, 1.0) for p, rows in pages.items() for r in rows], "doc_id string, page_no int, item_idx int, str string, x double, y double, font_size double, width double, height double")
+    out = layout.text_improved(items)
+    want = {p: improved_mirror(rows) for p, rows in pages.items()}
+    assert {r["page_no"]: r["text"] for r in out.collect()} == {p: t for p, t in want.items() if t}
+    # window buffers beside a sort that is being filled ran out of memory on long pages
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_complexity_of_short_and_blank_items(spark):
     pages = {1: ["long item"] * 15 + ["ab"] * 5, 2: ["long item"] * 13 + ["ab"] * 7, 3: ["long item"] * 15 + ["ab"] * 5 + [" "] * 10, 4: [" ", ""]}
     rows = [("d", p, i, s, 50.0, 700.0 + i * (s == ""), 12.0) for p, texts in pages.items() for i, s in enumerate(texts)]
