@@ -125,11 +125,13 @@ def format_date(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(ts, pattern)
 
 
-def format_file_size(b: Column) -> Column:
-    """1024-based, two decimals at most."""
+def format_file_size(b: Column, to_even: bool = False) -> Column:
+    """1024-based, two decimals at most. What lies halfway between two hundredths goes up, or to the even one, as SQL's
+    printf has it."""
     step = sum((F.when(b >= 1024**i, 1).otherwise(0) for i in range(2, 5)), F.when(b >= 1024, 1).otherwise(0))
     unit = F.element_at(F.array(*map(F.lit, ("Bytes", "KB", "MB", "GB", "TB"))), step + 1)
-    digits = F.regexp_replace(F.format_string("%.2f", b / F.pow(F.lit(1024.0), step)), r"\.?0+$", "")
+    value = b / F.pow(F.lit(1024.0), step)
+    digits = F.regexp_replace(F.format_string("%.2f", F.bround(value, 2) if to_even else value), r"\.?0+$", "")
     return F.when(b == 0, F.lit("0 Bytes")).when(b.isNotNull(), F.concat(digits, F.lit(" "), unit))
 
 

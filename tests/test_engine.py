@@ -52,6 +52,32 @@ def test_query(spark, con, name):
     assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(str(tuple(r[want.columns.index(c)] for c in cols)) for r in want.fetchall())
 
 
+def compare(spark, con, name, folder):
+    """A query against its SQL over tables of its own; con's views are over the same."""
+    got, want = queries.QUERIES[name](spark, str(folder)), con.sql(queries.ORACLE_SQL[name])
+    cols = sorted(want.columns)
+    rows = sorted(str(tuple(r[c] for c in cols)) for r in got.collect())
+    assert rows and rows == sorted(str(tuple(r[want.columns.index(c)] for c in cols)) for r in want.fetchall())
+
+
+def tables(folder, **of):
+    """A DuckDB connection to tables written to the folder, each given by its SQL."""
+    c = duckdb.connect()
+    for name, sql in of.items():
+        c.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet'")
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return c
+
+
+def test_sizes_halfway_between_hundredths(spark, tmp_path):
+    # 3712 = 3.625 KB, 1152 = 1.125 KB: the format takes them up, SQL's printf to the even hundredth
+    sizes = lambda **how: [r[0] for r in spark.createDataFrame([(3712,), (1152,), (1157,), (1408,)], "b long").select(cleaning.format_file_size(F.col("b"), **how)).collect()]
+    assert sizes() == ["3.63 KB", "1.13 KB", "1.13 KB", "1.38 KB"]
+    assert sizes(to_even=True) == ["3.62 KB", "1.12 KB", "1.13 KB", "1.38 KB"]
+    con = tables(tmp_path, documents="SELECT i AS doc_id, 128 * (i // 6) AS n_chars FROM range(6000) r(i)")
+    compare(spark, con, "file_sizes", tmp_path)
+
+
 def test_adaptive_golden(spark):
     texts = spark.createDataFrame([(1, "宅建業.pdf", QUIZ)], "doc_id int, file_name string, text string")
     rows = parse_questions(texts).orderBy("id").collect()
