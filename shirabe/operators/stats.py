@@ -160,10 +160,10 @@ def extraction_status(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"success_rate": rate, "status": F.when(F.col("questions") == 0, "error").when(F.col("failed_files") == 0, "success").otherwise("warning")})
 
 
-def debug_info(files: DataFrame, manifest: DataFrame | None = None, config: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ten fields of each file's result, name and size from manifest(doc_id, name, size), and the totals of A1 with the
-    run's configuration."""
+def debug_info(files: DataFrame, manifest: DataFrame | None = None, config: dict[str, str] | None = None, to_even: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ten fields of each file's result, name and size (to_even: rounded as SQL does) from manifest(doc_id, name, size),
+    and the totals of A1 with the run's configuration."""
     known = files.join(manifest.select("doc_id", "name", "size"), "doc_id", "left") if manifest is not None else files.withColumns({"name": F.col("doc_id").cast("string"), "size": F.lit(None).cast("long")})
     zero = lambda c: F.coalesce(c, F.lit(0))
-    rows = known.select("name", format_file_size(F.col("size")).alias("size"), "success", zero("page_count").alias("page_count"), "text_length", F.coalesce("quality", F.lit(0.0)).alias("quality"), "method", F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), "error")
+    rows = known.select("name", format_file_size(F.col("size"), to_even).alias("size"), "success", zero("page_count").alias("page_count"), "text_length", F.coalesce("quality", F.lit(0.0)).alias("quality"), "method", F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), "error")
     return rows, extraction_stats(files).withColumn("config", F.lit(None).cast("map<string,string>") if not config else F.create_map(*(F.lit(str(x)) for kv in config.items() for x in kv)))

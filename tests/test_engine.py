@@ -78,6 +78,11 @@ def test_sizes_halfway_between_hundredths(spark, tmp_path):
     compare(spark, con, "file_sizes", tmp_path)
 
 
+def test_debug_report_of_sizes_halfway(spark, tmp_path):
+    con = tables(tmp_path, conversations="SELECT i AS conv_id, j AS turn, repeat('ab', 32 * (i + 1)::INT) AS text FROM range(80) r(i), range(2) s(j)")
+    compare(spark, con, "extraction_debug", tmp_path)
+
+
 def test_adaptive_golden(spark):
     texts = spark.createDataFrame([(1, "宅建業.pdf", QUIZ)], "doc_id int, file_name string, text string")
     rows = parse_questions(texts).orderBy("id").collect()
