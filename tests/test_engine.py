@@ -78,6 +78,13 @@ def test_sizes_halfway_between_hundredths(spark, tmp_path):
     compare(spark, con, "file_sizes", tmp_path)
 
 
+@pytest.mark.parametrize("name", ["question_numbers"])
+def test_quiz_numbers_beyond_five_digits(spark, tmp_path, name):
+    # 200 parts on both sides of key 90000, behind which p_partkey + 10000 has six digits, and as many beyond 180000
+    con = tables(tmp_path, part=f"SELECT p_partkey + k AS p_partkey, * EXCLUDE (p_partkey) FROM '{SF}/part.parquet', (VALUES (0), (89900), (180000)) s(k)")
+    compare(spark, con, name, tmp_path)
+
+
 def test_debug_report_of_sizes_halfway(spark, tmp_path):
     con = tables(tmp_path, conversations="SELECT i AS conv_id, j AS turn, repeat('ab', 32 * (i + 1)::INT) AS text FROM range(80) r(i), range(2) s(j)")
     compare(spark, con, "extraction_debug", tmp_path)
