@@ -78,7 +78,7 @@ def test_sizes_halfway_between_hundredths(spark, tmp_path):
     compare(spark, con, "file_sizes", tmp_path)
 
 
-@pytest.mark.parametrize("name", ["question_numbers", "quiz_complete_records", "quiz_printed_answers", "quiz_questions", "quiz_csv", "quiz_overview", "quiz_parsing_stats", "quiz_preview"])
+@pytest.mark.parametrize("name", ["question_numbers", "quiz_complete_records", "quiz_printed_answers", "quiz_questions", "quiz_csv", "quiz_overview", "quiz_parsing_stats", "quiz_preview", "quiz_section_report"])
 def test_quiz_numbers_beyond_five_digits(spark, tmp_path, name):
     # 200 parts on both sides of key 90000, behind which p_partkey + 10000 has six digits, and as many beyond 180000
     con = tables(tmp_path, part=f"SELECT p_partkey + k AS p_partkey, * EXCLUDE (p_partkey) FROM '{SF}/part.parquet', (VALUES (0), (89900), (180000)) s(k)")
