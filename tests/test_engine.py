@@ -12,6 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from shirabe import adapters
 from shirabe import constants as K
 from shirabe import queries
 from shirabe.functions import cleaning, compat, detect, scoring
@@ -241,6 +242,10 @@ def test_improved_layout_sorts_pages_without_windows(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_items_are_dealt_to_more_parts_than_rows(spark):
+    assert adapters.layout_items(spark, SF).rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_complexity_of_short_and_blank_items(spark):
     pages = {1: ["long item"] * 15 + ["ab"] * 5, 2: ["long item"] * 13 + ["ab"] * 7, 3: ["long item"] * 15 + ["ab"] * 5 + [" "] * 10, 4: [" ", ""]}
     rows = [("d", p, i, s, 50.0, 700.0 + i * (s == ""), 12.0) for p, texts in pages.items() for i, s in enumerate(texts)]
